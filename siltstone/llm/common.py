@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -29,11 +30,26 @@ def shared_dir(spark: SparkSession) -> str:
 def durable(df: DataFrame) -> DataFrame:
     """The rows of df, written as a table in the shared folder and read back.
 
-    Everything after it starts from files that outlive an executor, and Spark knows their size when it chooses joins.
+    Everything after it starts from files that outlive an executor, and Spark knows their size when it chooses joins. What
+    led to it is done with, so the collectors are asked to let its shuffle files go.
     """
-    path = f"{shared_dir(df.sparkSession)}/siltstone/{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/siltstone/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._siltstone_path = path
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the files of a table from durable, when nothing will read it any more."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df._siltstone_path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def parts(spark: SparkSession) -> int:

@@ -12,10 +12,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import discard, durable, parts
 
 #: Words of a passage at least, and words of the run that a minimiser is chosen by.
 LENGTH, GRAM = 50, 20
+#: Contexts of one run that a task compares.
+BLOCK = 50_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Words looked at together.
@@ -57,14 +59,9 @@ def _sliding(h: np.ndarray, size: int, least) -> np.ndarray:
     return out
 
 
-def anchors(h: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the gram-word runs that are least in some passage of length words of their text; equal ones all count.
-
-    Two equal passages have their least runs at the same distance from their beginnings.
-    """
+def least_runs(h: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all gram-word runs, and for each passage of length words the least of those in it; 0 where no passage of one text begins."""
     span = length - gram + 1
-    if len(h) < length:
-        return np.array([], np.int64), np.array([], np.uint64)
     starts = np.r_[0, ends[:-1]]
     text_end = np.repeat(ends, ends - starts)
     runs = _rolling(h, gram)
@@ -72,7 +69,18 @@ def anchors(h: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np
     runs[at + gram > text_end[: len(runs)]] = _MAX
     least = _sliding(runs, span, np.minimum)
     whole = np.arange(len(least)) + length <= text_end[: len(least)]
-    least = np.where(whole, least, np.uint64(0))
+    return runs, np.where(whole, least, np.uint64(0))
+
+
+def anchors(h: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, hashes) of the gram-word runs that are least in some passage of length words of their text; equal ones all count.
+
+    Two equal passages have their least runs at the same distance from their beginnings.
+    """
+    span = length - gram + 1
+    if len(h) < length:
+        return np.array([], np.int64), np.array([], np.uint64)
+    runs, least = least_runs(h, ends, length, gram)
     padded = np.r_[np.zeros(span - 1, np.uint64), least, np.zeros(span - 1, np.uint64)]
     greatest = _sliding(padded, span, np.maximum)[: len(runs)]
     chosen = np.flatnonzero((greatest == runs) & (runs != _MAX))
@@ -103,7 +111,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Itera
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """(id, text, anchor places) to a row an anchor: its hash, context, id, place, least shift, and the hash of the passage that begins each shift before it."""
+    """(id, text, anchor places) to a row an anchor: its hash, context, id, place, least shift, and the hashes of the passages around it that it was chosen for, by the shift of their beginning to its left."""
     span = length - gram
     for batch in batches:
         for a, b in _pieces(batch.column(1)):
@@ -112,25 +120,89 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iter
             at = places.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             text = np.repeat(np.arange(b - a), pc.list_value_length(places).to_numpy(zero_copy_only=False))
             starts = np.r_[0, ends[:-1]]
-            at_flat = at + starts[text]
-            runs, passages = _rolling(h, gram), _rolling(h, length)
-            low = np.maximum(0, at_flat + length - ends[text])  # shifts for which the passage ends in the text
-            high = np.minimum(span, at)
-            n = high - low + 1
-            rows = np.repeat(np.arange(len(at)), n)
-            shift = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-            hashes = passages[at_flat[rows] - shift]
+            flat = at + starts[text]
+            runs, least = least_runs(h, ends, length, gram)
+            passages = _rolling(h, length)
+            shifts = np.arange(span + 1)
+            begin = flat[:, None] - shifts
+            inside = (begin >= starts[text][:, None]) & (begin < len(least))
+            own = inside & (least[np.where(inside, begin, 0)] == runs[flat][:, None])
+            low, n = own.argmax(1), own.sum(1)
+            hashes = passages[begin[own]]
             offsets = np.r_[0, np.cumsum(n)]
             raw = hashes.tobytes()
             context = np.array([xxhash.xxh64_intdigest(raw[x * 8 : y * 8], int(lo)) for x, y, lo in zip(offsets[:-1].tolist(), offsets[1:].tolist(), low.tolist())], np.uint64)
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(hashes.view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(runs[at_flat].view(np.int64)), pa.array(context.view(np.int64)), batch.column(0)[a:b].take(pa.array(text)), pa.array(at.astype(np.int32)), pa.array(low.astype(np.int32)), lists],
+                [pa.array(runs[flat].view(np.int64)), pa.array(context.view(np.int64)), batch.column(0)[a:b].take(pa.array(text)), pa.array(at.astype(np.int32)), pa.array(low.astype(np.int32)), lists],
                 names=["gram", "context", "id", "at", "low", "passages"],
             )
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def _shared(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+    """Contexts sorted by gram: (gram, context, a, b, low, passages). Adds found: (shift, least id) of the passages with another document in the gram's contexts; null for all contexts of a gram that has more than block of them."""
+    held: pa.Table | None = None
+    over = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        grams = rows["gram"].to_numpy()
+        if over is not None:
+            n = int(np.searchsorted(grams, over, side="right"))
+            if n:
+                yield from _found(rows[:n], block, passed=True)
+            rows, grams = rows[n:], grams[n:]
+            if not len(rows):
+                continue
+            over = None
+        if held is not None and len(held):
+            rows = pa.concat_tables([held, rows]).combine_chunks()
+            grams = rows["gram"].to_numpy()
+        end = int(np.searchsorted(grams, grams[-1]))
+        if len(grams) - end > block:
+            over, end = grams[-1], len(grams)
+        if end:
+            yield from _found(rows[:end], block)
+        held = rows[end:]
+    if held is not None and len(held):
+        yield from _found(held, block)
+
+
+def _found(rows: pa.Table, block: int, passed: bool = False) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("shift", pa.int32()), ("first", rows.schema.field("a").type)]))
+    rows = rows.combine_chunks()
+    if passed:
+        yield from rows.append_column("found", pa.nulls(len(rows), kind)).to_batches()
+        return
+    grams = rows["gram"].to_numpy()
+    sizes = np.diff(np.r_[np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]]), len(grams)])
+    large = np.repeat(sizes > block, sizes)
+    if large.any():
+        yield from _found(rows.filter(pa.array(large)), block, passed=True)
+        rows, sizes = rows.filter(pa.array(~large)).combine_chunks(), sizes[sizes <= block]
+        if not len(rows):
+            return
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    lists = rows["passages"].chunk(0)
+    n = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    passage = lists.flatten().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(n)), n)
+    nth = np.arange(len(passage)) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n)
+    a, b = rows["a"].to_numpy()[row], rows["b"].to_numpy()[row]
+    order = np.lexsort((passage, group[row]))
+    new = np.r_[True, (passage[order][1:] != passage[order][:-1]) | (group[row][order][1:] != group[row][order][:-1])] if len(order) else np.array([], bool)
+    key = np.cumsum(new) - 1
+    first, last = (f.reduceat(x[order], np.flatnonzero(new)) for f, x in ((np.minimum, a), (np.maximum, b)))
+    by = np.empty(len(order), np.int64)
+    by[order] = key
+    hit = first[by] != last[by]
+    shift = (rows["low"].to_numpy()[row] + nth)[hit].astype(np.int32)
+    offsets = np.r_[0, np.cumsum(np.bincount(row[hit], minlength=len(n)))]
+    found = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.StructArray.from_arrays([pa.array(shift), pa.array(first[by][hit])], fields=list(kind.value_type)))
+    out = rows.set_column(5, "passages", pa.nulls(len(rows), lists.type)).append_column("found", found)
+    yield from out.filter(pc.greater(pc.list_value_length(found), 0)).combine_chunks().to_batches()
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
     """One row for each maximal stretch of words of a document that is covered by passages of length words standing in another document too: id, start_word, end_word (exclusive), first_id.
 
     first_id is the least id that has one of those passages; a stretch with first_id equal to its id is the copy to keep.
@@ -138,34 +210,38 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Of all suffixes only those at minimiser positions are kept: a position counts if its gram-word run has the least hash of
     some passage around it. Any passage standing twice has such a position at the same distance from its beginning, so
     suffixes sorted by that run bring its places together, and runs that stand in one place only drop out. What is left is
-    extended to both sides: each suffix carries the hashes of the passages that begin 0 to length - gram words to its left.
-    Neighbours with equal context agree in all of them; these are added up before any exchange, so a passage on a third of
-    all documents is one row a task. Only where one run has different contexts are its passages compared one by one.
-    Comparing shift by shift instead of only with the next suffix finds a partner that others stand between.
+    extended to both sides: each suffix carries the hashes of the passages around it that its run is least in, by how far to
+    its left they begin. Suffixes with equal context agree in all of them; these are added up before any exchange, so a
+    passage on a third of all documents is one row a task. Contexts of one run then stand together, sorted, and are compared
+    shift by shift, which also finds a partner that other suffixes stand between. A run with more than block contexts isn't
+    gathered in one task: its passages are grouped one by one.
 
     Words are parted by ASCII white space and compared byte by byte. Null texts count as empty; null ids are left out, and rows with one id are one document. An empty table gives no rows.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("id is not null")
-    suffixes = durable(texts.mapInArrow(partial(_anchors, length=length, gram=gram), f"gram bigint, id {kind}, at int"))
+    if docs.schema[id_col].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
+        raise TypeError(f"{id_col} is to be an integer")
+    n = parts(docs.sparkSession)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("id is not null")
+    suffixes = durable(texts.mapInArrow(partial(_anchors, length=length, gram=gram), "gram bigint, id bigint, at int"))
     twice = suffixes.groupBy("gram").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("gram")
-    places = suffixes.join(twice, "gram").groupBy("id").agg(F.collect_set("at").alias("places"))
-    extended = texts.join(places, "id").select("id", "t", "places").mapInArrow(partial(_contexts, length=length, gram=gram), f"gram bigint, context bigint, id {kind}, at int, low int, passages array<bigint>")
-    extended = durable(extended.where("size(passages) > 0"))
+    places = durable(suffixes.join(twice, "gram").groupBy("id").agg(F.collect_set("at").alias("places")))
+    discard(suffixes)
+    row = "gram bigint, context bigint, id bigint, at int, low int, passages array<bigint>"
+    extended = durable(texts.join(places, "id").select("id", "t", "places").mapInArrow(partial(_contexts, length=length, gram=gram), row).where("size(passages) > 0"))
     contexts = extended.groupBy("gram", "context").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.first("low").alias("low"), F.first("passages").alias("passages"))
-    contexts = durable(contexts)
-    mixed = contexts.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    each = contexts.join(mixed, "gram").select("gram", "context", "a", "b", "low", F.posexplode("passages").alias("nth", "passage"))
+    schema = "gram bigint, context bigint, a bigint, b bigint, low int, passages array<bigint>, found array<struct<shift: int, first: bigint>>"
+    compared = durable(contexts.repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(partial(_shared, block=block), schema))
+    full = compared.where("found is not null").select("gram", "context", "found")
+    # The rest are runs with very many contexts: their passages are counted one by one over all tasks.
+    each = compared.where("found is null").select("gram", "context", "a", "b", "low", F.posexplode("passages").alias("nth", "passage"))
     shared = each.groupBy("gram", "passage").agg(F.min("a").alias("first"), F.max("b").alias("last")).where("first <> last").select("gram", "passage", "first")
-    partly = each.join(shared, ["gram", "passage"]).select("gram", "context", F.struct((F.col("low") + F.col("nth")).alias("shift"), "first").alias("found"))
-    partly = partly.groupBy("gram", "context").agg(F.collect_set("found").alias("found"))
-    full = contexts.join(mixed, "gram", "left_anti").where("a <> b")
-    full = full.select("gram", "context", F.transform(F.sequence(F.col("low"), F.col("low") + F.size("passages") - 1), lambda s: F.struct(s.alias("shift"), F.col("a").alias("first"))).alias("found"))
+    partly = each.join(shared, ["gram", "passage"]).select("gram", "context", F.struct((F.col("low") + F.col("nth")).alias("shift"), "first").alias("hit"))
+    partly = partly.groupBy("gram", "context").agg(F.collect_set("hit").alias("found"))
     spans = extended.select("gram", "context", "id", "at").join(full.unionByName(partly), ["gram", "context"])
     spans = spans.select("id", F.transform("found", lambda f: F.struct((F.col("at") - f["shift"]).alias("start"), f["first"].alias("first"))).alias("found"))
     # A document's passages, in order; those that overlap or touch make one stretch.
     own = spans.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
-    nothing = f"cast(array() as array<struct<start: int, end: int, first: {kind}>>)"
+    nothing = f"cast(array() as array<struct<start: int, end: int, first: bigint>>)"
     merged = F.expr(
         f"""aggregate(found, {nothing}, (done, x) ->
           if(size(done) > 0 and element_at(done, -1).end >= x.start,
