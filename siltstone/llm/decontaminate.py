@@ -184,13 +184,13 @@ def _search(pieces: list[tuple[int, int, np.ndarray]], passages: Passages, found
     which, lows, highs = passages.candidates(flat)
     for p, lo, hi in zip(which.tolist(), lows.tolist(), highs.tolist()):
         code, budget = passages.codes[p], int(passages.budget[p])
-        n = int(np.searchsorted(starts, max(0, min((lo + hi) // 2 + len(code) // 2, starts[-1] - 1)), side="right")) - 1
-        for k in {n, max(n - 1, 0), min(n + 1, len(pieces) - 1)} if len(pieces) > 1 else {0}:
+        ends = np.searchsorted(starts, (lo - budget, hi + len(code) + budget), side="right") - 1
+        for k in range(max(0, int(ends[0])), min(len(pieces) - 1, int(ends[1])) + 1):
             d, offset, piece = pieces[k]
             at = int(starts[k])
-            if hi + len(code) + budget < at or lo - budget > at + len(piece):
+            if len(piece) < len(code) - budget:
                 continue
-            if lo == hi and lo >= at and np.array_equal(flat[lo : lo + len(code)], code):
+            if lo == hi and at <= lo <= at + len(piece) - len(code) and np.array_equal(flat[lo : lo + len(code)], code):
                 edits, end = 0, lo - at + len(code)
             else:
                 edits, end = banded_edits(code, piece, lo - at, hi - at, budget)
