@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property, partial
@@ -14,10 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import discard, durable
+
 SENTENCE = re.compile(r"[.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
 #: Labelled documents used for fitting, at most: those with the least MD5 of their identifier. The bound of what the driver holds.
 FIT_ROWS = 8_000
+#: Features of a model.
 FEATURES = 400
 #: Lengths of the word beginnings that are features beside whole words: insults come inflected.
 STEMS = (4, 5, 6)
@@ -68,55 +70,47 @@ def held_out(id_col) -> F.Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, label, text) to (id, label, the features of each sentence)."""
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, label, text) to a row for each distinct feature of each document."""
+    for batch in batches:
+        for label, t in zip(batch.column(1).to_pylist(), batch.column(2)):
+            found = sorted(set().union(*(features_of(s) for s in SENTENCE.split((t.as_py() or "").lower()))))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([label] * len(found), pa.int32())], names=["feature", "label"])
+
+
+def select_features(counts: DataFrame, n: int, toxic: int, limit: int) -> list[str]:
+    """Of counts(feature, seen, toxic) the features of toxic documents whose likelihood ratio against chance is greatest."""
+    base = toxic / n
+    k, m = F.col("toxic"), F.col("seen")
+    rest = F.when(m > k, (m - k) * F.log((m - k) / m / (1 - base))).otherwise(0.0)
+    ranked = counts.where((k >= 2) & (k > m * base)).withColumn("ratio", F.round(k * F.log(k / m / base) + rest, 6)).where("ratio > 3")
+    return [r.feature for r in ranked.orderBy(F.col("ratio").desc(), "feature").limit(limit).collect()]
+
+
+def _hits(batches: Iterator[pa.RecordBatch], index: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    """(id, label, text) to (id, label, sentences without a selected feature, the selected features of each other sentence)."""
     for batch in batches:
-        bags = [[sorted(features_of(s)) for s in SENTENCE.split((t.as_py() or "").lower()) if s.strip()] for t in batch.column(2)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bags, pa.list_(pa.list_(pa.string())))], names=["id", "label", "bags"])
-
-
-def select_words(bags: list[list[list[str]]], labels: np.ndarray, limit: int) -> list[str]:
-    """The words whose documents' labels differ most from chance by the likelihood ratio, toxic side only."""
-    seen, toxic = Counter(), Counter()
-    for bag, y in zip(bags, labels):
-        words = {w for s in bag for w in s}
-        seen.update(words)
-        if y:
-            toxic.update(words)
-    n, p = len(labels), float(labels.sum())
-    base = p / n
-    found = []
-    for w, k in toxic.items():
-        m = seen[w]
-        if k < 2 or k / m <= base:
-            continue
-        ratio = k * math.log(k / m / base) + ((m - k) * math.log((m - k) / m / (1 - base)) if m > k else 0)
-        if ratio > 3:
-            found.append((-ratio, w))
-    return [w for _, w in sorted(found)[:limit]]
-
-
-def fit(bags: list[list[list[str]]], labels: list[int], features: int = FEATURES, rounds: int = 500, rate: float = 0.1, l1: float = 0.1) -> Model:
+        plain, hits = [], []
+        for t in batch.column(2):
+            own = [sorted(index[f] for f in index.keys() & features_of(s)) for s in SENTENCE.split((t.as_py() or "").lower()) if s.strip()]
+            hits.append([h for h in own if h])
+            plain.append(len(own) - len(hits[-1]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(plain, pa.int32()), pa.array(hits, pa.list_(pa.list_(pa.int32())))], names=["id", "label", "plain", "hits"])
+
+
+def fit(words: list[str], bags: list[tuple[int, int, list[list[int]]]], rounds: int = 500, rate: float = 0.1, l1: float = 0.1) -> Model:
     """Likelihood ascent of the noisy-or by Adam, with an L1 penalty on the words' weights, which stay positive. Deterministic.
 
-    Without both labels the model is the labels' share as leak.
+    bags: for each document its label, its sentences without a feature, the features of its other sentences. Without both labels the model is the labels' share as leak.
     """
-    y = np.array(labels, float)
+    y = np.array([b[0] for b in bags], float)
     if not len(y) or y.sum() in (0, len(y)):
         return Model({}, PLAIN, min(0.999, max(0.001, float(y.mean()) if len(y) else 0.001)))
-    words = select_words(bags, y, features)
-    index = {w: i for i, w in enumerate(words)}
-    plain, sent_doc, tok_sent, tok_word = np.zeros(len(y)), [], [], []
-    for d, bag in enumerate(bags):
-        for s in bag:
-            hits = [index[w] for w in s if w in index]
-            if hits:
-                tok_sent += [len(sent_doc)] * len(hits)
-                tok_word += hits
-                sent_doc.append(d)
-            else:
-                plain[d] += 1
-    sent_doc, tok_sent, tok_word = (np.array(x, np.int64) for x in (sent_doc, tok_sent, tok_word))
+    plain = np.array([b[1] for b in bags], float)
+    sent_doc = np.array([d for d, b in enumerate(bags) for _ in b[2]], np.int64)
+    sizes = np.array([len(s) for b in bags for s in b[2]], np.int64)
+    tok_sent = np.repeat(np.arange(len(sizes)), sizes)
+    tok_word = np.array([w for b in bags for s in b[2] for w in s], np.int64)
     n_sent, n_words = len(sent_doc), len(words)
     # weights, bias, leak's log-odds
     x = np.r_[np.full(n_words, 1.0), PLAIN, math.log(0.03 / 0.97)]
@@ -141,18 +135,26 @@ def fit(bags: list[list[list[str]]], labels: list[int], features: int = FEATURES
     return Model(weights, float(x[-2]), float(min(0.2, sig(x[-1]))))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS, features: int = FEATURES) -> Model:
     """A model from the labelled documents that aren't held out, fit_rows of them at most.
 
-    A document labelled more than once counts as toxic if one of the labels says so. Null labels and ids are left out.
+    A document labelled more than once counts as toxic if one of the labels says so. Null labels and ids are left out. The
+    driver gets the selected features and where they stand, not texts.
     """
     known = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("label")).dropna().where(~held_out(F.col("k"))).groupBy("k").agg(F.max("label").alias("label"))
     known = known.orderBy(F.md5(F.col("k").cast("string")), "k").limit(fit_rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    rows = texts.join(F.broadcast(known), F.col("id") == F.col("k")).select("id", "label", "t")  # fit_rows rows of two numbers
+    rows = durable(texts.join(F.broadcast(known), F.col("id") == F.col("k")).select("id", (F.col("label") > 0).cast("int").alias("label"), "t"))  # fit_rows rows of two numbers
+    n, toxic = rows.agg(F.count("*"), F.sum("label")).first()
+    words = []
+    if n and 0 < toxic < n:
+        counts = rows.mapInArrow(_features, "feature string, label int").groupBy("feature").agg(F.count("*").alias("seen"), F.sum("label").alias("toxic"))
+        words = select_features(counts, n, toxic, features)
     kind = rows.schema["id"].dataType.simpleString()
-    got = sorted(((r["id"], r["label"], r["bags"]) for r in rows.mapInArrow(_bags, f"id {kind}, label int, bags array<array<string>>").toLocalIterator()), key=lambda r: (r[0], r[1], r[2]))
-    return fit([b for _, _, b in got], [int(y > 0) for _, y, _ in got])
+    hits = rows.mapInArrow(partial(_hits, index={w: i for i, w in enumerate(words)}), f"id {kind}, label int, plain int, hits array<array<int>>")
+    got = sorted((r["id"], r["label"], r["plain"], r["hits"]) for r in hits.toLocalIterator())
+    discard(rows)
+    return fit(words, [x[1:] for x in got])
 
 
 def _scores(batches: Iterator[pa.RecordBatch], model: Model, at: float) -> Iterator[pa.RecordBatch]:
