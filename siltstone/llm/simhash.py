@@ -9,7 +9,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable, parts
@@ -284,7 +284,12 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those that have a near-duplicate group's smaller identifier beside them; see near_duplicate_groups.
 
-    Identifiers name documents: rows with one identifier share its fate, and rows without one stay.
+    Identifiers name documents: of rows that repeat one, the first by text stays; rows without one stay.
     """
-    gone = near_duplicate_groups(docs, id_col, text_col).groupBy("id").agg(F.min("component_id").alias("c")).where("c <> id").select(F.col("id").alias("__gone"))
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    groups = durable(near_duplicate_groups(docs, id_col, text_col).groupBy("id").agg(F.min("component_id").alias("c"), F.count("*").alias("n")))
+    out = docs.join(groups.where("c <> id").select(F.col("id").alias("__gone")), F.col(id_col) == F.col("__gone"), "left_anti")
+    again = groups.where("c = id and n > 1").select(F.col("id").alias("__again"))
+    if again.isEmpty():
+        return out
+    once = out.join(again, F.col(id_col) == F.col("__again"), "left_semi").withColumn("__nth", F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))).where("__nth = 1").drop("__nth")
+    return out.join(again, F.col(id_col) == F.col("__again"), "left_anti").unionByName(once)
