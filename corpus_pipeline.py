@@ -40,9 +40,14 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes words of, with size, source_size, target and taken."""
-    taken = mixing.mix_sources(docs.select(*COLUMNS)).where("taken > 0").withColumnRenamed("doc_id", "mixed_id")
-    return docs.select(*COLUMNS).join(taken, F.col("doc_id") == F.col("mixed_id")).drop("mixed_id")
+    """The documents that the mix takes words of, with size, source_size, target and taken.
+
+    Rows are found again by identifier and text; rows that repeat both get what the mix takes of one of them.
+    """
+    mixed = mixing.mix_sources(docs.select(*COLUMNS), keep_row=True).where("taken > 0")
+    once = mixed.groupBy(F.col("doc_id").alias("mixed_id"), "text_hash").agg(*[F.max(c).alias(c) for c in ("size", "source_size", "target", "taken")])
+    same = F.col("doc_id").eqNullSafe(F.col("mixed_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("text_hash"))
+    return docs.select(*COLUMNS).join(once, same).drop("mixed_id", "text_hash")
 
 
 STAGES = [
