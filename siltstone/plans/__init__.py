@@ -1 +1,3 @@
-"""Plans of the engine."""
+"""Registered queries and the engine object."""
+
+from . import catalog, extras  # noqa: F401

@@ -1,6 +1,671 @@
-"""The registered queries of the engine's own operators and their SQL."""
+"""The registered queries of the engine's own operators, each with SQL that gives the same rows.
+
+The tables hold no source code, so chunks, files and a symbol graph are made of them by the same SQL on both sides.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from siltstone.functions import text as tx
+from siltstone.operators import analytics, graph, ranking, upkeep
+from siltstone.sources import web
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+_NAMES = re.compile(r"\b(FROM|JOIN)\s+(" + "|".join(TABLES) + r")\b")
+
+
+def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    return spark.sql(_NAMES.sub(lambda m: f"{m[1]} parquet.`{sf_dir}/{m[2]}.parquet`", sql))
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+# ---- inputs, the same text for both engines -------------------------------------------------------------------------
+
+CHUNKS = """SELECT doc_id AS id, text AS content, source, lang, '/corpus/' || source || '/' || lang || '/doc_' || doc_id || CASE lang WHEN 'en' THEN '.py' WHEN 'de' THEN '.java' WHEN 'fr' THEN '_test.cs' ELSE '.md' END AS file_path FROM documents"""
+CODE = """SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN 'def f' || doc_id || '(x: int, y):' || chr(10) || '    ' || chr(34) || chr(34) || chr(34) || 'Says ' || substr(text, 1, 40) || chr(10) || 'more' || chr(34) || chr(34) || chr(34)
+ WHEN 1 THEN chr(10) || 'public  class C' || doc_id || ' {' || chr(10) || text || '}' WHEN 2 THEN '/// About ' || doc_id || chr(10) || 'func G' || doc_id || '()' ELSE text END AS content,
+ CASE WHEN doc_id % 4 = 3 THEN 'text_window' ELSE 'function' END AS kind FROM documents"""
+ASKED = "SELECT item_id AS query_id, text FROM benchmark"
+NODES = """SELECT 'file_' || p_brand AS id, p_brand AS label, 'file' AS kind, 'module' AS subkind, '/repo/' || p_brand || '.py' AS file, 1 AS start_line, 999 AS end_line, 'python' AS lang_key FROM part GROUP BY p_brand
+UNION ALL SELECT 'fn_' || p_partkey, replace(p_brand, '#', '') || '.' || replace(p_name, ' ', '_') || '_' || (p_partkey % 7), CASE WHEN p_type = 'ECONOMY' THEN 'class' ELSE 'function' END, lower(p_type), '/repo/' || p_brand || '.py', p_size, p_size + 10, 'python' FROM part
+UNION ALL SELECT 'ext_' || r_name, lower(r_name), 'external', 'external', '', 0, 0, '' FROM region"""
+EDGES = """SELECT source, target, 'calls' AS relation, 'extracted' AS confidence, CAST(NULL AS STRING) AS module, CAST(NULL AS STRING) AS base_kind, '/repo/calls' AS from_file, min(nth) AS from_line FROM (
+ SELECT 'fn_' || a.l_partkey AS source, 'fn_' || b.l_partkey AS target, a.l_linenumber AS nth FROM lineitem AS a JOIN lineitem AS b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_orderkey % 50 = 0 AND a.l_partkey <> b.l_partkey) AS c GROUP BY source, target
+UNION ALL SELECT 'file_' || p_brand, 'fn_' || p_partkey, 'contains', 'extracted', NULL, NULL, NULL, NULL FROM part
+UNION ALL SELECT 'fn_' || p.p_partkey, 'fn_' || q.p_partkey, 'inherits', 'resolved', NULL, 'extends', '/repo/' || p.p_brand || '.py', p.p_size FROM part AS p JOIN part AS q ON q.p_partkey = CAST(floor(p.p_partkey / 3.0) AS BIGINT) WHERE p.p_type = 'ECONOMY' AND q.p_type = 'ECONOMY' AND p.p_partkey <> q.p_partkey
+UNION ALL SELECT DISTINCT 'file_' || p_brand, 'ext_' || r_name, 'imports', 'extracted', lower(r_name), NULL, '/repo/' || p_brand || '.py', 1 FROM part JOIN region ON CAST(substr(p_brand, 7) AS INT) % 5 = r_regionkey"""
+SYMBOLS = """SELECT DISTINCT replace(p_name, ' ', '_') || '_' || (p_partkey % 7) AS symbol FROM part WHERE p_partkey % 97 = 5 UNION ALL SELECT 'BRAND3.blue_b' UNION ALL SELECT 'no such symbol'"""
+FILES = "SELECT 'brand#3.py' AS asked UNION ALL SELECT 'Brand#21.py' UNION ALL SELECT 'missing.py'"
+FLAT = """relation, coalesce(base_kind, '') AS base_kind, coalesce(confidence, '') AS confidence, coalesce(module, '') AS module, f.label AS from_symbol, f.kind AS from_kind, f.file AS from_file, f.start_line AS from_start_line, f.end_line AS from_end_line,
+ t.label AS to_symbol, t.kind AS to_kind, t.file AS to_file, t.start_line AS to_start_line, t.end_line AS to_end_line, coalesce(e.from_file, '') AS call_site_file, coalesce(from_line, 0) AS call_site_line"""
+
+# DuckDB's side of the operators that others build on
+SEEDS = f"""nodes AS ({NODES}), edges AS ({EDGES}), asked AS ({SYMBOLS}), needles AS (SELECT DISTINCT symbol, lower(trim(symbol)) AS needle FROM asked WHERE trim(symbol) <> ''),
+pool AS (SELECT id, lower(label) AS low, lower(string_split(label, '.')[-1]) AS leaf FROM nodes WHERE kind NOT IN ('file', 'external')),
+exact AS (SELECT symbol, id FROM needles JOIN pool ON needle = low OR needle = leaf),
+seeds AS (SELECT symbol, id FROM exact UNION SELECT symbol, id FROM needles JOIN pool ON contains(low, needle) WHERE symbol NOT IN (SELECT symbol FROM exact))"""
+TOK = """list_filter(flatten(list_transform(list_filter(regexp_split_to_array(coalesce({}, ''), '[^A-Za-z0-9]+'), lambda x: x <> ''), lambda x: list_concat([lower(x)], list_filter(string_split(lower(regexp_replace(regexp_replace(x, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g')), ' '), lambda p: p <> lower(x))))), lambda y: y <> '')"""
+
+
+def bm25_sql(chunks: str, asked: str, top_n: int, name: str = "bm25") -> str:
+    return f"""{name}_c AS ({chunks}), {name}_t AS (SELECT id, {TOK.format('content')} AS terms FROM {name}_c), {name}_l AS (SELECT id, len(terms) AS dl FROM {name}_t),
+{name}_p AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(terms) AS term FROM {name}_t) GROUP BY ALL), {name}_n AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM {name}_l),
+{name}_r AS (SELECT term, ln((n - count(*) + 0.5) / (count(*) + 0.5)) AS raw FROM {name}_p, {name}_n GROUP BY term, n), {name}_i AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM {name}_r) ELSE raw END AS idf FROM {name}_r),
+{name}_q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({TOK.format('text')}) AS term FROM ({asked})) GROUP BY ALL),
+{name}_s AS (SELECT query_id, id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM {name}_q JOIN {name}_i USING (term) JOIN {name}_p USING (term) JOIN {name}_l USING (id), {name}_n GROUP BY query_id, id),
+{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM {name}_s) WHERE rank <= {top_n} AND score > 0)"""
+
+
+def dense_sql(vectors: str, asked: str, top_n: int, name: str = "dense") -> str:
+    return f"""{name}_s AS (SELECT query_id, id, round(list_dot_product(CAST(v.vector AS DOUBLE[]), CAST(q.vector AS DOUBLE[])), 6) AS score FROM ({vectors}) AS v, ({asked}) AS q),
+{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM {name}_s) WHERE rank <= {top_n})"""
+
+
+def rrf_sql(lists: list[str], top_k: int, name: str = "fused", by: str = "query_id", key: str = "id") -> str:
+    union = " UNION ALL ".join(f"SELECT {by}, {key}, {i} AS list, rank FROM {x}" for i, x in enumerate(lists))
+    return f"""{name}_u AS ({union}), {name}_s AS (SELECT {by}, {key}, round(sum(1.0 / (60 + rank)), 6) AS score, min(list * 1000000 + rank) AS seen FROM {name}_u GROUP BY {by}, {key}),
+{name} AS (SELECT {by}, {key}, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY score DESC, seen, {key}) AS rank FROM {name}_s) WHERE rank <= {top_k})"""
+
+
+VECTORS = "SELECT vec_id AS id, embedding AS vector FROM embeddings"
+ASKED_VECTORS = "SELECT item_id AS query_id, embedding AS vector FROM benchmark JOIN embeddings ON vec_id = item_id"
+
+
+def inputs(spark: SparkSession, sf_dir: str, *texts: str) -> list[DataFrame]:
+    return [run_sql(spark, sf_dir, t) for t in texts]
+
+
+# ---- retrieval ------------------------------------------------------------------------------------------------------
+
+@query(f"SELECT id, array_to_string({TOK.format('content')}, ' ') AS terms, CAST(len({TOK.format('content')}) AS INT) AS n FROM ({CHUNKS})")
+def tok_code(spark, sf_dir):
+    (chunks,) = inputs(spark, sf_dir, CHUNKS)
+    return chunks.select("id", tx.tokens(F.col("content")).alias("t")).select("id", F.array_join("t", " ").alias("terms"), F.size("t").alias("n"))
+
+
+@query(f"WITH {bm25_sql(CHUNKS, ASKED, 10)} SELECT query_id, id, score, rank FROM bm25")
+def bm25_topk(spark, sf_dir):
+    return ranking.bm25(*inputs(spark, sf_dir, CHUNKS, ASKED), top_n=10)
+
+
+@query(f"WITH {bm25_sql(CHUNKS, ASKED, 10)} SELECT term, count(*) AS df, round(any_value(idf), 6) AS idf FROM bm25_p JOIN bm25_i USING (term) GROUP BY term")
+def bm25_statistics(spark, sf_dir):
+    (chunks,) = inputs(spark, sf_dir, CHUNKS)
+    stats, _ = ranking.term_statistics(chunks, ranking.postings(chunks))
+    return stats.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(f"WITH {dense_sql(VECTORS, ASKED_VECTORS, 10)} SELECT query_id, id, score, rank FROM dense")
+def dense_topk(spark, sf_dir):
+    return ranking.dense(*inputs(spark, sf_dir, VECTORS, ASKED_VECTORS), top_n=10)
+
+
+_HYBRID = f"{bm25_sql(CHUNKS, ASKED, 30)}, {dense_sql(VECTORS, ASKED_VECTORS, 30)}"
+
+
+@query(f"WITH {_HYBRID}, {rrf_sql(['dense', 'bm25'], 10)} SELECT query_id, id, score, rank FROM fused")
+def rrf_hybrid(spark, sf_dir):
+    chunks, asked, vectors, asked_vectors = inputs(spark, sf_dir, CHUNKS, ASKED, VECTORS, ASKED_VECTORS)
+    return ranking.fuse([ranking.dense(vectors, asked_vectors, 30), ranking.bm25(chunks, asked, 30)], 10)
+
+
+def _dedup_sql(ranked: str, top_k: int, where: str = "true") -> str:
+    body = r"regexp_replace(coalesce(content, ''), '^\s+|\s+$', '', 'g')"
+    return f"""hits AS (SELECT r.query_id, r.id, r.score, r.rank AS old, c.content, c.file_path FROM {ranked} AS r JOIN ({CHUNKS}) AS c USING (id) WHERE {where}),
+bodies AS (SELECT *, CASE WHEN length({body}) >= 120 THEN {body} ELSE 'id ' || id END AS body FROM hits), firsts AS (SELECT * FROM bodies QUALIFY row_number() OVER (PARTITION BY query_id, body ORDER BY old) = 1),
+cut AS (SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY old) AS rank FROM firsts) WHERE rank <= {top_k})"""
+
+
+@query(f"WITH {_HYBRID}, {rrf_sql(['dense', 'bm25'], 30)}, {_dedup_sql('fused', 5)} SELECT * FROM cut")
+def search_batch(spark, sf_dir):
+    chunks, asked, vectors, asked_vectors = inputs(spark, sf_dir, CHUNKS, ASKED, VECTORS, ASKED_VECTORS)
+    return ranking.retrieve(chunks, asked, 5, "hybrid", vectors, asked_vectors).select("query_id", "id", "score", "rank")
+
+
+@query(f"WITH {bm25_sql(CHUNKS, ASKED, 25)}, {_dedup_sql('bm25', 5, where=chr(39).join(['ends_with(file_path, ', '.py', ') AND contains(file_path, ', '/src1', ')']))} SELECT * FROM cut")
+def retrieve_filtered(spark, sf_dir):
+    chunks, asked = inputs(spark, sf_dir, CHUNKS, ASKED)
+    return ranking.retrieve(chunks, asked, 5, "sparse", extensions=["PY"], path_contains="/src1").select("query_id", "id", "score", "rank")
+
+
+@query(f"WITH picked AS (SELECT * FROM ({CHUNKS}) WHERE regexp_matches(file_path, '^.*/src[2-4]/.*[.]java$')), {bm25_sql('SELECT * FROM picked', ASKED, 10)}, {_dedup_sql('bm25', 5)} SELECT * FROM cut")
+def retrieve_prefiltered(spark, sf_dir):
+    chunks, asked = inputs(spark, sf_dir, CHUNKS, ASKED)
+    return ranking.retrieve(chunks, asked, 5, "sparse", prefilter=True, file_glob="*/src[2-4]/*.java").select("query_id", "id", "score", "rank")
+
+
+@query(f"SELECT id, file_path FROM ({CHUNKS}) WHERE regexp_matches(file_path, '^/corpus/src[^0-8]/.*/doc_..*[.]..$')")
+def filter_glob(spark, sf_dir):
+    (chunks,) = inputs(spark, sf_dir, CHUNKS)
+    return chunks.where(ranking.keep_where(F.col("file_path"), file_glob="/corpus/src[!0-8]/*/doc_?*.??")).select("id", "file_path")
+
+
+@query(f"SELECT id, file_path FROM ({CHUNKS}) WHERE ends_with(file_path, '.md') OR ends_with(file_path, '.cs')")
+def filter_ext(spark, sf_dir):
+    (chunks,) = inputs(spark, sf_dir, CHUNKS)
+    return chunks.where(ranking.keep_where(F.col("file_path"), extensions=["MD", ".cs"])).select("id", "file_path")
+
+
+@query(f"SELECT id, file_path FROM ({CHUNKS}) WHERE contains(file_path, 'doc_17') OR contains(file_path, 'src3/en')")
+def filter_paths(spark, sf_dir):
+    (chunks,) = inputs(spark, sf_dir, CHUNKS)
+    return chunks.where(ranking.keep_where(F.col("file_path"), paths=["doc_17", "src3\\en"])).select("id", "file_path")
+
+
+@query(f"WITH ranked AS (SELECT 1 AS query_id, id, 0.0 AS score, row_number() OVER (ORDER BY id) AS rank FROM ({CHUNKS})), {_dedup_sql('ranked', 1 << 40)} SELECT id FROM cut")
+def dedup_content(spark, sf_dir):
+    """Of equal bodies the first by id, over all documents: grouped by body, so no row number over the whole table is needed."""
+    (chunks,) = inputs(spark, sf_dir, CHUNKS)
+    stripped = F.regexp_replace(F.coalesce("content", F.lit("")), r"^\s+|\s+$", "")
+    key = F.when(F.length(stripped) >= ranking.MIN_BODY, F.sha2(stripped, 256)).otherwise(F.concat(F.lit("id "), F.col("id").cast("string")))
+    return chunks.groupBy(key.alias("key")).agg(F.min("id").alias("id")).select("id")
+
+
+_SOURCES = "SELECT id, content, file_path, lang AS origin FROM ({})".format(CHUNKS)
+
+
+def _per_source(spark, sf_dir):
+    """BM25 pools of each source on its own: the source is part of the query's and the chunk's key."""
+    chunks, asked = inputs(spark, sf_dir, CHUNKS, ASKED)
+    pools = [ranking.bm25(chunks.where(F.col("lang") == lang), asked, 30).withColumn("origin", F.lit(lang)) for lang in ("de", "en", "es", "fr")]
+    out = pools[0]
+    for p in pools[1:]:
+        out = out.unionByName(p)
+    return chunks, asked, out
+
+
+_POOLS = ", ".join(bm25_sql(f"SELECT * FROM ({CHUNKS}) WHERE lang = '{x}'", ASKED, 30, f"b_{x}") for x in ("de", "en", "es", "fr"))
+_POOLED = "pooled AS (" + " UNION ALL ".join(f"SELECT *, '{x}' AS origin FROM b_{x}" for x in ("de", "en", "es", "fr")) + ")"
+
+
+@query(f"WITH {_POOLS}, {_POOLED}, s AS (SELECT query_id, origin, id, round(1.0 / (60 + rank), 6) AS score, rank AS old FROM pooled), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, old, origin, id) AS rank FROM s) SELECT query_id, origin, id, score, rank FROM r WHERE rank <= 5")
+def search_all(spark, sf_dir):
+    _, _, pools = _per_source(spark, sf_dir)
+    return ranking.fuse([pools], 5, keys=("origin", "id")).select("query_id", "origin", "id", "score", "rank")
+
+
+_LEX = f"round(len(list_intersect(list_distinct({TOK.format('b.text')}), list_distinct({TOK.format('substr(c.content, 1, 1600)')}))) / CAST(greatest(len(list_distinct({TOK.format('b.text')})), 1) AS DOUBLE), 6)"
+
+
+@query(f"WITH {bm25_sql(CHUNKS, ASKED, 30)}, h AS (SELECT r.query_id, r.id, r.score AS original_score, r.rank AS old, count(*) OVER (PARTITION BY r.query_id) AS n, {_LEX} AS lex FROM bm25 AS r JOIN ({CHUNKS}) AS c USING (id) JOIN ({ASKED}) AS b ON b.query_id = r.query_id), x AS (SELECT *, CASE WHEN n > 1 THEN lex ELSE original_score END AS score FROM h), y AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, old) AS rank FROM x) SELECT query_id, id, score, original_score, n > 1 AS reranked, rank FROM y WHERE rank <= 5")
+def rerank_lexical(spark, sf_dir):
+    chunks, asked = inputs(spark, sf_dir, CHUNKS, ASKED)
+    hits = ranking.bm25(chunks, asked, 30).join(chunks, "id").join(asked.withColumnRenamed("text", "query_text"), "query_id")
+    return ranking.rerank(hits, 5).select("query_id", "id", "score", "original_score", "reranked", "rank")
+
+
+_VARIANTS = "SELECT conv_id AS search_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS variant, conv_id * 1000 + turn AS query_id, text FROM conversations WHERE role = 'user'"
+
+
+@query(f"""WITH v AS ({_VARIANTS}), {bm25_sql(CHUNKS, 'SELECT query_id, text FROM v', 10)}, t AS (SELECT query_id, count(*) AS n, max(score) AS top FROM bm25 GROUP BY query_id),
+x AS (SELECT v.search_id, variant, coalesce(n, 0) AS n, coalesce(top, 0) AS top FROM v LEFT JOIN t USING (query_id)),
+g AS (SELECT search_id, min(variant) FILTER (n >= 2 AND top >= 60.0) AS winning_variant, count(*) AS variants, arg_max(variant, top * 1000 - variant / 1000.0) AS best FROM x GROUP BY search_id)
+SELECT search_id, winning_variant, coalesce(winning_variant, variants) AS variants_tried, winning_variant IS NULL AS all_weak, coalesce(winning_variant, best) AS best_variant FROM g""")
+def deep_search(spark, sf_dir):
+    chunks, variants = inputs(spark, sf_dir, CHUNKS, _VARIANTS)
+    variants = variants.withColumn("variant", F.col("variant").cast("long"))
+    ranked = ranking.bm25(chunks, variants.select("query_id", "text"), 10)
+    return ranking.deep_search(ranked, variants, threshold=60.0)
+
+
+_SELF = "SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 20 = 0"
+_BODY = f"SELECT id, trim(substr(content, 1, 2000)) AS body FROM ({CHUNKS})"
+
+
+@query(f"""WITH {dense_sql(VECTORS, 'SELECT vec_id AS query_id, embedding AS vector FROM embeddings WHERE vec_id % 20 = 0', 11)}, b AS ({_BODY}),
+o AS (SELECT d.query_id, d.id, d.score FROM dense AS d LEFT JOIN b ON b.id = d.id LEFT JOIN b AS q ON q.id = d.query_id WHERE d.id <> d.query_id AND coalesce(b.body, '') <> coalesce(q.body, '-'))
+SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM o) WHERE rank <= 10""")
+def find_similar(spark, sf_dir):
+    vectors, chunks, asked = inputs(spark, sf_dir, VECTORS, CHUNKS, _SELF)
+    return ranking.find_similar(vectors, chunks, asked, 10)
+
+
+@query(f"WITH {bm25_sql(CHUNKS, ASKED, 20 * 3 + 5)}, h AS (SELECT r.query_id, r.id, c.file_path, r.rank AS old FROM bm25 AS r JOIN ({CHUNKS}) AS c USING (id) WHERE regexp_matches(file_path, '(?i)(^|/)(test|tests|spec|__tests__)/|_test[.]|[.]test[.]|[.]spec[.]|Test[.]cs$|Tests[.]cs$')) SELECT query_id, id, file_path, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY old) AS rank FROM h) WHERE rank <= 20")
+def find_tests(spark, sf_dir):
+    chunks, asked = inputs(spark, sf_dir, CHUNKS, ASKED)
+    hits = ranking.bm25(chunks, asked, 20 * 3 + ranking.HEADROOM).join(chunks.select("id", "file_path"), "id").where(F.col("file_path").rlike(tx.TEST_PATH))
+    return hits.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where("nth <= 20").select("query_id", "id", "file_path", F.col("nth").alias("rank"))
+
+
+@query(f"WITH {bm25_sql(CHUNKS, ASKED, 40)}, {_dedup_sql('bm25', 8, where=chr(39).join(['contains(file_path, ', 'src7/', ') OR contains(file_path, ', 'doc_1', ')']))} SELECT * FROM cut")
+def search_diff(spark, sf_dir):
+    chunks, asked = inputs(spark, sf_dir, CHUNKS, ASKED)
+    return ranking.retrieve(chunks, asked, 8, "sparse", paths=["src7/", "doc_1"]).select("query_id", "id", "score", "rank")
+
+
+_TRUTH = "SELECT item_id AS query_id, doc_id AS id FROM benchmark JOIN documents ON contains(documents.text, benchmark.text)"
+
+
+@query(f"""WITH {bm25_sql(CHUNKS, ASKED, 5)}, truth AS ({_TRUTH}), f AS (SELECT query_id, min(rank) AS first FROM bm25 JOIN truth USING (query_id, id) GROUP BY query_id), a AS (SELECT b.query_id, first FROM ({ASKED}) AS b LEFT JOIN f USING (query_id))
+SELECT count(*) AS n_tasks, round(avg(CASE WHEN first <= 5 THEN 1.0 ELSE 0 END), 6) AS hit_at_k, round(avg(CASE WHEN first = 1 THEN 1.0 ELSE 0 END), 6) AS hit_at_1, round(avg(CASE WHEN first <= 5 THEN 1.0 / first ELSE 0 END), 6) AS mrr FROM a""")
+def evaluate_hits(spark, sf_dir):
+    chunks, asked = inputs(spark, sf_dir, CHUNKS, ASKED)
+    truth = chunks.join(asked, F.contains(chunks.content, asked.text)).select("query_id", "id")
+    return ranking.evaluate(ranking.bm25(chunks, asked, 5), truth, asked)
+
+
+_WORDS = "list_filter(list_distinct(regexp_extract_all(lower(text), '([a-z_][a-z0-9_]{2,})', 1)), lambda w: NOT list_contains([" + ", ".join(f"'{w}'" for w in tx.STOP_WORDS) + "], w))"
+
+
+@query(f"""WITH a AS (SELECT query_id, unnest({_WORDS}) AS word FROM ({ASKED})), l AS (SELECT id, lower(coalesce(content, '')) AS t FROM ({CHUNKS})), w AS (SELECT DISTINCT word FROM a),
+f AS (SELECT id, word, CAST((length(t) - length(replace(t, word, ''))) / length(word) AS BIGINT) AS n FROM l JOIN w ON contains(t, word)), d AS (SELECT word, count(*) AS df FROM f GROUP BY word),
+s AS (SELECT query_id, id, round(sum(ln((SELECT count(*) FROM l) / (1.0 + df)) * ln(1.0 + n)), 6) AS score FROM f JOIN d USING (word) JOIN a USING (word) GROUP BY query_id, id)
+SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5""")
+def grep_baseline(spark, sf_dir):
+    return ranking.grep_rank(*inputs(spark, sf_dir, CHUNKS, ASKED))
+
+
+# ---- rows of the interface ------------------------------------------------------------------------------------------
+
+@query(f"WITH {bm25_sql(CHUNKS, ASKED, 5)} SELECT r.query_id, c.source, string_split(c.file_path, '/')[-1] AS file, c.file_path, '' AS symbol, 'text_window' AS kind, CASE WHEN ends_with(file_path, '.py') THEN 'python' WHEN ends_with(file_path, '.java') THEN 'java' WHEN ends_with(file_path, '.cs') THEN 'c_sharp' ELSE 'markdown' END AS language, 1 AS start_line, CAST(1 + length(c.content) - length(replace(c.content, chr(10), '')) AS INT) AS end_line, r.score, c.content FROM bm25 AS r JOIN ({CHUNKS}) AS c USING (id)")
+def v1_hits(spark, sf_dir):
+    chunks, asked = inputs(spark, sf_dir, CHUNKS, ASKED)
+    hits = ranking.bm25(chunks, asked, 5).join(chunks, "id")
+    lines = 1 + F.length("content") - F.length(F.replace(F.col("content"), F.lit("\n"), F.lit("")))
+    return hits.select("query_id", F.coalesce("source", F.lit("")).alias("source"), tx.basename(F.col("file_path")).alias("file"), "file_path", F.lit("").alias("symbol"), F.lit("text_window").alias("kind"), F.coalesce(tx.language(F.col("file_path"), F.col("content")), F.lit("")).alias("language"), F.lit(1).alias("start_line"), F.coalesce(lines, F.lit(0)).cast("int").alias("end_line"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("content", F.lit("")).alias("content"))
+
+
+_COLLAPSE = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
+_PREVIEW = "substr(" + _COLLAPSE.format(r"regexp_extract(coalesce(content, ''), '^\s*([^\n]*)', 1)") + ", 1, 200)"
+_HEAD = _COLLAPSE.format(r"regexp_extract(coalesce(content, ''), '(?s)^(.*?)(?:\{|:[ \t\r\f\v]*(?:\n|$))', 1)")
+
+
+@query(f"SELECT id, kind, CASE WHEN kind = 'text_window' OR {_HEAD} = '' THEN {_PREVIEW} ELSE substr({_HEAD}, 1, 400) END AS signature FROM ({CODE})")
+def outline_signature(spark, sf_dir):
+    (code,) = inputs(spark, sf_dir, CODE)
+    return code.select("id", "kind", tx.signature_for(F.col("content"), F.col("kind")).alias("signature"))
+
+
+@query(f"""SELECT id, substr(trim(CASE WHEN contains(content, chr(34) || chr(34) || chr(34)) THEN regexp_extract(regexp_extract(content, '(?s)\"\"\"(.*?)\"\"\"', 1), '^\\s*([^\\n]*)', 1) ELSE regexp_extract(content, '(?m)^\\s*///\\s?(.*)$', 1) END), 1, 200) AS doc FROM ({CODE})""")
+def outline_doc(spark, sf_dir):
+    (code,) = inputs(spark, sf_dir, CODE)
+    return code.select("id", tx.doc_line(F.col("content")).alias("doc"))
+
+
+@query(f"SELECT source AS name, 'documents' AS type, '/corpus/' || source AS location, count(*) AS chunk_count, '' AS last_update FROM ({CHUNKS}) GROUP BY source")
+def v1_sources(spark, sf_dir):
+    (chunks,) = inputs(spark, sf_dir, CHUNKS)
+    return chunks.groupBy("source").agg(F.count("*").alias("chunk_count")).select(F.col("source").alias("name"), F.lit("documents").alias("type"), F.concat(F.lit("/corpus/"), "source").alias("location"), "chunk_count", F.lit("").alias("last_update"))
+
+
+# ---- graph ----------------------------------------------------------------------------------------------------------
+
+def graph_of(spark, sf_dir) -> list[DataFrame]:
+    return inputs(spark, sf_dir, NODES, EDGES, SYMBOLS)
+
+
+def _incident_sql(side: str, relation: str) -> str:
+    other = f"seeds AS s ON s.id = e.{side}"
+    return f"WITH {SEEDS} SELECT DISTINCT s.symbol, {FLAT} FROM edges AS e JOIN {other} JOIN nodes AS f ON f.id = e.source JOIN nodes AS t ON t.id = e.target WHERE relation = '{relation}'"
+
+
+@query(f"WITH {SEEDS} SELECT symbol, id AS node_id FROM seeds")
+def find_symbols(spark, sf_dir):
+    nodes, _, symbols = graph_of(spark, sf_dir)
+    return graph.find_symbols(nodes, symbols)
+
+
+@query(f"WITH {SEEDS}, d AS (SELECT s.symbol, n.*, row_number() OVER (PARTITION BY s.symbol, file, label ORDER BY n.id) AS nth FROM seeds AS s JOIN nodes AS n USING (id)) SELECT symbol, label, kind, file, start_line FROM d WHERE nth = 1")
+def find_definition(spark, sf_dir):
+    nodes, _, symbols = graph_of(spark, sf_dir)
+    rows = graph.find_symbols(nodes, symbols).join(nodes.withColumnRenamed("id", "node_id"), "node_id")
+    first = rows.groupBy("symbol", "file", "label").agg(F.min_by(F.struct("kind", "start_line"), "node_id").alias("d"))
+    return first.select("symbol", "label", "d.kind", "file", "d.start_line")
+
+
+@query(_incident_sql("target", "calls"))
+def callers(spark, sf_dir):
+    return graph.callers(*graph_of(spark, sf_dir), limit=None)
+
+
+@query(_incident_sql("source", "calls"))
+def callees(spark, sf_dir):
+    return graph.callees(*graph_of(spark, sf_dir), limit=None)
+
+
+@query(_incident_sql("target", "inherits"))
+def subclasses(spark, sf_dir):
+    return graph.subclasses(*graph_of(spark, sf_dir), limit=None)
+
+
+@query(_incident_sql("source", "inherits"))
+def superclasses(spark, sf_dir):
+    return graph.superclasses(*graph_of(spark, sf_dir), limit=None)
+
+
+@query(f"WITH nodes AS ({NODES}), edges AS ({EDGES}) SELECT {FLAT} FROM edges AS e JOIN nodes AS f ON f.id = e.source JOIN nodes AS t ON t.id = e.target")
+def v1_edges(spark, sf_dir):
+    nodes, edges, _ = graph_of(spark, sf_dir)
+    return graph.flat_edges(edges, nodes)
+
+
+def _walk_sql(relation: str, here: str, there: str, depth: int) -> str:
+    return f"""walk AS (SELECT symbol, id, 0 AS depth FROM seeds UNION SELECT w.symbol, e.{there}, w.depth + 1 FROM walk AS w JOIN edges AS e ON e.{here} = w.id WHERE relation = '{relation}' AND w.depth < {depth}),
+reached AS (SELECT symbol, id, min(depth) AS depth FROM walk GROUP BY symbol, id)"""
+
+
+@query(f"WITH RECURSIVE {SEEDS}, {_walk_sql('calls', 'target', 'source', 3)} SELECT symbol, r.id, label, file, depth FROM reached AS r JOIN nodes USING (id) WHERE depth > 0")
+def transitive_callers(spark, sf_dir):
+    return graph.transitive_callers(*graph_of(spark, sf_dir), max_depth=3)
+
+
+@query(f"WITH RECURSIVE {SEEDS}, {_walk_sql('inherits', 'target', 'source', 6)} SELECT symbol, r.id, label, depth AS level FROM reached AS r JOIN nodes USING (id) WHERE depth > 0")
+def descendant_closure(spark, sf_dir):
+    return graph.descendants(*graph_of(spark, sf_dir), levels=6)
+
+
+@query(f"""WITH RECURSIVE {SEEDS}, up AS (SELECT symbol, id, 0 AS depth FROM seeds UNION SELECT w.symbol, e.source, w.depth + 1 FROM up AS w JOIN edges AS e ON e.target = w.id WHERE relation = 'calls' AND w.depth < 2),
+down AS (SELECT symbol, id, 0 AS depth FROM seeds UNION SELECT w.symbol, e.target, w.depth + 1 FROM down AS w JOIN edges AS e ON e.source = w.id WHERE relation = 'calls' AND w.depth < 2),
+b AS (SELECT symbol, id, depth, -depth AS layer FROM up UNION ALL SELECT symbol, id, depth, depth FROM down), r AS (SELECT symbol, id, layer FROM b QUALIFY row_number() OVER (PARTITION BY symbol, id ORDER BY depth, layer) = 1)
+SELECT symbol, id, label, layer, CASE WHEN layer = 0 THEN 'seed' WHEN layer < 0 THEN 'caller' ELSE 'callee' END AS role FROM r JOIN nodes USING (id)""")
+def symbol_view(spark, sf_dir):
+    return graph.symbol_view(*graph_of(spark, sf_dir), depth=2)
+
+
+@query(f"""WITH {SEEDS}, both_ways AS (SELECT source AS here, target AS there FROM edges UNION SELECT target, source FROM edges), inner_nodes AS (SELECT symbol, id FROM seeds UNION SELECT s.symbol, b.there FROM seeds AS s JOIN both_ways AS b ON b.here = s.id)
+SELECT DISTINCT i.symbol, {FLAT} FROM edges AS e JOIN inner_nodes AS i ON i.id = e.source OR i.id = e.target JOIN nodes AS f ON f.id = e.source JOIN nodes AS t ON t.id = e.target WHERE relation = 'inherits'""")
+def neighbors(spark, sf_dir):
+    return graph.neighbors(*graph_of(spark, sf_dir), depth=2, relation="inherits").distinct()
+
+
+@query(f"""WITH {SEEDS}, own AS (SELECT DISTINCT s.symbol, fl.id FROM seeds AS s JOIN nodes AS n USING (id) JOIN nodes AS fl ON fl.file = n.file AND fl.kind = 'file'),
+rest AS (SELECT DISTINCT symbol, fl.id FROM asked JOIN nodes AS fl ON fl.kind = 'file' AND contains(lower(fl.file || ' ' || fl.label), lower(trim(symbol))) WHERE symbol NOT IN (SELECT symbol FROM own)), files AS (SELECT * FROM own UNION SELECT * FROM rest)
+SELECT DISTINCT s.symbol, {FLAT} FROM edges AS e JOIN files AS s ON s.id = e.source JOIN nodes AS f ON f.id = e.source JOIN nodes AS t ON t.id = e.target WHERE relation IN ('imports', 'imports_from')""")
+def imports(spark, sf_dir):
+    return graph.imports(*graph_of(spark, sf_dir), limit=None)
+
+
+@query(f"WITH nodes AS ({NODES}), asked AS ({FILES}) SELECT asked, n.* FROM nodes AS n JOIN asked ON contains(lower(file), lower(asked)) WHERE kind IN ('function', 'class')")
+def nodes_in_file(spark, sf_dir):
+    nodes, files = inputs(spark, sf_dir, NODES, FILES)
+    return graph.nodes_in_file(nodes, files)
+
+
+_PAIRS = "SELECT 'Brand' || substr(p.p_brand, 7) || '.' || replace(p.p_name, ' ', '_') || '_' || (p.p_partkey % 7) AS source_symbol, 'ASIA' AS target_symbol FROM part AS p WHERE p.p_partkey % 211 = 3"
+_PAIR_SQL = "SELECT 'fn_' || a.l_partkey AS s, 'fn_' || b.l_partkey AS t FROM lineitem AS a JOIN lineitem AS b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 2 WHERE a.l_orderkey % 500 = 0"
+
+
+@query(f"""WITH RECURSIVE nodes AS ({NODES}), edges AS ({EDGES}), pairs AS (SELECT DISTINCT n.label AS source_symbol, m.label AS target_symbol FROM ({_PAIR_SQL}) AS p JOIN nodes AS n ON n.id = p.s JOIN nodes AS m ON m.id = p.t),
+w AS (SELECT source_symbol, n.id, [n.id] AS path FROM (SELECT DISTINCT source_symbol FROM pairs) JOIN nodes AS n ON lower(n.label) = lower(source_symbol) AND n.kind NOT IN ('file', 'external') UNION ALL SELECT source_symbol, e.target, list_append(path, e.target) FROM w JOIN edges AS e ON e.source = w.id WHERE len(path) <= 4 AND NOT list_contains(path, e.target)),
+h AS (SELECT p.source_symbol, p.target_symbol, path FROM pairs AS p JOIN w ON w.source_symbol = p.source_symbol JOIN nodes AS m ON m.id = w.id AND lower(m.label) = lower(p.target_symbol) AND m.kind NOT IN ('file', 'external'))
+SELECT source_symbol, target_symbol, CAST(len(path) - 1 AS BIGINT) AS hops, array_to_string(path, '>') AS path FROM h QUALIFY row_number() OVER (PARTITION BY source_symbol, target_symbol ORDER BY len(path), path) = 1""")
+def shortest_path(spark, sf_dir):
+    nodes, edges, p = inputs(spark, sf_dir, NODES, EDGES, _PAIR_SQL)
+    label = lambda c, name: nodes.select(F.col("id").alias(c), F.col("label").alias(name))
+    pairs = p.join(label("s", "source_symbol"), "s").join(label("t", "target_symbol"), "t").select("source_symbol", "target_symbol").distinct()
+    return graph.shortest_path(nodes, edges, pairs, max_hops=4)
+
+
+_USERS = "users AS (SELECT DISTINCT a.asked, c.id, c.file FROM asked AS a JOIN nodes AS n ON contains(lower(n.file), lower(a.asked)) AND n.kind IN ('function', 'class') JOIN edges AS e ON e.target = n.id AND relation = 'calls' JOIN nodes AS c ON c.id = e.source WHERE c.file <> n.file)"
+
+
+@query(f"""WITH nodes AS ({NODES}), edges AS ({EDGES}), asked AS ({FILES}), {_USERS}
+SELECT asked, (SELECT count(*) FROM nodes AS n WHERE contains(lower(n.file), lower(a.asked)) AND n.kind IN ('function', 'class')) AS n_symbols,
+ (SELECT count(*) FROM edges AS e JOIN nodes AS n ON n.id = e.source WHERE n.kind = 'file' AND relation = 'imports' AND contains(lower(n.file), lower(a.asked))) AS n_imports,
+ coalesce((SELECT string_agg(DISTINCT file, ',' ORDER BY file) FROM users AS u WHERE u.asked = a.asked), '') AS dependents FROM asked AS a""")
+def module_summary(spark, sf_dir):
+    return graph.module_summary(*inputs(spark, sf_dir, NODES, EDGES, FILES))
+
+
+@query(f"""WITH nodes AS ({NODES}), edges AS ({EDGES}), asked AS ({FILES}), {_USERS}, r AS (SELECT asked, n.id, 0 AS layer, 'seed' AS role FROM asked JOIN nodes AS n ON contains(lower(n.file), lower(asked)) AND n.kind IN ('function', 'class')
+ UNION SELECT asked, e.target, -1, 'import' FROM asked JOIN nodes AS n ON n.kind = 'file' AND contains(lower(n.file), lower(asked)) JOIN edges AS e ON e.source = n.id AND relation = 'imports' UNION SELECT asked, id, 1, 'dependent' FROM users)
+SELECT asked, r.id, label, layer, role FROM r JOIN nodes USING (id) QUALIFY row_number() OVER (PARTITION BY asked, r.id ORDER BY abs(layer), layer) = 1""")
+def module_view(spark, sf_dir):
+    return graph.module_view(*inputs(spark, sf_dir, NODES, EDGES, FILES))
+
+
+@query(f"WITH nodes AS ({NODES}), edges AS ({EDGES}) SELECT 'language' AS dimension, CASE WHEN lang_key = '' THEN 'external' ELSE lang_key END AS value, count(*) AS n FROM nodes GROUP BY 2 UNION ALL SELECT 'kind', kind, count(*) FROM nodes GROUP BY 2 UNION ALL SELECT 'relation', relation, count(*) FROM edges GROUP BY 2")
+def graph_status(spark, sf_dir):
+    nodes, edges, _ = graph_of(spark, sf_dir)
+    return graph.status(nodes, edges)
+
+
+@query(f"""WITH nodes AS ({NODES}), edges AS ({EDGES}), ends AS (SELECT source AS id, 0 AS i, 1 AS o FROM edges UNION ALL SELECT target, 1, 0 FROM edges), d AS (SELECT id, sum(i) AS i, sum(o) AS o FROM ends GROUP BY id),
+r AS (SELECT n.id, label, kind, CAST(coalesce(i, 0) AS BIGINT) AS in_degree, CAST(coalesce(o, 0) AS BIGINT) AS out_degree FROM nodes AS n LEFT JOIN d USING (id) WHERE kind NOT IN ('file', 'external'))
+SELECT *, in_degree + out_degree AS degree, row_number() OVER (ORDER BY in_degree + out_degree DESC, id) AS rank FROM r ORDER BY degree DESC, id LIMIT 10""")
+def god_nodes(spark, sf_dir):
+    nodes, edges, _ = graph_of(spark, sf_dir)
+    return analytics.hubs(nodes, edges)
+
+
+@query()
+def communities(spark, sf_dir):
+    nodes, edges, _ = graph_of(spark, sf_dir)
+    return analytics.communities(nodes, edges)
+
+
+@query()
+def surprising_connections(spark, sf_dir):
+    nodes, edges, _ = graph_of(spark, sf_dir)
+    return analytics.bridges(nodes, edges)
+
+
+_WRITES = "SELECT 'n' || (l_partkey % 300) AS source, 'n' || (l_suppkey % 40) AS target, l_returnflag AS relation, CASE WHEN l_linenumber % 3 = 0 THEN l_linestatus END AS confidence, CASE WHEN l_linenumber % 2 = 0 THEN 'm' || l_linenumber END AS module, CAST(NULL AS STRING) AS base_kind, 'f' || l_suppkey AS from_file, l_linenumber AS from_line, l_orderkey * 1000000 + l_linenumber * 100000 + l_partkey AS ord FROM lineitem WHERE l_orderkey % 10 = 0"
+
+
+@query(f"WITH w AS ({_WRITES}) SELECT source, target, arg_max(relation, ord) AS relation, arg_max(confidence, ord) AS confidence, arg_max(module, ord) AS module, arg_max(from_line, ord) AS from_line FROM w GROUP BY source, target")
+def edge_upsert(spark, sf_dir):
+    writes, nodes = inputs(spark, sf_dir, _WRITES, NODES)
+    edges, _ = graph.upsert_edges(writes, nodes)
+    return edges.select("source", "target", "relation", "confidence", "module", "from_line")
+
+
+_CALLS = "SELECT 'fn_' || l_partkey AS caller, replace(p_name, ' ', '_') || '_' || (p_partkey % 7) AS callee_name, l_linenumber % 2 = 0 AS is_member, '/repo/x' || (l_orderkey % 9) AS file, l_linenumber AS line FROM lineitem JOIN part ON p_partkey = l_orderkey % 2000 WHERE l_orderkey % 40 = 1"
+_BASES = "SELECT 'fn_' || p_partkey AS child, replace(p_name, ' ', '_') || '_' || (p_partkey % 5) AS base_name, 'extends' AS base_kind, '/repo/y' AS file, p_size AS line FROM part WHERE p_type = 'ECONOMY'"
+
+
+def _resolve_sql(raw: str, name: str, origin: str, relation: str, existing: str, extra: str, out: str, member: str = "true", base: str = "CAST(NULL AS VARCHAR)") -> str:
+    return f"""{out}_c AS (SELECT r.*, i.id AS node_id, count(*) OVER (PARTITION BY {origin}, {name}, r.file, r.line) AS n FROM (SELECT DISTINCT * FROM ({raw})) AS r JOIN ix AS i ON lower({name}) = i.leaf),
+{out}_e AS (SELECT {origin} AS source, node_id AS target, CASE WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS confidence, {base} AS base_kind, file AS from_file, line AS from_line FROM {out}_c WHERE (n = 1 OR {member}) AND {extra}),
+{out} AS (SELECT source, target, '{relation}' AS relation, confidence, from_file, from_line FROM {out}_e AS e WHERE NOT EXISTS (SELECT 1 FROM {existing} AS x WHERE x.source = e.source AND x.target = e.target) QUALIFY row_number() OVER (PARTITION BY source, target ORDER BY from_file, from_line, confidence, base_kind) = 1)"""
+
+
+_IX = f"nodes AS ({NODES}), old AS (SELECT * FROM ({EDGES}) WHERE relation <> 'inherits'), ix AS (SELECT id, lower(string_split(label, '.')[-1]) AS leaf FROM nodes WHERE kind IN ('function', 'class'))"
+_RC = _resolve_sql(_CALLS, "callee_name", "caller", "calls", "old", "caller <> node_id", "rc", "NOT is_member")
+
+
+@query(f"WITH {_IX}, {_RC} SELECT * FROM rc")
+def resolve_calls(spark, sf_dir):
+    nodes, edges, calls = inputs(spark, sf_dir, NODES, EDGES, _CALLS)
+    old = edges.where("relation <> 'inherits'")
+    return graph.resolve(calls, graph.symbol_index(nodes), old, "calls", "callee_name", "caller", "is_member").select("source", "target", "relation", "confidence", "from_file", "from_line")
+
+
+_ALL = f"{_IX}, {_RC}, both_e AS (SELECT source, target FROM old UNION SELECT source, target FROM rc), " + _resolve_sql(_BASES, "base_name", "child", "inherits", "both_e", "true", "ri", base="base_kind")
+
+
+@query(f"WITH {_ALL} SELECT * FROM ri")
+def resolve_inherits(spark, sf_dir):
+    nodes, edges, calls, bases = inputs(spark, sf_dir, NODES, EDGES, _CALLS, _BASES)
+    every = graph.resolve_all(nodes, edges.where("relation <> 'inherits'"), calls, bases)
+    return every.where("relation = 'inherits'").select("source", "target", "relation", "confidence", "from_file", "from_line")
+
+
+@query(f"WITH {_ALL} SELECT relation, coalesce(confidence, '') AS confidence, count(*) AS n FROM (SELECT relation, confidence FROM old UNION ALL SELECT relation, confidence FROM rc UNION ALL SELECT relation, confidence FROM ri) GROUP BY ALL")
+def reresolve_names(spark, sf_dir):
+    """Resolves all, then again the names of every third part: the counts stay those of one full resolution."""
+    nodes, edges, calls, bases, parts = inputs(spark, sf_dir, NODES, EDGES, _CALLS, _BASES, "SELECT replace(p_name, ' ', '_') || '_' || (p_partkey % 7) AS leaf FROM part WHERE p_partkey % 3 = 0")
+    full = graph.resolve_all(nodes, edges.where("relation <> 'inherits'"), calls, bases)
+    again = graph.reresolve(nodes, full, calls, bases, parts)
+    return again.groupBy("relation", F.coalesce("confidence", F.lit("")).alias("confidence")).agg(F.count("*").alias("n"))
+
+
+_CHANGED = "SELECT '/repo/Brand#' || (p_partkey % 25 + 1) || '.py' AS path, 'def ' || replace(p_name, ' ', '_') || '_' || (p_partkey % 7) || '(x):' || chr(10) || '  pass' AS content FROM part WHERE p_partkey % 101 = 7"
+
+
+@query(f"""WITH nodes AS ({NODES}), edges AS ({EDGES}), names AS (SELECT path, regexp_extract(content, 'def ([A-Za-z_]\\w*)', 1) AS symbol FROM ({_CHANGED})),
+s AS (SELECT DISTINCT symbol, n.id FROM names JOIN nodes AS n ON n.kind IN ('function', 'class') AND (lower(string_split(n.label, '.')[-1]) = lower(symbol) OR lower(n.label) = lower(symbol)))
+SELECT DISTINCT names.symbol, c.label AS caller, c.file AS caller_file FROM names JOIN s USING (symbol) JOIN edges AS e ON e.target = s.id AND relation = 'calls' JOIN nodes AS c ON c.id = e.source WHERE c.file <> names.path""")
+def pr_impact(spark, sf_dir):
+    changed, nodes, edges = inputs(spark, sf_dir, _CHANGED, NODES, EDGES)
+    return graph.pr_impact(changed, nodes, edges)
+
+
+# ---- upkeep ---------------------------------------------------------------------------------------------------------
+
+_FOUND = "SELECT file_path AS path, sha256(CASE WHEN id % 10 = 1 THEN content || '!' ELSE content END) AS sha256 FROM ({}) WHERE id % 10 <> 0"
+_KNOWN = "SELECT file_path AS path, sha256(content) AS sha256 FROM ({}) WHERE id % 10 <> 2"
+
+
+def _file_states(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    edited = F.when(F.col("id") % 10 == 1, F.concat("content", F.lit("!"))).otherwise(F.col("content"))
+    found = chunks.where("id % 10 <> 0").select(F.col("file_path").alias("path"), upkeep.content_hash(edited).alias("sha256"))
+    known = chunks.where("id % 10 <> 2").select(F.col("file_path").alias("path"), upkeep.content_hash(F.col("content")).alias("sha256"))
+    return found, known
+
+
+_STATUS = f"SELECT coalesce(f.path, k.path) AS path, CASE WHEN k.path IS NULL THEN 'added' WHEN f.path IS NULL THEN 'removed' WHEN f.sha256 = k.sha256 THEN 'unchanged' ELSE 'changed' END AS status FROM ({_FOUND.format(CHUNKS)}) AS f FULL JOIN ({_KNOWN.format(CHUNKS)}) AS k ON f.path = k.path"
+
+
+@query(_STATUS)
+def file_partition(spark, sf_dir):
+    (chunks,) = inputs(spark, sf_dir, CHUNKS)
+    return upkeep.partition_files(*_file_states(chunks))
+
+
+@query(f"SELECT id, sha256(CASE WHEN id % 10 = 1 THEN content || '!' ELSE content END) AS body FROM ({CHUNKS}) WHERE id % 10 <> 0")
+def delta_merge(spark, sf_dir):
+    """Stored chunks brought in step by the difference of hashes; equals what a rebuild would store."""
+    (chunks,) = inputs(spark, sf_dir, CHUNKS)
+    stored = chunks.where("id % 10 <> 2").select("file_path", "id", "content")
+    fresh = chunks.where("id % 10 <> 0").select("file_path", "id", F.when(F.col("id") % 10 == 1, F.concat("content", F.lit("!"))).otherwise(F.col("content")).alias("content"))
+    merged = upkeep.merge_chunks(stored, fresh, upkeep.partition_files(*_file_states(chunks)))
+    return merged.select("id", F.sha2("content", 256).alias("body"))
+
+
+_EDITED = f"SELECT id, CASE WHEN id % 10 = 1 THEN content || ' Extra alphaBeta' ELSE content END AS content, file_path FROM ({CHUNKS}) WHERE id % 10 <> 0"
+
+
+@query(f"WITH {bm25_sql(_EDITED, ASKED, 10)} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM bm25_p GROUP BY term")
+def bm25_incremental(spark, sf_dir):
+    """Postings after edits and removals of a tenth of the chunks each, by replacing theirs only."""
+    before, after = inputs(spark, sf_dir, CHUNKS, _EDITED)
+    touched = before.where("id % 10 <= 1").select("id")
+    fresh = ranking.postings(after.where("id % 10 = 1"))
+    merged = upkeep.merge_postings(ranking.postings(before), fresh, touched)
+    return merged.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
+_OLD = "SELECT 'path' AS setting, '/corpus' AS value UNION ALL SELECT 'extensions', '.py' UNION ALL SELECT 'collection', CAST((SELECT count(*) FROM nation) AS STRING) UNION ALL SELECT 'top_k', '5'"
+_NEW = "SELECT 'path' AS setting, '/corpus2' AS value UNION ALL SELECT 'extensions', '.py' UNION ALL SELECT 'collection', CAST((SELECT count(*) FROM region) AS STRING) UNION ALL SELECT 'mode', 'hybrid'"
+
+
+@query(f"SELECT coalesce(o.setting, n.setting) AS setting, o.value AS old, n.value AS new, CASE WHEN coalesce(o.setting, n.setting) = 'path' THEN 'critical' WHEN coalesce(o.setting, n.setting) = 'collection' THEN 'warning' ELSE 'info' END AS severity FROM ({_OLD}) AS o FULL JOIN ({_NEW}) AS n ON o.setting = n.setting WHERE o.value IS DISTINCT FROM n.value")
+def drift(spark, sf_dir):
+    return upkeep.drift(*inputs(spark, sf_dir, _OLD, _NEW))
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst FROM g)
+SELECT user_id AS key, min(ts) AS first_at, max(ts) AS last_at, count(*) AS n_events, arg_max(event_type, ts) AS action FROM s GROUP BY user_id, burst""")
+def debounce_sessions(spark, sf_dir):
+    (events,) = inputs(spark, sf_dir, "SELECT * FROM events")
+    return upkeep.debounced(events, "user_id", "ts", "event_type", "2 hours")
+
+
+@query(f"SELECT CASE lang WHEN 'en' THEN 'python' WHEN 'de' THEN 'java' WHEN 'fr' THEN 'c_sharp' ELSE 'markdown' END AS language, count(*) AS n FROM ({CHUNKS}) GROUP BY 1 ORDER BY n DESC, language LIMIT 8")
+def lang_histogram(spark, sf_dir):
+    (chunks,) = inputs(spark, sf_dir, CHUNKS)
+    return upkeep.language_histogram(chunks.select(F.col("file_path").alias("path")))
+
+
+@query(f"SELECT '.' || string_split(file_path, '.')[-1] AS extension, count(*) AS n FROM ({CHUNKS}) GROUP BY 1 ORDER BY n DESC, extension LIMIT 10")
+def detect_extensions(spark, sf_dir):
+    (chunks,) = inputs(spark, sf_dir, CHUNKS)
+    return upkeep.detect_extensions(chunks.select(F.col("file_path").alias("path")))
+
+
+_FEEDBACK = "SELECT ts AS at, event_type AS name FROM events"
+
+
+@query("SELECT event_type AS source, count(*) AS n, min(ts) AS first_at, max(ts) AS last_at FROM events GROUP BY event_type")
+def feedback_summary(spark, sf_dir):
+    (events,) = inputs(spark, sf_dir, _FEEDBACK)
+    return upkeep.feedback_summary(events.select("at", F.array("name").alias("sources")))
+
+
+_PDF = "SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'skipped_password' WHEN n_chars > 20000 THEN 'skipped_too_large' WHEN n_chars < 100 THEN 'skipped_empty' WHEN doc_id % 13 = 0 THEN 'error' ELSE 'ok' END AS status, 1 + CAST(floor(n_chars / 1000.0) AS BIGINT) AS total_pages FROM documents"
+
+
+@query(f"SELECT sum(CASE WHEN status = 'ok' THEN 1 ELSE 0 END)::BIGINT AS n_ok, sum(CASE WHEN starts_with(status, 'skipped') THEN 1 ELSE 0 END)::BIGINT AS n_skipped, sum(CASE WHEN status = 'ok' THEN total_pages ELSE 0 END)::BIGINT AS pages FROM ({_PDF})")
+def pdf_status(spark, sf_dir):
+    from siltstone.sources import pdf
+
+    docs = run_sql(spark, sf_dir, "SELECT doc_id, text, n_chars FROM documents")
+    shaped = docs.select("doc_id", (F.col("doc_id") % 11 == 0).alias("encrypted"), (F.col("n_chars") / 200.0).alias("size_mb"), (1 + F.floor(F.col("n_chars") / 1000.0)).cast("long").alias("total_pages"), F.col("n_chars").alias("n_chars"), F.when(F.col("doc_id") % 13 == 0, "broken").alias("error"))
+    return pdf.summary(shaped.withColumn("status", pdf.status_of()))
+
+
+# ---- web ------------------------------------------------------------------------------------------------------------
+
+@query(r"SELECT page_id, CASE WHEN regexp_matches(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?]*/?$') THEN regexp_replace(url, '#.*$', '') ELSE regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '') END AS normal_url FROM pages")
+def url_normalize(spark, sf_dir):
+    (pages,) = inputs(spark, sf_dir, "SELECT page_id, url FROM pages")
+    return pages.select("page_id", tx.normal_url(F.col("url")).alias("normal_url"))
+
+
+_SITE = r"regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)', 1)"
+
+
+@query(rf"""WITH p AS (SELECT regexp_replace(url, '#.*$', '') AS url, html FROM pages) SELECT DISTINCT CASE WHEN regexp_matches(url, '^[A-Za-z]+://[^/?]*/?$') THEN url ELSE regexp_replace(url, '/+$', '') END AS src_url, regexp_replace({_SITE} || unnest(regexp_extract_all(html, '<a\s[^>]*?href\s*=\s*"([^"]*)"', 1)), '/+$', '') AS dst_url FROM p""")
+def page_links(spark, sf_dir):
+    (pages,) = inputs(spark, sf_dir, "SELECT * FROM pages")
+    return web.links(pages)
+
+
+@query("""WITH f AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', ''), '^[A-Za-z]+://', ''), '[^A-Za-z0-9._\\-]+', '_', 'g') AS n FROM pages) SELECT page_id, regexp_replace(n, '^_+|_+$', '', 'g') || '.md' AS file FROM f""")
+def url_filename(spark, sf_dir):
+    (pages,) = inputs(spark, sf_dir, "SELECT page_id, url FROM pages")
+    return pages.select("page_id", tx.page_file(F.col("url")).alias("file"))
+
+
+@query("SELECT page_id, url FROM pages WHERE (contains(url, '/en/') OR contains(url, '/de/')) AND NOT contains(url, 'page=')")
+def url_filter(spark, sf_dir):
+    (pages,) = inputs(spark, sf_dir, "SELECT page_id, url FROM pages")
+    return pages.where(web.url_passes(F.col("url"), ("/en/", "/de/"), ("page=",)))
+
+
+# ---- recipes for consumers ------------------------------------------------------------------------------------------
+
+@query(f"""WITH {bm25_sql(CHUNKS, ASKED, 5)}, churn AS (SELECT 'doc_' || o_custkey || '.py' AS file, count(*) AS commits, max(o_orderdate) AS last_change FROM orders GROUP BY 1)
+SELECT r.query_id, c.file_path, commits, last_change, r.rank FROM bm25 AS r JOIN ({CHUNKS}) AS c USING (id) JOIN churn ON churn.file = regexp_replace(c.file_path, '.*/', '') WHERE commits >= 2""")
+def churn_join(spark, sf_dir):
+    chunks, asked, churn = inputs(spark, sf_dir, CHUNKS, ASKED, "SELECT 'doc_' || o_custkey || '.py' AS file, count(*) AS commits, max(o_orderdate) AS last_change FROM orders GROUP BY 1 HAVING count(*) >= 2")
+    hits = ranking.bm25(chunks, asked, 5).join(chunks.select("id", "file_path"), "id")
+    return hits.join(churn, tx.basename(F.col("file_path")) == F.col("file")).select("query_id", "file_path", "commits", "last_change", "rank")
+
+
+@query("SELECT json_extract_string(props, '$.k') AS message, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1 ORDER BY n DESC, message LIMIT 10")
+def top_errors(spark, sf_dir):
+    (events,) = inputs(spark, sf_dir, "SELECT * FROM events WHERE event_type = 'error'")
+    return events.groupBy(F.get_json_object("props", "$.k").alias("message")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "message").limit(10)
+
+
+@query(f"WITH asked2 AS (SELECT row_number() OVER (ORDER BY text) AS query_id, text FROM (SELECT DISTINCT text FROM benchmark)), {bm25_sql(CHUNKS, 'SELECT * FROM asked2', 3)} SELECT b.item_id, r.id, r.rank FROM benchmark AS b JOIN asked2 USING (text) JOIN bm25 AS r USING (query_id)")
+def search_per_row(spark, sf_dir):
+    """One search for each row of a table: distinct texts are searched once, then joined back."""
+    chunks, asked = inputs(spark, sf_dir, CHUNKS, ASKED)
+    distinct = asked.groupBy("text").agg(F.min("query_id").alias("query_id"))
+    hits = ranking.bm25(chunks, distinct, 3)
+    return asked.withColumnRenamed("query_id", "item_id").join(distinct, "text").join(hits, "query_id").select("item_id", "id", "rank")
+
+
+@query("""SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
+def event_windows(spark, sf_dir):
+    (events,) = inputs(spark, sf_dir, "SELECT * FROM events")
+    return events.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("day"), "event_type", "n", "total")
