@@ -107,7 +107,11 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Itera
             at, runs = anchors(h, ends, length, gram)
             text = np.searchsorted(ends, at, side="right")
             place = at - np.r_[0, ends[:-1]][text]
-            yield pa.RecordBatch.from_arrays([pa.array(runs.view(np.int64)), batch.column(0)[a:b].take(pa.array(text)), pa.array(place.astype(np.int32))], names=["gram", "id", "at"])
+            order = np.lexsort((place, runs, text))
+            text, runs, place = text[order], runs[order], place[order]
+            new = np.r_[True, (text[1:] != text[:-1]) | (runs[1:] != runs[:-1])] if len(text) else np.array([], bool)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[np.flatnonzero(new), len(text)].astype(np.int32)), pa.array(place.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(runs[new].view(np.int64)), batch.column(0)[a:b].take(pa.array(text[new])), lists], names=["gram", "id", "at"])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
@@ -119,7 +123,11 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iter
             places = batch.column(2)[a:b]
             at = places.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             text = np.repeat(np.arange(b - a), pc.list_value_length(places).to_numpy(zero_copy_only=False))
+            if len(h) < length:
+                continue
             starts = np.r_[0, ends[:-1]]
+            inside = at + gram <= (ends - starts)[text]  # places of another row with this id may not be in this text
+            at, text = at[inside], text[inside]
             flat = at + starts[text]
             runs, least = least_runs(h, ends, length, gram)
             passages = _rolling(h, length)
@@ -222,9 +230,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         raise TypeError(f"{id_col} is to be an integer")
     n = parts(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("id is not null")
-    suffixes = durable(texts.mapInArrow(partial(_anchors, length=length, gram=gram), "gram bigint, id bigint, at int"))
+    suffixes = durable(texts.mapInArrow(partial(_anchors, length=length, gram=gram), "gram bigint, id bigint, at array<int>"))
     twice = suffixes.groupBy("gram").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("gram")
-    places = durable(suffixes.join(twice, "gram").groupBy("id").agg(F.collect_set("at").alias("places")))
+    places = durable(suffixes.join(twice, "gram").groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("places")))
     discard(suffixes)
     row = "gram bigint, context bigint, id bigint, at int, low int, passages array<bigint>"
     extended = durable(texts.join(places, "id").select("id", "t", "places").mapInArrow(partial(_contexts, length=length, gram=gram), row).where("size(passages) > 0"))
@@ -241,12 +249,18 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spans = spans.select("id", F.transform("found", lambda f: F.struct((F.col("at") - f["shift"]).alias("start"), f["first"].alias("first"))).alias("found"))
     # A document's passages, in order; those that overlap or touch make one stretch.
     own = spans.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
-    nothing = f"cast(array() as array<struct<start: int, end: int, first: bigint>>)"
-    merged = F.expr(
-        f"""aggregate(found, {nothing}, (done, x) ->
-          if(size(done) > 0 and element_at(done, -1).end >= x.start,
-             concat(slice(done, 1, size(done) - 1), array(named_struct('start', element_at(done, -1).start, 'end', greatest(element_at(done, -1).end, x.start + {length}), 'first', least(element_at(done, -1).first, x.first)))),
-             concat(done, array(named_struct('start', x.start, 'end', x.start + {length}, 'first', x.first)))))"""
+    # All passages have one length: a stretch begins where the one before begins more than that earlier.
+    begins = F.filter(F.sequence(F.lit(1), F.size("found")), lambda i: (i == 1) | (F.element_at("found", i)["start"] - F.element_at("found", F.greatest(i - 1, F.lit(1)))["start"] > length))
+    own = own.withColumn("begins", begins)
+    following = F.concat(F.slice("begins", 2, F.size("begins")), F.array(F.size("found") + 1))
+    merged = F.zip_with(
+        "begins",
+        following,
+        lambda b, e: F.struct(
+            F.element_at("found", b)["start"].alias("start"),
+            (F.element_at("found", e - 1)["start"] + length).alias("end"),
+            F.array_min(F.transform(F.slice("found", b, e - b), lambda x: x["first"])).alias("first"),
+        ),
     )
     stretch = own.select("id", F.explode(merged).alias("s"))
     return stretch.select(F.col("id").alias(id_col), F.col("s.start").cast("long").alias("start_word"), F.col("s.end").cast("long").alias("end_word"), F.col("s.first").alias("first_id"))

@@ -44,7 +44,7 @@ def test_repeated_passages_like_brute_force(spark, block):
             at = rnd.randrange(len(w) + 1)
             w[at:at] = p
         rows.append((i, " ".join(w), 1, "p"))
-    rows += [(100, None, 1, "p"), (101, "", 1, "p"), (None, rows[0][1], 1, "p"), (102, "a " * 60, 1, "p"), (103, "b " * 200, 1, "p"), (104, "b " * 15, 1, "p"), (105, rows[3][1], 1, "p")]
+    rows += [(100, None, 1, "p"), (101, "", 1, "p"), (None, rows[0][1], 1, "p"), (102, "a " * 60, 1, "p"), (103, "b " * 200, 1, "p"), (104, "b " * 15, 1, "p"), (105, rows[3][1], 1, "p"), (106, "short one", 1, "p"), (106, rows[5][1] + " " + rows[3][1], 1, "p")]
     docs = spark.createDataFrame(rows, DOCS).repartition(3)
     got = suffix_dedup.repeated_passages(docs, length=12, gram=5, block=block)
     assert sorted(map(tuple, got.collect())) == brute_repeats(rows, 12)
