@@ -85,14 +85,19 @@ def fuzzy_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keyed(batches: Iterator[pa.RecordBatch], n_keyed: int) -> Iterator[pa.RecordBatch]:
-    """Rows of (node, fingerprints...), or of one column that is both, to a row for each key of the first n_keyed fingerprints."""
+    """Rows of (node, fingerprints...), or of one column that is both, to a row for each key of the first n_keyed fingerprints: the key, the node, the fingerprint that the key is of, and those without keys."""
     for batch in batches:
         columns = [c.to_numpy() for c in batch.columns]
-        marks = columns[1:] or columns
+        alone = len(columns) == 1
         for i in range(0, len(columns[0]), 20_000):
-            for k, mark in enumerate(marks[:n_keyed]):
+            for k, mark in enumerate(columns if alone else columns[1 : 1 + n_keyed]):
                 where, keys = fuzzy_keys(mark[i : i + 20_000].view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(keys | np.int64(k << 48)), *(pa.array(c[i : i + 20_000][where]) for c in columns)], names=["key", *batch.schema.names])
+                carried = columns if alone else [columns[0], mark, *columns[1 + n_keyed :]]
+                yield pa.RecordBatch.from_arrays([pa.array(keys | np.int64(k << 48)), *(pa.array(c[i : i + 20_000][where]) for c in carried)], names=["key", *_carried(batch.schema.names, n_keyed)])
+
+
+def _carried(columns: list[str], n_keyed: int) -> list[str]:
+    return columns if len(columns) == 1 else [columns[0], "mark", *columns[1 + n_keyed :]]
 
 
 class Stars:
@@ -197,20 +202,20 @@ def _within(bits: int, distances: list[np.ndarray]) -> np.ndarray:
 
 
 def _near_words_and_shingles(bits: int, distances: list[np.ndarray]) -> np.ndarray:
-    *words, shingles = distances
-    return (np.minimum.reduce(words) <= bits) & (shingles <= FAR_BITS)
+    words, shingles = distances
+    return (words <= bits) & (shingles <= FAR_BITS)
 
 
 def link_nodes(nodes: DataFrame, near, n_keyed: int = 1, block: int = BLOCK) -> DataFrame:
     """nodes(node, fingerprints...), or (fingerprint) alone, to (src, dst): edges that connect what links connect.
 
-    Two nodes are linked if near says so of the distances of their fingerprints; one of the first n_keyed must be at 4 bits or
-    fewer, for which a common key is certain. A task emits a star for each group that it finds, not the pairs within it. A
+    Two nodes are linked if near says so of their distances in one of the first n_keyed fingerprints, which must be 4 bits or
+    fewer, for which a common key is certain, and in those after. A task emits a star for each group that it finds, not the pairs within it. A
     key with more than block nodes is handed on: its rows are dealt into blocks, and each pair of blocks is one group of the
     second pass.
     """
     n = parts(nodes.sparkSession)
-    columns = nodes.columns
+    columns = _carried(nodes.columns, n_keyed)
     longs = lambda names: ", ".join(f"{c} bigint" for c in names)
     schema = longs(["key", "a", "b", *columns[1:]])
     keyed = nodes.mapInArrow(partial(_keyed, n_keyed=n_keyed), longs(["key", *columns])).repartition(n, "key").sortWithinPartitions("key")
