@@ -177,26 +177,14 @@ def dedup_content(spark, sf_dir):
     return chunks.groupBy(key.alias("key")).agg(F.min("id").alias("id")).select("id")
 
 
-_SOURCES = "SELECT id, content, file_path, lang AS origin FROM ({})".format(CHUNKS)
-
-
-def _per_source(spark, sf_dir):
-    """BM25 pools of each source on its own: the source is part of the query's and the chunk's key."""
-    chunks, asked = inputs(spark, sf_dir, CHUNKS, ASKED)
-    pools = [ranking.bm25(chunks.where(F.col("lang") == lang), asked, 30).withColumn("origin", F.lit(lang)) for lang in ("de", "en", "es", "fr")]
-    out = pools[0]
-    for p in pools[1:]:
-        out = out.unionByName(p)
-    return chunks, asked, out
-
-
 _POOLS = ", ".join(bm25_sql(f"SELECT * FROM ({CHUNKS}) WHERE lang = '{x}'", ASKED, 30, f"b_{x}") for x in ("de", "en", "es", "fr"))
 _POOLED = "pooled AS (" + " UNION ALL ".join(f"SELECT *, '{x}' AS origin FROM b_{x}" for x in ("de", "en", "es", "fr")) + ")"
 
 
 @query(f"WITH {_POOLS}, {_POOLED}, s AS (SELECT query_id, origin, id, round(1.0 / (60 + rank), 6) AS score, rank AS old FROM pooled), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, old, origin, id) AS rank FROM s) SELECT query_id, origin, id, score, rank FROM r WHERE rank <= 5")
 def search_all(spark, sf_dir):
-    _, _, pools = _per_source(spark, sf_dir)
+    chunks, asked = inputs(spark, sf_dir, CHUNKS, ASKED)
+    pools = ranking.bm25_by_source(chunks, asked, "lang", 30).withColumnRenamed("lang", "origin")
     return ranking.fuse([pools], 5, keys=("origin", "id")).select("query_id", "origin", "id", "score", "rank")
 
 

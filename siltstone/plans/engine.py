@@ -55,15 +55,9 @@ class Engine:
 
     def search_all(self, queries: list[str], top_k: int = 5, **filters) -> DataFrame:
         """Searches each source on its own and fuses their rankings; a hit's key is its source and id."""
-        asked = self.queries(queries)
-        pools = [ranking.retrieve(self.chunks.where(F.col("source") == s), asked, max(top_k, ranking.POOL), "sparse", **filters).withColumn("source", F.lit(s)) for s in self.sources_list()]
-        both = pools[0]
-        for p in pools[1:]:
-            both = both.unionByName(p)
-        return ranking.fuse([both], top_k, keys=("source", "id"))
-
-    def sources_list(self) -> list[str]:
-        return [r[0] for r in self.chunks.select("source").distinct().orderBy("source").collect()]  # as many as sources
+        kept = self.chunks.where(ranking.keep_where(F.col("file_path"), **filters))
+        pools = ranking.bm25_by_source(kept, self.queries(queries), "source", max(top_k, ranking.POOL))
+        return ranking.fuse([pools], top_k, keys=("source", "id"))
 
     def deep_search(self, variants: list[str], top_k: int = 5, mode: str | None = None, min_score: float | None = None, min_results: int = 2, thresholds: dict | None = None, **filters) -> DataFrame:
         """The hits of the first variant that passes, else of the best; see ranking.deep_search."""
