@@ -101,7 +101,7 @@ def glob_regex(glob: str) -> str:
             if end < 0:
                 out.append(r"\[")
                 continue
-            body = glob[i:end].replace("\\", r"\\")
+            body = re.sub(r"([\\\[&])", r"\\\1", glob[i:end])
             out.append("[" + ("^" + body[1:] if body[:1] == "!" else "\\" + body if body[:1] == "^" else body) + "]")
             i = end + 1
         else:

@@ -33,7 +33,7 @@ def read_files(spark: SparkSession, root: str, extensions: list[str], ignored: l
     """(path, file_name, content, sha256) of the source files below root; content is decoded as UTF-8 with replacements."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     kept = found.where(is_candidate(F.col("path"), extensions, ignored, root))
-    return kept.select("path", tx.basename(F.col("path")).alias("file_name"), F.decode(F.col("content"), "UTF-8").alias("content"), F.sha2("content", 256).alias("sha256"))
+    return kept.select("path", tx.basename(F.col("path")).alias("file_name"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"), F.sha2("content", 256).alias("sha256"))
 
 
 def read_feedback(spark: SparkSession, path: str) -> DataFrame:

@@ -72,15 +72,14 @@ def test_pdf_states(spark):
     assert tuple(pdf.summary(states).first()) == (1, 4, 2)
 
 
-def _pages(content):
-    if content == b"bad":
-        raise ValueError("broken xref")
-    return [content.decode() * 60, "two " * 40]
-
-
 def test_pdf_pages(spark):
+    def pages(content):
+        if content == b"bad":
+            raise ValueError("broken xref")
+        return [content.decode() * 60, "two " * 40]
+
     found = spark.createDataFrame([("/a.pdf", 0.1, bytearray(b"one ")), ("/b.pdf", 0.1, bytearray(b"bad"))], "path string, size_mb double, content binary")
-    out = pdf.extract(found, _pages)
+    out = pdf.extract(found, pages)
     assert {r.path: r.status for r in out.collect()} == {"/a.pdf": "ok", "/b.pdf": "error"}
     stored = spark.createDataFrame([("/a.pdf", i, f"page_{i:04d}.md", "old") for i in (1, 2, 3)], "path string, page int, file string, text string")
     assert sorted((r.page, r.file) for r in pdf.refresh_pages(stored, out).collect()) == [(1, "page_0001.md"), (2, "page_0002.md")]
@@ -124,7 +123,7 @@ def test_engine(spark):
     rows = [(f"c{i}", f"def {n}(): return compute_{n}(x)", f"/repo/{n}.py", n, "function", "python", 1, 2, "src") for i, n in enumerate(("alpha", "beta", "gamma", "delta"))]
     chunks = spark.createDataFrame(rows, "id string, content string, file_path string, symbol_name string, symbol_kind string, language string, start_line int, end_line int, source string")
     engine = Engine(spark, chunks)
-    hits = engine.search("compute alpha", 2)
+    hits = engine.search("compute alpha", 1)
     assert engine.hit_rows(hits).first().symbol == "alpha" and engine.outline_rows(hits).columns[-2:] == ["signature", "doc"]
     assert engine.search_all(["beta"], 1).first().id == "c1"
     assert engine.deep_search(["nothing", "gamma delta"], min_score=0.1).where("id is not null").count() == 2
