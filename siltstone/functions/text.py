@@ -24,7 +24,8 @@ def tokens(text: Column) -> Column:
 
     def terms(run: Column) -> Column:
         parts = F.transform(F.split(run, r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"), F.lower)
-        return F.concat(F.array(F.lower(run)), F.filter(parts, lambda p: (p != "") & (p != F.lower(run))))
+        mixed = F.concat(F.array(F.lower(run)), F.filter(parts, lambda p: (p != "") & (p != F.lower(run))))
+        return F.when(run == F.lower(run), F.array(run)).otherwise(mixed)  # most runs: no expression to match
 
     return F.flatten(F.transform(runs, terms))
 

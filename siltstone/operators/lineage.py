@@ -1,4 +1,4 @@
-"""Cutting lineage between rounds of an iteration, in the folder that the cluster shares."""
+"""Cutting lineage between rounds of an iteration, in the folder that the cluster shares; spreading small inputs."""
 
 from __future__ import annotations
 
@@ -13,3 +13,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siltstone-"))
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all tasks if it comes from fewer files than there are shuffle partitions; a table of many files is read where it is."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n) if len(df.inputFiles()) < n else df
