@@ -29,8 +29,8 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document with the smallest identifier."""
-    return simhash.drop_near_duplicates(docs.select(*COLUMNS))
+    """Of each group of near-duplicates, linked by 0.8 of their five-word shingles, the document with the smallest identifier."""
+    return simhash.drop_similar(docs.select(*COLUMNS))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,6 +27,24 @@ NEAR_SHINGLE, WORD_SEEDS, FAR_BITS = 5, (42, 43), 12
 BLOCK = 4_096
 #: Verified pairs that a task holds before it reduces them to stars.
 HELD = 1_000_000
+#: Shingles that a task compares as one group; candidates with more are dealt out as pairs of blocks of half as many.
+SHINGLES_HELD = 1_000_000
+
+
+def shingle_set(text: bytes, shingle: int = NEAR_SHINGLE) -> np.ndarray:
+    """The sorted distinct XXH64 of a UTF-8 text's shingles, A-Z taken as a-z; of a text with fewer words, that of all its words."""
+    words = WORDS.findall(text.translate(LOWER))
+    if len(words) <= shingle:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else [], np.uint64)
+    joined = b" ".join(words)
+    ends = (np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1).tolist()
+    starts = [0] + [e + 1 for e in ends[:-1]]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter([digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :])], np.uint64))
+
+
+def _set_node(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
 
 
 def fingerprint(text: bytes, shingle: int) -> int:
@@ -286,15 +304,119 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return marks.join(named, [*words, "shingles"]).select("id", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that have a near-duplicate group's smaller identifier beside them; see near_duplicate_groups.
-
-    Identifiers name documents: of rows that repeat one, the first by text stays; rows without one stay.
-    """
-    groups = durable(near_duplicate_groups(docs, id_col, text_col).groupBy("id").agg(F.min("component_id").alias("c"), F.count("*").alias("n")))
+def _leasts(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    groups = durable(groups.groupBy("id").agg(F.min("component_id").alias("c"), F.count("*").alias("n")))
     out = docs.join(groups.where("c <> id").select(F.col("id").alias("__gone")), F.col(id_col) == F.col("__gone"), "left_anti")
     again = groups.where("c = id and n > 1").select(F.col("id").alias("__again"))
     if again.isEmpty():
         return out
     once = out.join(again, F.col(id_col) == F.col("__again"), "left_semi").withColumn("__nth", F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))).where("__nth = 1").drop("__nth")
     return out.join(again, F.col(id_col) == F.col("__again"), "left_anti").unionByName(once)
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without those that have a near-duplicate group's smaller identifier beside them; see near_duplicate_groups.
+
+    Identifiers name documents: of rows that repeat one, the first by text stays; rows without one stay.
+    """
+    return _leasts(docs, near_duplicate_groups(docs, id_col, text_col), id_col, text_col)
+
+
+def _nodes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (id, text) with the fingerprints of _three_marks and the node, the hash of the text's set of shingles."""
+    for batch in batches:
+        nodes = [_set_node(shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"")) for t in batch.column(1)]
+        marks = next(_three_marks(iter([batch])))
+        yield pa.RecordBatch.from_arrays([*marks.columns, pa.array(np.array(nodes, np.uint64).view(np.int64))], names=[*marks.schema.names, "node"])
+
+
+def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (root, node, text) to (root, node, n, hashes), those whose text makes the node."""
+    for batch in batches:
+        rows = []
+        for root, node, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            hashes = shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"")
+            if _set_node(hashes) == node % (1 << 64):
+                rows.append((root, node, len(hashes), hashes.tobytes()))
+        root, node, n, held = zip(*rows) if rows else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(root, pa.int64()), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(held, pa.binary())], names=["root", "node", "n", "hashes"])
+
+
+def similar_links(nodes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that connect the nodes that pairs with a Jaccard similarity of 0.8 or more connect; pairs that are connected already aren't compared."""
+    nodes, first = np.unique(nodes, return_index=True)
+    sets = [sets[i] for i in first]
+    sizes = np.array([len(x) for x in sets], np.int64)
+    label, links = np.arange(len(nodes)), []
+    for i, own in enumerate(sets):
+        others = i + 1 + np.flatnonzero((label[i + 1 :] != label[i]) & (5 * sizes[i + 1 :] >= 4 * sizes[i]) & (5 * sizes[i] >= 4 * sizes[i + 1 :]))
+        if not len(own) or not len(others):
+            continue
+        flat = np.concatenate([sets[j] for j in others])
+        found = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+        shared = np.add.reduceat(found.astype(np.int64), np.cumsum(sizes[others]) - sizes[others])
+        near = others[5 * shared >= 4 * (sizes[i] + sizes[others] - shared)]
+        fresh, at = np.unique(label[near], return_index=True)
+        links += [(int(nodes[i]), int(nodes[j])) for j in near[at]]
+        label[np.isin(label, fresh)] = label[i]
+    return links
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """batches(key, node, hashes) sorted by key, to (src, dst) of the links in each key's group."""
+
+    def links(nodes: list[int], sets: list[bytes]) -> pa.RecordBatch:
+        found = similar_links(np.array(nodes, np.int64), [np.frombuffer(x, np.uint64) for x in sets])
+        a, b = zip(*found) if found else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["src", "dst"])
+
+    key, nodes, sets = None, [], []
+    for batch in batches:
+        for k, node, held in zip(*(c.to_pylist() for c in batch.columns)):
+            if k != key:
+                if len(nodes) > 1:
+                    yield links(nodes, sets)
+                key, nodes, sets = k, [], []
+            nodes.append(node)
+            sets.append(held)
+    if len(nodes) > 1:
+        yield links(nodes, sets)
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, held: int = SHINGLES_HELD) -> DataFrame:
+    """(id, node, component_id) for each row with an id: the smallest id reachable by links of near-duplicates; node is the hash of the text's set of shingles.
+
+    Two documents are linked if the exact Jaccard similarity of their sets of five-word shingles is 0.8 or more; A-Z is read as
+    a-z. The links of near_duplicate_groups are candidates only: what they connect is a group within which all pairs that
+    links have not yet connected are compared by their sets. Texts with equal sets are one node. A group with more than held shingles is dealt into
+    blocks, and each pair of blocks is compared in its own task.
+    """
+    words = [f"w{s}" for s in WORD_SEEDS]
+    kind = "id bigint, " + ", ".join(f"{w} bigint" for w in words) + ", shingles bigint, node bigint"
+    n = parts(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t")).where("id is not null")
+    marks = durable(rows.mapInArrow(_nodes_of, kind))
+    by_marks = durable(marks.groupBy(*words, "shingles").agg(F.min("node").alias("node"), F.max("node").alias("most")))
+    candidates = link_nodes(by_marks.select("node", *words, "shingles"), partial(_near_words_and_shingles, 4), len(words), block)
+    shared = by_marks.where("node <> most").select(*words, "shingles", F.col("node").alias("dst"))
+    candidates = candidates.unionByName(marks.join(shared, [*words, "shingles"]).select(F.col("node").alias("src"), "dst"))
+    nodes = durable(marks.groupBy("node").agg(F.min("id").alias("least")))
+    one = nodes.join(components(candidates), "node").select("root", "node", F.col("least").alias("id"))
+    sets = durable(rows.join(one, "id").select("root", "node", "t").mapInArrow(_sets_of, "root bigint, node bigint, n bigint, hashes binary"))
+    sizes = sets.groupBy("root").agg(F.sum("n").alias("total"))
+    sizes = sizes.select("root", F.when(F.col("total") > held, F.ceil(F.col("total") * 2 / held)).otherwise(1).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = sets.join(sizes, "root").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other"))
+    links = dealt.select(pair.alias("key"), "node", "hashes").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_similar, "src bigint, dst bigint")
+    rooted = nodes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
+    return marks.select("id", "node").join(named, "node").select("id", "node", "component_id")
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without those that have a group's smaller identifier beside them; see similar_groups.
+
+    Identifiers name documents: of rows that repeat one, the first by text stays; rows without one stay.
+    """
+    return _leasts(docs, similar_groups(docs, id_col, text_col), id_col, text_col)

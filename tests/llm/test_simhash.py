@@ -124,3 +124,73 @@ def test_components_of_a_path_and_a_star(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "src bigint, dst bigint")).collect()}
     assert got == {i: 0 for i in range(51)} | {1_000 + i: 1_000 for i in range(80)}
     assert components(spark.createDataFrame([], "src bigint, dst bigint")).count() == 0
+
+
+def similar_ids(rows):
+    """{id: least id reachable} by exact Jaccard similarity of five-word shingles, pair by pair."""
+
+    def shingles(t):
+        words = (t or "").lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+
+    sets = [(i, shingles(t)) for i, t in rows]
+    root = {i: i for i, _ in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in sets:
+        for j, b in sets:
+            if i < j and (a == b or len(a & b) >= 0.8 * len(a | b)):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i, _ in sets}
+
+
+def replaced(text, at):
+    words = text.split()
+    for k in at:
+        words[k] = f"new{k}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("held", [simhash.SHINGLES_HELD, 700])
+def test_links_need_four_fifths_of_the_shingles(spark, held):
+    rnd = random.Random(3)
+    rows = []
+    for k in range(12):
+        text = " ".join(f"w{rnd.randrange(4_000)}" for _ in range(200))
+        # apart: 5 words of 200 cost 25 of 196 shingles (0.77); close: 2 words (0.90)
+        rows += [(10 * k, text), (10 * k + 1, replaced(text, range(20, 180, 33))), (10 * k + 2, replaced(text, (50, 150))), (10 * k + 3, text.upper())]
+    rows += [(900, None), (901, ""), (902, "a b"), (903, "A  b")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    want = similar_ids(rows)
+    loose = {r.id: r.component_id for r in simhash.near_duplicate_groups(docs).collect()}
+    got = {r.id: r.component_id for r in simhash.similar_groups(docs, held=held).collect()}
+    for k in range(12):
+        assert got[10 * k + 1] == 10 * k + 1
+    assert any(loose[10 * k + 1] == 10 * k for k in range(12))  # what the fingerprints alone link
+    assert all(got[i] in (i, want[i]) for i in want)
+    assert got[903] == 902 and got[901] == 900 and all(got[10 * k + 3] == 10 * k for k in range(12))
+    import corpus_pipeline
+
+    full = docs.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("n_chars"))
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, full, "").collect()}
+    assert kept >= {10 * k + 1 for k in range(12)} and kept == {i for i in got if got[i] == i}
+
+
+def test_similar_links_like_brute_force():
+    rnd = random.Random(8)
+    texts = []
+    for _ in range(60):
+        w = (rnd.choice(texts).split() if texts and rnd.random() < 0.7 else [f"v{rnd.randrange(900)}" for _ in range(rnd.choice([4, 40, 90]))])
+        texts.append(replaced(" ".join(w), [rnd.randrange(len(w))] if rnd.random() < 0.8 else []))
+    want = similar_ids(list(enumerate(texts)))
+    links = simhash.similar_links(np.arange(60), [simhash.shingle_set(t.encode()) for t in texts])
+    root = dict(enumerate(range(60)))
+    for a, b in links:
+        low, high = sorted((root[a], root[b]))
+        root = {i: low if r == high else r for i, r in root.items()}
+    assert root == want and len(links) == 60 - len(set(want.values()))
