@@ -194,3 +194,15 @@ def test_similar_links_like_brute_force():
         low, high = sorted((root[a], root[b]))
         root = {i: low if r == high else r for i, r in root.items()}
     assert root == want and len(links) == 60 - len(set(want.values()))
+
+
+def test_scattered_edits_at_four_fifths_are_found(spark):
+    rnd = random.Random(21)
+    rows = []
+    for k in range(60):
+        text = " ".join(f"w{rnd.randrange(4_000)}" for _ in range(200))
+        rows += [(2 * k, text), (2 * k + 1, replaced(text, rnd.sample(range(200), rnd.choice([3, 4]))))]
+    want = similar_ids(rows)
+    assert sum(want[2 * k + 1] == 2 * k for k in range(60)) > 50
+    got = {r.id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == want
