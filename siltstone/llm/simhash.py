@@ -11,6 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import durable, parts
 from .components import components
@@ -318,8 +319,12 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return marks.join(named, [*words, "shingles"]).select("id", "component_id")
 
 
-def _leasts(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    groups = durable(groups.groupBy("id").agg(F.min("component_id").alias("c"), F.count("*").alias("n")))
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without those that have a near-duplicate group's smaller identifier beside them; see near_duplicate_groups.
+
+    Identifiers name documents: of rows that repeat one, the first by text stays; rows without one stay.
+    """
+    groups = durable(near_duplicate_groups(docs, id_col, text_col).groupBy("id").agg(F.min("component_id").alias("c"), F.count("*").alias("n")))
     out = docs.join(groups.where("c <> id").select(F.col("id").alias("__gone")), F.col(id_col) == F.col("__gone"), "left_anti")
     again = groups.where("c = id and n > 1").select(F.col("id").alias("__again"))
     if again.isEmpty():
@@ -328,14 +333,6 @@ def _leasts(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> D
     return out.join(again, F.col(id_col) == F.col("__again"), "left_anti").unionByName(once)
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that have a near-duplicate group's smaller identifier beside them; see near_duplicate_groups.
-
-    Identifiers name documents: of rows that repeat one, the first by text stays; rows without one stay.
-    """
-    return _leasts(docs, near_duplicate_groups(docs, id_col, text_col), id_col, text_col)
-
-
 def _nodes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of (id, text) with the fingerprints of _three_marks, the node, which is the hash of the text's set of shingles, and the set's bands."""
     for batch in batches:
@@ -402,7 +399,9 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, held: int = SHINGLES_HELD) -> DataFrame:
-    """(id, node, component_id) for each row with an id: the smallest id reachable by links of near-duplicates; node is the hash of the text's set of shingles.
+    """(id, node, root, component_id) for each row with an id: the smallest id reachable by links of near-duplicates.
+
+    node is the hash of the text's set of shingles and root the least node reachable; groups that share their smallest id differ in root.
 
     Two documents are linked if the exact Jaccard similarity of their sets of five-word shingles is 0.8 or more; A-Z is read as
     a-z. The links of near_duplicate_groups and equal MinHash bands are candidates only: what they connect is a group within which all pairs that
@@ -431,13 +430,31 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pair = F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other"))
     links = dealt.select(pair.alias("key"), "node", "hashes").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_similar, "src bigint, dst bigint")
     rooted = nodes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
-    return marks.select("id", "node").join(named, "node").select("id", "node", "component_id")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "root", "component_id")
+    return marks.select("id", "node").join(named, "node").select("id", "node", "root", "component_id")
+
+
+def _with_node(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        nodes = [_set_node(shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"")) for t in batch.column(at)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(nodes, np.uint64).view(np.int64))], names=[*batch.schema.names, "__node"])
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those that have a group's smaller identifier beside them; see similar_groups.
 
-    Identifiers name documents: of rows that repeat one, the first by text stays; rows without one stay.
+    Rows that repeat an identifier are documents of their own: of those in one group the first by text stays. Rows without
+    an identifier stay.
     """
-    return _leasts(docs, similar_groups(docs, id_col, text_col), id_col, text_col)
+    groups = durable(similar_groups(docs, id_col, text_col))
+    by_id = durable(groups.groupBy("id").agg(F.min("component_id").alias("c"), F.count("*").alias("n")))
+    out = docs.join(by_id.where("c <> id or n > 1").select(F.col("id").alias("__gone")), F.col(id_col) == F.col("__gone"), "left_anti")
+    again = by_id.where("n > 1").select(F.col("id").alias("__again"))
+    if again.isEmpty():
+        return out
+    rows = docs.join(again, F.col(id_col) == F.col("__again"), "left_semi")
+    rows = rows.mapInArrow(partial(_with_node, at=docs.columns.index(text_col)), StructType([*docs.schema.fields, StructField("__node", LongType())]))
+    own = groups.where("component_id = id").join(again, F.col("id") == F.col("__again"), "left_semi").select(F.col("id").alias("__id"), F.col("node").alias("__of"), F.col("root").alias("__root")).distinct()
+    rows = rows.join(own, (F.col(id_col) == F.col("__id")) & (F.col("__node") == F.col("__of")))
+    once = rows.withColumn("__nth", F.row_number().over(Window.partitionBy(id_col, "__root").orderBy(text_col))).where("__nth = 1").select(*docs.columns)
+    return out.unionByName(once)

@@ -206,3 +206,12 @@ def test_scattered_edits_at_four_fifths_are_found(spark):
     assert sum(want[2 * k + 1] == 2 * k for k in range(60)) > 50
     got = {r.id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == want
+
+
+def test_rows_that_share_an_identifier(spark):
+    long = " ".join(f"w{i}" for i in range(100))
+    rows = [(5, long), (5, replaced(long, [50])), (5, "a b c d e f g h"), (4, "x y z"), (4, "x y z"), (7, long), (9, "A b c d e f g h"), (9, "q r s"), (None, "q r s")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = sorted(((r.doc_id, r.text) for r in simhash.drop_similar(docs).collect()), key=str)
+    first = min(long, replaced(long, [50]))
+    assert kept == sorted([(5, first), (5, "a b c d e f g h"), (4, "x y z"), (9, "q r s"), (None, "q r s")], key=str)
