@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 from functools import partial
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -55,42 +56,57 @@ def components(pairs: DataFrame, rounds: int = 40) -> DataFrame:
 
 
 def modularity_groups(pairs: list[tuple[str, str]]) -> dict[str, int]:
-    """Greedy agglomeration by modularity gain; equal gains take the least pair, so reruns agree."""
+    """Greedy agglomeration by modularity gain; equal gains take the least pair, so reruns agree.
+
+    Gains are whole numbers, times 2 * len(pairs) ** 2, in a heap. The group with fewer neighbours goes into the other one, and
+    only its pairs are entered anew; what its partner gains with others only falls, so those entries are put right when
+    they come up.
+    """
     ids = sorted({x for p in pairs for x in p})
     at = {x: i for i, x in enumerate(ids)}
     m = len(pairs)
-    degree = np.zeros(len(ids))
-    between: list[dict[int, float]] = [{} for _ in ids]
+    degree = [0] * len(ids)
+    between: list[dict[int, int]] = [{} for _ in ids]
     for a, b in pairs:
         i, j = at[a], at[b]
         between[i][j] = between[i].get(j, 0) + 1
         between[j][i] = between[j].get(i, 0) + 1
         degree[i] += 1
         degree[j] += 1
-    share = degree / (2 * m)
-    member = list(range(len(ids)))
-    alive = set(member)
-    while True:
-        best, gain = None, 1e-12
-        for i in sorted(alive):
-            for j in sorted(between[i]):
-                if j > i:
-                    d = between[i][j] / m - 2 * share[i] * share[j]
-                    if d > gain + 1e-12:
-                        best, gain = (i, j), d
-        if best is None:
-            break
-        i, j = best
-        for k, w in between[j].items():
-            if k != i:
-                between[i][k] = between[i].get(k, 0) + w
-                between[k][i] = between[i][k]
-            between[k].pop(j, None)
-        between[i].pop(j, None)
-        share[i] += share[j]
-        alive.discard(j)
-        member = [i if x == j else x for x in member]
-    return {x: member[at[x]] for x in ids}
+    least, members = list(range(len(ids))), [[i] for i in range(len(ids))]
+
+    def entry(x: int, y: int) -> tuple[int, int, int, int, int]:
+        if least[y] < least[x]:
+            x, y = y, x
+        return degree[x] * degree[y] - 2 * m * between[x][y], least[x], least[y], x, y
+
+    heap = [e for x in range(len(ids)) for y in between[x] if y > x and (e := entry(x, y))[0] < 0]
+    heapify(heap)
+    while heap:
+        old = heappop(heap)
+        x, y = old[3:]
+        if y not in between[x]:
+            continue
+        now = entry(x, y)
+        if now != old:
+            if old < now and now[0] < 0:
+                heappush(heap, now)
+            continue
+        if len(between[x]) < len(between[y]):
+            x, y = y, x
+        theirs, between[y] = between[y], {}
+        degree[x] += degree[y]
+        least[x] = min(least[x], least[y])
+        members[x] += members[y]
+        for k, w in theirs.items():
+            del between[k][y]
+            if k != x:
+                between[x][k] = between[k][x] = between[x].get(k, 0) + w
+        for k in theirs:
+            if k != x and (e := entry(x, k))[0] < 0:
+                heappush(heap, e)
+        members[y] = []
+    return {ids[k]: least[x] for x, group in enumerate(members) for k in group}
 
 
 def _communities(frame: pd.DataFrame) -> pd.DataFrame:
@@ -101,19 +117,17 @@ def _communities(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": list(groups), "community": [least[g] for g in groups.values()]})
 
 
-def communities(nodes: DataFrame, edges: DataFrame, min_size: int = 3, local_edges: int = 20_000) -> DataFrame:
+def communities(nodes: DataFrame, edges: DataFrame, min_size: int = 3) -> DataFrame:
     """(community, name, size, members, rank): groups of symbols by greedy modularity, each component on its own; name is the member of most edges.
 
-    A component with more than local_edges edges is one community: greedy agglomeration of it in one task would take too long.
+    A component is agglomerated in one task, whatever its size.
     """
     pairs = symbol_pairs(nodes, edges)
     parts = components(pairs)
     tagged = pairs.join(parts.withColumnRenamed("id", "a"), "a")
-    sizes = tagged.groupBy("component").agg(F.count("*").alias("n_edges"))
-    small = tagged.join(sizes.where(F.col("n_edges") <= local_edges), "component").groupBy("component").applyInPandas(_communities, "id string, community string")
-    large = parts.join(sizes.where(F.col("n_edges") > local_edges), "component").select("id", F.col("component").alias("community"))
+    groups = tagged.groupBy("component").applyInPandas(_communities, "id string, community string")
     degree = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
-    rows = small.unionByName(large).join(nodes.select("id", "label"), "id").join(degree, "id")
+    rows = groups.join(nodes.select("id", "label"), "id").join(degree, "id")
     out = rows.groupBy("community").agg(F.max_by("label", F.struct("degree", "label")).alias("name"), F.count("*").alias("size"), F.array_join(F.slice(F.array_sort(F.collect_list("label")), 1, 10), ",").alias("members"))
     out = out.where(F.col("size") >= min_size)
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.col("size").desc(), "community")))  # one row a community

@@ -132,3 +132,12 @@ def test_views_and_texts(spark, small):
     assert "&lt;b&gt;" in render.view_html("<b>", view, [])
     assert render.edges_text(graph.callers(nodes, edges, graph.asked(spark, "helper")).collect()) == "Service.run --calls--> helper  /x/main.py:1"
     assert render.hits_text([]) == "Nothing found." and render.cut("x" * 40).endswith("…")
+
+
+def test_communities_of_a_large_component(spark):
+    """Two cliques of 150 joined by one edge: over 20,000 edges in one component."""
+    names = [f"{g}{i:03}" for g in "ab" for i in range(150)]
+    nodes = spark.createDataFrame([node(n, n, "function", "/x.py") for n in names], NODE)
+    rows = [edge(x, y, "calls") for x in names for y in names if x < y and x[0] == y[0]] + [edge("a000", "b000", "calls")]
+    found = analytics.communities(nodes, spark.createDataFrame(rows, EDGE)).collect()
+    assert len(rows) > 20_000 and sorted((r.community, r["size"]) for r in found) == [("a000", 150), ("b000", 150)]
