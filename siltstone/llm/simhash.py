@@ -97,23 +97,21 @@ def fuzzy_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
     Four errors fall on three segments. Either two segments have one error at most each: then what the one's first segment
     decodes to is among the other's six, and the other way round for the second; so both make the key of (six of the first,
-    decoded second) and of (decoded first, six of the second). Or the errors are 2, 2 and 0: the third segments decode alike
-    with the same syndrome, that is they are equal, and one key of the whole segment does.
+    decoded second) and of (decoded first, six of the second). Or the errors are 2, 2 and 0: the third segments are equal, and
+    words at distance 2 have one of their six codewords in common; the whole third segment with each of the next one's six makes the keys.
     """
     segs = [((fps >> np.uint64(at)) & np.uint64((1 << width) - 1)).astype(np.int64) for at, width in SEGMENTS]
     near = [near_indices(s) for s in segs]
     n = np.arange(len(fps))
     where, keys = [], []
-    for k, s in enumerate(segs):
-        where.append(n)
-        keys.append(np.int64(k << 40) | s)
-    for k, (a, b) in enumerate(((0, 1), (0, 2), (1, 2)), start=3):
-        for x, y in ((near[a], near[b][:, :1]), (near[a][:, :1], near[b])):
-            key = np.int64(k << 40) | x << 12 | y
-            fresh = np.ones(key.shape, bool)
-            fresh[:, 1:] = key[:, 1:] != key[:, :1]  # a word near one codeword has it six times
-            where.append(np.broadcast_to(n[:, None], key.shape)[fresh])
-            keys.append(key[fresh])
+    pairs = [(s[:, None], near[(k + 1) % 3]) for k, s in enumerate(segs)]
+    pairs += [p for a, b in ((0, 1), (0, 2), (1, 2)) for p in ((near[a], near[b][:, :1]), (near[a][:, :1], near[b]))]
+    for kind, (x, y) in zip((0, 1, 2, 3, 3, 4, 4, 5, 5), pairs):
+        key = np.int64(kind << 40) | x << 12 | y
+        fresh = np.ones(key.shape, bool)
+        fresh[:, 1:] = key[:, 1:] != key[:, :1]  # a word near one codeword has it six times
+        where.append(np.broadcast_to(n[:, None], key.shape)[fresh])
+        keys.append(key[fresh])
     return np.concatenate(where), np.concatenate(keys)
 
 
@@ -281,7 +279,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         raise ValueError("the keys find up to 4 differing bits")
     roots = components(link_nodes(marks.select("fp").distinct(), partial(_within, bits), block=block))
     rooted = by_fp.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    leasts = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    leasts = durable(rooted.groupBy("root").agg(F.min("least").alias("component_id")))  # a table, so that a join can split a large component
     named = rooted.join(leasts, "root").select(F.col("fp").alias("named_fp"), "component_id")
     return marks.join(named, F.col("fp") == F.col("named_fp")).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -300,39 +298,6 @@ def _three_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.array(m, np.uint64).view(np.int64)) for m in marks)], names=["id", *(f"w{s}" for s in WORD_SEEDS), "shingles"])
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """(id, component_id) for each row with an id: the smallest id reachable by links of near-duplicates.
-
-    The similarity is SimHash's own on shingles of five words: the share of equal bits, 0.8 or more (FAR_BITS of 64 may
-    differ). That far apart, Golay keys would find too few, so they are made from fingerprints over the distinct single words,
-    which a few edits hardly move: two documents are linked if one of those (WORD_SEEDS) differs in 4 bits or fewer and the
-    fingerprints over shingles agree in 0.8 of their bits. Texts without words are copies of each other; null text counts as
-    empty. Equal fingerprints are one node, whatever the number of copies.
-    """
-    words = [f"w{s}" for s in WORD_SEEDS]
-    kind = "id bigint, " + ", ".join(f"{w} bigint" for w in words) + ", shingles bigint"
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t")).where("id is not null")
-    marks = durable(rows.mapInArrow(_three_marks, kind))
-    nodes = durable(marks.groupBy(*words, "shingles").agg(F.min("id").alias("node")))
-    roots = components(link_nodes(nodes.select("node", *words, "shingles"), partial(_near_words_and_shingles, 4), len(words), block))
-    named = nodes.join(roots, "node", "left").select(*words, "shingles", F.coalesce("root", "node").alias("component_id"))
-    return marks.join(named, [*words, "shingles"]).select("id", "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that have a near-duplicate group's smaller identifier beside them; see near_duplicate_groups.
-
-    Identifiers name documents: of rows that repeat one, the first by text stays; rows without one stay.
-    """
-    groups = durable(near_duplicate_groups(docs, id_col, text_col).groupBy("id").agg(F.min("component_id").alias("c"), F.count("*").alias("n")))
-    out = docs.join(groups.where("c <> id").select(F.col("id").alias("__gone")), F.col(id_col) == F.col("__gone"), "left_anti")
-    again = groups.where("c = id and n > 1").select(F.col("id").alias("__again"))
-    if again.isEmpty():
-        return out
-    once = out.join(again, F.col(id_col) == F.col("__again"), "left_semi").withColumn("__nth", F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))).where("__nth = 1").drop("__nth")
-    return out.join(again, F.col(id_col) == F.col("__again"), "left_anti").unionByName(once)
-
-
 def _nodes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of (id, text) with the fingerprints of _three_marks, the node, which is the hash of the text's set of shingles, and the set's bands."""
     for batch in batches:
@@ -404,9 +369,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     node is the hash of the text's set of shingles and root the least node reachable; groups that share their smallest id differ in root.
 
     Two documents are linked if the exact Jaccard similarity of their sets of five-word shingles is 0.8 or more; A-Z is read as
-    a-z. The links of near_duplicate_groups and equal MinHash bands are candidates only: what they connect is a group within which all pairs that
-    links have not yet connected are compared by their sets. Texts with equal sets are one node. A group with more than held shingles is dealt into
-    blocks, and each pair of blocks is compared in its own task.
+    a-z. Candidates are fingerprints over the distinct single words (WORD_SEEDS), which a few edits hardly move, within 4 bits
+    by Golay keys while those over shingles are within FAR_BITS, and equal MinHash bands. What candidates connect is a group
+    within which all pairs that links have not yet connected are compared by their sets. Texts with equal sets are one node,
+    whatever the number of copies; texts without words are copies of each other, and null text counts as empty. A group with
+    more than held shingles is dealt into blocks, and each pair of blocks is compared in its own task.
     """
     words = [f"w{s}" for s in WORD_SEEDS]
     kind = "id bigint, " + ", ".join(f"{w} bigint" for w in words) + ", shingles bigint, node bigint, bands array<bigint>"
@@ -423,14 +390,15 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     candidates = candidates.unionByName(banded.join(firsts, "band").select(F.col("node").alias("src"), "dst").where("src <> dst"))
     one = nodes.join(components(candidates), "node").select("root", "node", F.col("least").alias("id"))
     sets = durable(rows.join(one, "id").select("root", "node", "t").mapInArrow(_sets_of, "root bigint, node bigint, n bigint, hashes binary"))
-    sizes = sets.groupBy("root").agg(F.sum("n").alias("total"))
-    sizes = sizes.select("root", F.when(F.col("total") > held, F.ceil(F.col("total") * 2 / held)).otherwise(1).cast("int").alias("blocks"))
+    total = F.sum("n")
+    sizes = durable(sets.groupBy("root").agg(F.when(total > held, F.ceil(total * 2 / held)).otherwise(1).cast("int").alias("blocks")))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = sets.join(sizes, "root").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pair = F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other"))
     links = dealt.select(pair.alias("key"), "node", "hashes").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_similar, "src bigint, dst bigint")
     rooted = nodes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "root", "component_id")
+    leasts = durable(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
+    named = rooted.join(leasts, "root").select("node", "root", "component_id")
     return marks.select("id", "node").join(named, "node").select("id", "node", "root", "component_id")
 
 

@@ -7,9 +7,12 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from oracle import same_rows  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from siltstone.llm import decontaminate, line_dedup, mixing, queries, simhash, toxicity  # noqa: E402
+from siltstone.llm import decontaminate, mixing, queries, toxicity  # noqa: E402
 from siltstone.llm.common import table  # noqa: E402
 
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+from test_simhash import similar_ids  # noqa: E402
+
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
@@ -20,7 +23,7 @@ def test_equals_sql(spark, name):
 
 
 def test_pipeline_like_plain_python(spark):
-    """The stages again, document by document in Python, on the model and rules that the stages use."""
+    """The stages again, document by document in Python; near-duplicates by all pairs, the model and the mix by the operators."""
     docs = [r.asDict() for r in table(spark, SF, "documents").collect()]
     model = toxicity.train(table(spark, SF, "documents"), table(spark, SF, "labels"))
     docs = [d for d in docs if model.score(d["text"] or "")[0] < 0.5]
@@ -38,8 +41,7 @@ def test_pipeline_like_plain_python(spark):
             if len(kept) < len(lines):
                 d["text"] = "\n".join(kept)
                 d["n_chars"] = len(d["text"])
-    frame = spark.createDataFrame([tuple(d[c] for c in corpus_pipeline.COLUMNS) for d in docs], "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    groups = {r.id: r.component_id for r in simhash.near_duplicate_groups(frame).collect()}
+    groups = similar_ids([(d["doc_id"], d["text"]) for d in docs])
     docs = [d for d in docs if groups[d["doc_id"]] == d["doc_id"]]
     passages = decontaminate.Passages.of([(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()])
     docs = [d for d in docs if not decontaminate.matches(d["text"] or "", passages)]
