@@ -19,9 +19,13 @@ RAW = ("script", "style", "title", "textarea", "noscript", "template", "iframe",
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset(("article", "main"))
-AROUND = frozenset("nav footer aside form menu dialog button fieldset".split())
+AROUND = frozenset("nav footer aside menu dialog button fieldset".split())
 #: Words in class, id or role of an element that mark it as not belonging to the article.
-NAMES = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus dialog footer gdpr menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related replies respond responses search share sharing sidebar sidebars signup skyscraper social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split())
+NAMES = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus dialog discussion feedback footer gdpr menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion reactions related replies respond responses search share sharing sidebar sidebars signup skyscraper social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split())
+#: Of these, what no element that holds the article is called.
+READERS = frozenset("comment comments disqus discussion feedback reactions replies respond responses".split())
+#: Compound names with one of these say what a page has beside the element: has-sidebar.
+BESIDE = frozenset("has no not with without and".split())
 
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
@@ -33,6 +37,12 @@ LABELLED = (
     (1, 0.0, 0, 0.0, 40, 0.0, 1, 0, 1), (3, 0.0, 6, 1.0, 80, 0.0, 1, 0, 1), (8, 0.0, 12, 0.0, 120, 0.0, 1, 0, 1), (12, 0.1, 30, 0.0, 3, 0.0, 1, 0, 1), (25, 0.0, 8, 0.0, 60, 0.1, 1, 0, 1),
     (60, 0.05, 25, 0.0, 90, 0.0, 1, 0, 1), (200, 0.0, 2, 0.0, 0, 0.0, 1, 0, 1), (2, 0.0, 1, 0.0, 1, 0.0, 1, 0, 1), (40, 0.3, 50, 0.0, 10, 0.9, 1, 0, 1), (1, 0.0, 200, 0.0, 5, 1.0, 1, 0, 1),
     (15, 0.2, 3, 1.0, 2, 1.0, 1, 0, 1), (5, 0.4, 60, 0.0, 60, 0.0, 1, 0, 1), (2, 0.5, 40, 0.0, 30, 0.0, 1, 0, 1), (1, 1.0, 60, 0.0, 45, 0.0, 1, 0, 1), (4, 1.0, 25, 0.1, 70, 0.0, 1, 0, 1),
+    # teasers and link lists inside article or main: links among links
+    (8, 1.0, 8, 1.0, 8, 1.0, 1, 0, 0), (14, 1.0, 12, 1.0, 11, 1.0, 1, 0, 0), (6, 1.0, 90, 0.0, 7, 1.0, 1, 0, 0), (9, 1.0, 9, 1.0, 80, 0.0, 1, 0, 0), (7, 1.0, 10, 1.0, 0, 0.0, 1, 0, 0),
+    (12, 0.9, 40, 0.0, 10, 0.9, 1, 0, 0), (10, 0.9, 9, 1.0, 60, 0.1, 1, 0, 0), (5, 1.0, 6, 0.9, 4, 1.0, 1, 0, 0), (6, 1.0, 0, 0.0, 60, 0.0, 1, 0, 1), (9, 1.0, 0, 0.0, 25, 0.1, 1, 0, 1),
+    (3, 1.0, 70, 0.0, 0, 0.0, 1, 0, 1), (7, 0.9, 40, 0.1, 50, 0.0, 1, 0, 1), (11, 0.3, 9, 1.0, 8, 1.0, 1, 0, 1), (20, 0.0, 6, 1.0, 7, 1.0, 1, 0, 1),
+    # short ends of an article
+    (7, 0.0, 60, 0.0, 0, 0.0, 1, 0, 1), (5, 0.0, 14, 0.0, 0, 0.0, 1, 0, 1), (8, 0.0, 12, 0.0, 2, 1.0, 1, 0, 1), (6, 0.2, 30, 0.0, 2, 0.0, 1, 0, 1), (4, 0.0, 1, 0.0, 3, 0.0, 1, 0, 1), (9, 0.1, 20, 0.0, 3, 1.0, 1, 0, 1),
     # navigation, adverts, notices, forms, sidebars, footers, comments, wherever they stand
     (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0), (2, 1.0, 1, 1.0, 2, 1.0, 0, 1, 0), (12, 0.0, 5, 1.0, 40, 0.0, 0, 1, 0), (40, 0.0, 1, 1.0, 9, 0.0, 0, 1, 0), (30, 0.1, 80, 0.0, 0, 0.0, 0, 1, 0),
     (8, 0.5, 90, 0.0, 0, 0.0, 0, 1, 0), (120, 0.0, 60, 0.0, 40, 0.0, 0, 1, 0), (25, 0.0, 60, 0.0, 70, 0.0, 1, 1, 0), (3, 1.0, 40, 0.0, 60, 0.0, 1, 1, 0), (60, 0.0, 40, 0.0, 30, 0.0, 1, 1, 0),
@@ -42,6 +52,7 @@ LABELLED = (
     (7, 0.0, 60, 0.0, 70, 0.0, 0, 0, 1), (4, 0.0, 3, 1.0, 70, 0.0, 0, 0, 1), (9, 0.1, 25, 0.0, 50, 0.0, 0, 0, 1), (3, 0.0, 80, 0.0, 35, 0.0, 0, 0, 1), (35, 0.2, 10, 0.0, 30, 0.0, 0, 0, 1),
     (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0), (3, 1.0, 2, 1.0, 40, 0.0, 0, 0, 0), (2, 0.0, 1, 1.0, 3, 1.0, 0, 0, 0), (6, 0.0, 2, 1.0, 2, 0.0, 0, 0, 0), (25, 0.8, 4, 1.0, 20, 0.9, 0, 0, 0),
     (50, 0.9, 10, 0.9, 30, 0.8, 0, 0, 0), (5, 0.0, 60, 0.0, 4, 1.0, 0, 0, 0), (8, 0.5, 40, 0.0, 3, 0.6, 0, 0, 0), (4, 0.0, 0, 0.0, 3, 0.0, 0, 0, 0), (14, 0.7, 60, 0.0, 60, 0.0, 0, 0, 0),
+    (8, 0.0, 40, 0.0, 3, 1.0, 0, 0, 0), (7, 0.0, 2, 0.0, 0, 0.0, 0, 0, 0), (6, 0.0, 30, 0.0, 1, 0.0, 0, 0, 0), (9, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0), (12, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (12, 0.0, 2, 1.0, 0, 0.0, 0, 0, 1), (13, 0.0, 14, 0.0, 0, 0.0, 0, 0, 1),
 )
 
 
@@ -77,26 +88,41 @@ def classify(tree, row) -> int:
     return tree
 
 
-def _is_around(tag: str, attrs: str, in_main: bool) -> bool:
+FIRM, LOOSE, HARD = 1, 2, 3
+
+
+def _mark(tag: str, attrs: str, in_main: bool) -> int:
+    """How an element is marked as standing around the article: HARD by what it is, FIRM by a name that is all of one of its names, LOOSE by a part of one; 0 if it isn't."""
     if tag in AROUND or tag == "header" and not in_main:
-        return True
-    if not attrs or tag in ("html", "body") or tag in MAIN:
-        return False
+        return HARD
+    loose = LOOSE if tag == "form" else 0
+    if not attrs or tag in ("html", "body"):
+        return loose
     if HIDDEN.search(attrs):
-        return True
+        return HARD
     for m in ATTRIBUTE.finditer(attrs):
-        value = (m[2] or m[3] or m[4] or "").lower()
-        if not NAMES.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
-    return False
+        for name in (m[2] or m[3] or m[4] or "").lower().split():
+            parts = set(re.split(r"[^a-z0-9]+", name))
+            if parts & BESIDE and not parts <= NAMES:
+                continue
+            if parts & READERS or name in NAMES and tag not in MAIN:
+                return FIRM
+            if parts & NAMES and tag not in MAIN:
+                loose = LOOSE
+    return loose
 
 
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
-    """The text blocks of a page in order: text, words, words in links, in article or main, around it. White space is folded, references are decoded."""
-    out: list[tuple[str, int, int, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, in main, around
-    main = around = False
-    link = False
+    """The text blocks of a page in order: text, words, words in links, in article or main, around it. White space is folded, references are decoded.
+
+    A loose mark that over half of the article's words stand in, or where there is none of all words that could be, is the
+    name of a wrapper and counts for nothing.
+    """
+    out: list[tuple[str, int, int, bool, bool, tuple[int, ...]]] = []
+    kinds: list[int] = []  # of the marks met, by number
+    stack: list[tuple[str, bool, bool, tuple[int, ...]]] = []  # tag, in main, hard, numbers of marks
+    state: tuple[bool, bool, tuple[int, ...]] = (False, False, ())
+    link = -1  # elements open where the current link began
     text: list[str] = []
     words = linked = 0
 
@@ -106,17 +132,33 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
             text.append(raw)
             n = len(raw.split())
             words += n
-            linked += n * link
+            linked += n * (link >= 0)
 
     def close() -> None:
-        nonlocal words, linked, link
+        nonlocal words, linked
         if text:
             t = " ".join(html.unescape("".join(text)).split())
             if t:
-                out.append((t, max(words, 1), linked, main, around))
+                out.append((t, max(words, 1), linked, *state))
         text.clear()
         words = linked = 0
-        link = False
+
+    def enter(tag: str, mark: int) -> None:
+        nonlocal state
+        stack.append((tag, *state))
+        main, hard, marks = state
+        if mark in (FIRM, LOOSE):
+            kinds.append(mark)
+            marks = (*marks, len(kinds) - 1)
+        state = main or tag in MAIN, hard or mark == HARD, marks
+
+    def leave() -> str:
+        nonlocal state, link
+        tag, *rest = stack.pop()
+        state = tuple(rest)
+        if len(stack) < link:
+            link = -1
+        return tag
 
     at, end = 0, len(page)
     while at < end:
@@ -139,42 +181,54 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
             text.append(" ")
             continue
         if tag == "a":
-            link = not ends
+            link = -1 if ends or "href" not in attrs.lower() else len(stack)
             continue
         if tag not in BLOCK:
-            if not ends and tag not in VOID and attrs and not attrs.endswith("/") and _is_around(tag, attrs, main):
+            if not ends and tag not in VOID and attrs and not attrs.endswith("/") and (mark := _mark(tag, attrs, state[0])):
                 close()
-                stack.append((tag, main, around))
-                around = True
+                enter(tag, mark)
             elif ends and stack and stack[-1][0] == tag:
                 close()
-                _, main, around = stack.pop()
+                leave()
             continue
         close()
         if tag in VOID:
             continue
         # A paragraph ends where the next block begins; so do list items, rows and cells at their like.
         if stack and (stack[-1][0] == "p" or tag == stack[-1][0] and tag in ("li", "tr", "td", "th", "dt", "dd")) and not (ends and tag == "p"):
-            _, main, around = stack.pop()
+            leave()
         if ends:
-            if any(t == tag for t, _, _ in stack):
-                while True:
-                    t, main, around = stack.pop()
-                    if t == tag:
-                        break
+            if any(x[0] == tag for x in stack):
+                while leave() != tag:
+                    pass
         else:
-            stack.append((tag, main, around))
-            around = around or _is_around(tag, attrs, main)
-            main = main or tag in MAIN
+            enter(tag, _mark(tag, attrs, state[0]))
     close()
-    return out
+    firm = [any(kinds[k] == FIRM for k in marks) for *_, marks in out]
+    could = [not hard and not f for (*_, hard, _), f in zip(out, firm)]
+    if any(c and main for (_, _, _, main, _, _), c in zip(out, could)):
+        could = [c and b[3] for b, c in zip(out, could)]
+    total, inside = 0, [0] * len(kinds)
+    for (_, n, _, _, _, marks), c in zip(out, could):
+        total += n * c
+        for k in marks:
+            inside[k] += n * c
+    return [(t, n, a, main, hard or f or any(2 * inside[k] <= total for k in marks if kinds[k] == LOOSE)) for (t, n, a, main, hard, marks), f in zip(out, firm)]
 
 
 def main_text(page: str, tree=None) -> str:
+    """The blocks that the tree takes, joined; a block's neighbours are the nearest ones that are around the article, or not, as it is."""
     tree = default_tree() if tree is None else tree
     found = blocks(page)
-    shape = [(0, 0.0), *((w, min(1.0, a / w)) for _, w, a, _, _ in found), (0, 0.0)]
-    return " ".join(t for i, (t, _, _, inside, around) in enumerate(found, 1) if classify(tree, (*shape[i], *shape[i - 1], *shape[i + 1], inside, around)))
+    shape = [(n, min(1.0, a / n)) for _, n, a, _, _ in found]
+    before, after = [(0, 0.0)] * len(found), [(0, 0.0)] * len(found)
+    last: dict[bool, int] = {}
+    for i, (*_, around) in enumerate(found):
+        if around in last:
+            before[i] = shape[last[around]]
+            after[last[around]] = shape[i]
+        last[around] = i
+    return " ".join(t for i, (t, _, _, inside, around) in enumerate(found) if classify(tree, (*shape[i], *before[i], *after[i], inside, around)))
 
 
 def _extract(batches: Iterator[pa.RecordBatch], tree) -> Iterator[pa.RecordBatch]:
@@ -189,8 +243,8 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """One row for each page: id, url, text (its main text), n_chars (its code points).
 
     A page becomes flat text blocks; the tree, grown from the labelled table, judges each by its words and link density, those
-    of the blocks before and after, and whether it stands in an article or main element or in something around it: menus,
-    headers and footers of the site, sidebars, notices, adverts, forms, reader comments. Scripts, styles, titles and comments of the markup are no text.
+    of the blocks before and after, and whether it stands in an article or main element or in something around it by its
+    element or name: menus, headers and footers of the site, sidebars, notices, adverts, forms, reader comments. Scripts, styles, titles and comments of the markup are no text.
     In a block white space is one space; blocks are joined by one space. Null, empty or textless pages give the empty
     string. Rows don't meet: no exchange, any length, repeated rows stay, other columns aren't read.
     """

@@ -18,6 +18,15 @@ CASES = [
     (f"<article><p>{ARTICLE}<div hidden>no</div><div style='display: none'>no</div><p>1 < 2 & 3 > 2", f"{ARTICLE} 1 < 2 & 3 > 2"),
     ("<article><p><b>Short", "Short"),
     ("<article><p>cut <a hr", "cut"),
+    (f'<div class="site-content has-sidebar"><article><p>{ARTICLE}</article><div class="sidebar">x y z</div></div>', ARTICLE),
+    (f'<div id="content" class="no-sidebar"><main><p>{ARTICLE}</main></div>', ARTICLE),
+    (f'<div class="content-sidebar-wrap"><article><p>{ARTICLE}</article><div class="sidebar-left">x y z</div></div>', ARTICLE),
+    (f'<form id="aspnetForm"><div><article>{ARTICLE}</article></div></form>', ARTICLE),
+    (f'<form id="aspnetForm"><div><p>{ARTICLE} {ARTICLE}<p>{ARTICLE} {ARTICLE}</div><div class="menu-top"><a href=x>One</a></div></form>', " ".join([ARTICLE] * 4)),
+    (f'<article><p>{ARTICLE}<section class="user-feedback"><p>{ARTICLE}</section></article>', ARTICLE),
+    (f'<article><p>{ARTICLE}</article><section><article class="comment"><p>{ARTICLE}</article></section>', ARTICLE),
+    (f"<article><p>{ARTICLE}</p><div><a href=1><div>Seven other things you would like today</div></a><a href=2><div>Another long teaser that leads somewhere else</div></a></div></article>", ARTICLE),
+    (f"<nav><a href=x>Menu</a></nav><article><h1><a href=y>A linked title here</a></h1><p>{ARTICLE} {ARTICLE}</article>", f"A linked title here {ARTICLE} {ARTICLE}"),
     ("", ""), (None, ""), ("<nav>only</nav>", ""), ("<script>never closed <p>x", ""),
 ]
 
@@ -41,6 +50,60 @@ def test_tree_fits_its_table():
     assert np.mean([hx.classify(hx.default_tree(), r[:-1]) == r[-1] for r in table]) >= 0.95
 
 
+def test_tree_reads_the_neighbours():
+    used = set()
+
+    def walk(t):
+        if isinstance(t, tuple):
+            used.add(hx.FEATURES[t[0]])
+            walk(t[2])
+            walk(t[3])
+
+    walk(hx.default_tree())
+    assert {"words", "links", "in_main", "around"} <= used and used & {"links_before", "words_before"} and used & {"links_after", "words_after"}
+
+
+def test_pages_of_a_table():
+    """Whole pages against their article element by another parser; then the same pages with all elements renamed, judged by words and links alone."""
+    import os
+    import re
+    from html.parser import HTMLParser
+
+    import pyarrow.parquet as pq
+
+    path = "/root/testdata/sf0.01/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.text = 0, []
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag == "article"
+            self.text.append(" " if tag in hx.BLOCK or tag == "br" else "")
+
+        def handle_endtag(self, tag):
+            self.inside -= tag == "article"
+            self.text.append(" " if tag in hx.BLOCK else "")
+
+        def handle_data(self, data):
+            self.text.append(data if self.inside else "")
+
+    got = want = both = 0
+    for page in pq.read_table(path, columns=["html"])["html"].to_pylist():
+        parser = Article()
+        parser.feed(page or "")
+        article = " ".join("".join(parser.text).split())
+        assert hx.main_text(page or "") == article
+        plain = re.sub(r"<(/?)(?:nav|article|footer|ul)(?=[ >])", r"<\1div", page or "").replace(' class="ad"', "")
+        bare, words = hx.main_text(plain).split(), article.split()
+        got, want = got + len(bare), want + len(words)
+        both += sum((__import__("collections").Counter(bare) & __import__("collections").Counter(words)).values())
+    assert both / got > 0.9 and both / want > 0.9, (both / got, both / want)
+
+
 def test_hostile_markup_ends():
     for page in ("<" * 50_000, "<a href='" * 20_000, "<p " + "x=\"" * 20_000, "<div>" * 20_000 + "x", "&" * 50_000):
         hx.main_text(page)
