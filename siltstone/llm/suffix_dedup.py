@@ -9,15 +9,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, durable, parts
 
 #: Words of a passage at least, and words of the run that a minimiser is chosen by.
 LENGTH, GRAM = 50, 20
-#: Contexts of one run that a task compares.
-BLOCK = 50_000
+#: Different suffixes of one run that a task compares; the passages of a run with more are grouped by their words over all tasks.
+BLOCK = 2_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Words looked at together.
@@ -114,153 +114,181 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Itera
             yield pa.RecordBatch.from_arrays([pa.array(runs[new].view(np.int64)), batch.column(0)[a:b].take(pa.array(text[new])), lists], names=["gram", "id", "at"])
 
 
-def _contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """(id, text, anchor places) to a row an anchor: its hash, context, id, place, least shift, and the hashes of the passages around it that it was chosen for, by the shift of their beginning to its left."""
-    span = length - gram
+def _suffixes(batches: Iterator[pa.RecordBatch], length: int, gram: int, whole: bool = True) -> Iterator[pa.RecordBatch]:
+    """(id, text, anchor places) to a row an anchor: its run's hash, the digest of left and right, id, place, left, right.
+
+    right: the suffix, up to the length words from the anchor on, each followed by a space; left: up to the length - gram words before it, backwards, likewise. Without whole the two aren't given.
+    """
     for batch in batches:
         for a, b in _pieces(batch.column(1)):
-            h, ends = word_hashes(batch.column(1)[a:b])
-            places = batch.column(2)[a:b]
-            at = places.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            text = np.repeat(np.arange(b - a), pc.list_value_length(places).to_numpy(zero_copy_only=False))
-            if len(h) < length:
+            texts = batch.column(1)[a:b]
+            h, ends = word_hashes(texts)
+            if len(h) < gram:
                 continue
             starts = np.r_[0, ends[:-1]]
-            inside = at + gram <= (ends - starts)[text]  # places of another row with this id may not be in this text
-            at, text = at[inside], text[inside]
-            flat = at + starts[text]
-            runs, least = least_runs(h, ends, length, gram)
-            passages = _rolling(h, length)
-            shifts = np.arange(span + 1)
-            begin = flat[:, None] - shifts
-            inside = (begin >= starts[text][:, None]) & (begin < len(least))
-            own = inside & (least[np.where(inside, begin, 0)] == runs[flat][:, None])
-            low, n = own.argmax(1), own.sum(1)
-            hashes = passages[begin[own]]
-            offsets = np.r_[0, np.cumsum(n)]
-            raw = hashes.tobytes()
-            context = np.array([xxhash.xxh64_intdigest(raw[x * 8 : y * 8], int(lo)) for x, y, lo in zip(offsets[:-1].tolist(), offsets[1:].tolist(), low.tolist())], np.uint64)
-            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(hashes.view(np.int64)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(runs[flat].view(np.int64)), pa.array(context.view(np.int64)), batch.column(0)[a:b].take(pa.array(text)), pa.array(at.astype(np.int32)), pa.array(low.astype(np.int32)), lists],
-                names=["gram", "context", "id", "at", "low", "passages"],
-            )
-
-
-def _shared(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
-    """Contexts sorted by gram: (gram, context, a, b, low, passages). Adds found: (shift, least id) of the passages with another document in the gram's contexts; null for all contexts of a gram that has more than block of them."""
+            runs = _rolling(h, gram)
+            rows: list[tuple] = []
+            for k, (text, places) in enumerate(zip(texts, batch.column(2)[a:b])):
+                words = text.as_buffer().to_pybytes().split() if text.is_valid else []
+                n = len(words)
+                at = [p for p in places.as_py() if p + gram <= n]  # places of another row with this id may not be in this text
+                if not at:
+                    continue
+                sizes = np.fromiter(map(len, words), np.int64, n) + 1
+                begin = np.r_[0, np.cumsum(sizes)].tolist()
+                total = begin[-1]
+                onward, backward = b" ".join(words) + b" ", b" ".join(words[::-1]) + b" "
+                for p in at:
+                    left = backward[total - begin[p] : total - begin[max(0, p - length + gram)]]
+                    right = onward[begin[p] : begin[min(n, p + length)]]
+                    rows.append((int(starts[k]) + p, a + k, p, xxhash.xxh64_intdigest(left + b"\n" + right), left, right))
+            if not rows:
+                continue
+            flat, row, at, digest, left, right = zip(*rows)
+            columns = [pa.array(runs[np.array(flat)].view(np.int64)), pa.array(np.array(digest, np.uint64).view(np.int64)), batch.column(0).take(pa.array(row)), pa.array(at, pa.int32())]
+            columns += [pa.array(left, pa.binary()), pa.array(right, pa.binary())] if whole else []
+            yield pa.RecordBatch.from_arrays(columns, names=["gram", "context", "id", "at", "left", "right"][: len(columns)])
+
+
+def _words_of(texts: pa.Array, width: int) -> np.ndarray:
+    """The words of texts, each followed by a space, as numbers: a row a text, -1 where it has no more words."""
+    lists = pc.split_pattern(pc.binary_slice(texts, 0, -1), " ")
+    sizes = np.where(pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), 0, pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    flat = lists.filter(pa.array(sizes > 0)).flatten().dictionary_encode().indices.to_numpy()
+    out = np.full((len(texts), width), -1, np.int32)
+    row = np.repeat(np.arange(len(texts)), sizes)
+    out[row, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+    return out
+
+
+def _common(words: np.ndarray) -> np.ndarray:
+    """How many words each row has in common, from its beginning, with the row before; 0 for the first."""
+    same = np.zeros(words.shape, bool)
+    same[1:] = (words[1:] == words[:-1]) & (words[1:] >= 0)
+    return np.logical_and.accumulate(same, axis=1).sum(1)
+
+
+def matches(left: pa.Array, right: pa.Array, a: np.ndarray, b: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For different suffixes, sorted, with the least and greatest id that have each: (least words to the left, greatest, least id) of the passages around each that another id has too; -1 without any.
+
+    Neighbours' common words cut the suffixes into intervals that share their first words, and the left sides, sorted by
+    themselves, into such that share their last words before the anchor. A passage that begins shift words to the left is
+    shared by those in one interval of length - shift words to the right that are also in one of shift words to the left, so a
+    third suffix between two of them hides nothing.
+    """
+    n, span = len(a), length - gram
+    after, before = _words_of(right, length), _words_of(left, max(span, 1))
+    n_after, n_before = (after >= 0).sum(1), (before >= 0).sum(1)
+    run = _common(after)
+    order = np.lexsort(before.T[::-1])
+    run_left = _common(before[order])
+    low, high, first = np.full(n, -1), np.full(n, -1), np.full(n, np.iinfo(np.int64).max)
+    for shift in range(span + 1):
+        whole = np.flatnonzero((n_after >= length - shift) & (n_before >= shift))
+        if not len(whole):
+            continue
+        interval = np.cumsum(run < length - shift)
+        side = np.empty(n, np.int64)
+        side[order] = np.cumsum(run_left < shift)
+        _, key = np.unique(interval[whole] * (n + 1) + side[whole], return_inverse=True)
+        least, most = np.full(key.max() + 1, np.iinfo(np.int64).max), np.full(key.max() + 1, np.iinfo(np.int64).min)
+        np.minimum.at(least, key, a[whole])
+        np.maximum.at(most, key, b[whole])
+        hit = least[key] < most[key]
+        at = whole[hit]
+        low[at] = np.where(low[at] < 0, shift, low[at])
+        high[at] = shift
+        first[at] = np.minimum(first[at], least[key][hit])
+    return low, high, first
+
+
+def _compared(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """(gram, context, left, right, a, b) sorted by gram and right, whole runs in one task, to (gram, context, low, high, first) of those with a match."""
+
+    def out(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        left, right = (rows[c].chunk(0) for c in ("left", "right"))
+        low, high, first = matches(left, right, rows["a"].to_numpy(), rows["b"].to_numpy(), length, gram)
+        at = pa.array(np.flatnonzero(high >= 0))
+        columns = [rows["gram"].chunk(0).take(at), rows["context"].chunk(0).take(at)]
+        return pa.RecordBatch.from_arrays([*columns, *(pa.array(x).take(at) for x in (low.astype(np.int32), high.astype(np.int32), first))], names=["gram", "context", "low", "high", "first"])
+
     held: pa.Table | None = None
-    over = None
     for batch in batches:
-        rows = pa.Table.from_batches([batch])
+        if not len(batch):
+            continue
+        rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
         grams = rows["gram"].to_numpy()
-        if over is not None:
-            n = int(np.searchsorted(grams, over, side="right"))
-            if n:
-                yield from _found(rows[:n], block, passed=True)
-            rows, grams = rows[n:], grams[n:]
-            if not len(rows):
-                continue
-            over = None
-        if held is not None and len(held):
-            rows = pa.concat_tables([held, rows]).combine_chunks()
-            grams = rows["gram"].to_numpy()
         end = int(np.searchsorted(grams, grams[-1]))
-        if len(grams) - end > block:
-            over, end = grams[-1], len(grams)
         if end:
-            yield from _found(rows[:end], block)
+            yield out(rows[:end])
         held = rows[end:]
     if held is not None and len(held):
-        yield from _found(held, block)
-
-
-def _found(rows: pa.Table, block: int, passed: bool = False) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("shift", pa.int32()), ("first", rows.schema.field("a").type)]))
-    rows = rows.combine_chunks()
-    if passed:
-        yield from rows.append_column("found", pa.nulls(len(rows), kind)).to_batches()
-        return
-    grams = rows["gram"].to_numpy()
-    sizes = np.diff(np.r_[np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]]), len(grams)])
-    large = np.repeat(sizes > block, sizes)
-    if large.any():
-        yield from _found(rows.filter(pa.array(large)), block, passed=True)
-        rows, sizes = rows.filter(pa.array(~large)).combine_chunks(), sizes[sizes <= block]
-        if not len(rows):
-            return
-    group = np.repeat(np.arange(len(sizes)), sizes)
-    lists = rows["passages"].chunk(0)
-    n = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-    passage = lists.flatten().to_numpy(zero_copy_only=False)
-    row = np.repeat(np.arange(len(n)), n)
-    nth = np.arange(len(passage)) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n)
-    a, b = rows["a"].to_numpy()[row], rows["b"].to_numpy()[row]
-    order = np.lexsort((passage, group[row]))
-    new = np.r_[True, (passage[order][1:] != passage[order][:-1]) | (group[row][order][1:] != group[row][order][:-1])] if len(order) else np.array([], bool)
-    key = np.cumsum(new) - 1
-    first, last = (f.reduceat(x[order], np.flatnonzero(new)) for f, x in ((np.minimum, a), (np.maximum, b)))
-    by = np.empty(len(order), np.int64)
-    by[order] = key
-    hit = first[by] != last[by]
-    shift = (rows["low"].to_numpy()[row] + nth)[hit].astype(np.int32)
-    offsets = np.r_[0, np.cumsum(np.bincount(row[hit], minlength=len(n)))]
-    found = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.StructArray.from_arrays([pa.array(shift), pa.array(first[by][hit])], fields=list(kind.value_type)))
-    out = rows.set_column(5, "passages", pa.nulls(len(rows), lists.type)).append_column("found", found)
-    yield from out.filter(pc.greater(pc.list_value_length(found), 0)).combine_chunks().to_batches()
+        yield out(held)
+
+
+def _passages(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """(gram, context, left, right, a, b) to a row for each passage around the anchor: (gram, context, shift, passage, a, b); passage is the 128-bit digest of its words."""
+    for batch in batches:
+        rows: list[tuple] = []
+        for k, (left, right) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+            before, after = left.split(), right.split()
+            for shift in range(max(0, length - len(after)), min(length - gram, len(before)) + 1):
+                rows.append((k, shift, xxhash.xxh3_128_digest(b" ".join([*before[:shift][::-1], *after[: length - shift]]))))
+        row, shift, passage = zip(*rows) if rows else ((), (), ())
+        row = pa.array(row, pa.int64())
+        c = [batch.column(i).take(row) for i in (0, 1, 4, 5)]
+        yield pa.RecordBatch.from_arrays([c[0], c[1], pa.array(shift, pa.int32()), pa.array(passage, pa.binary()), c[2], c[3]], names=["gram", "context", "shift", "passage", "a", "b"])
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
     """One row for each maximal stretch of words of a document that is covered by passages of length words standing in another document too: id, start_word, end_word (exclusive), first_id.
 
-    first_id is the least id that has one of those passages; a stretch with first_id equal to its id is the copy to keep.
+    first_id is the least id that has one of those passages; a stretch with first_id equal to its id is the copy to keep. A
+    passage that repeats within one document only is not reported.
 
     Of all suffixes only those at minimiser positions are kept: a position counts if its gram-word run has the least hash of
-    some passage around it. Any passage standing twice has such a position at the same distance from its beginning, so
-    suffixes sorted by that run bring its places together, and runs that stand in one place only drop out. What is left is
-    extended to both sides: each suffix carries the hashes of the passages around it that its run is least in, by how far to
-    its left they begin. Suffixes with equal context agree in all of them; these are added up before any exchange, so a
-    passage on a third of all documents is one row a task. Contexts of one run then stand together, sorted, and are compared
-    shift by shift, which also finds a partner that other suffixes stand between. A run with more than block contexts isn't
-    gathered in one task: its passages are grouped one by one.
-
-    Words are parted by ASCII white space and compared byte by byte. Null texts count as empty; null ids are left out, and rows with one id are one document. An empty table gives no rows.
+    some passage around it. Any passage standing twice has such a position at the same distance from its beginning, so a run
+    that stands in one document only drops out. Of the others the suffix and what stands before it are taken, word for word;
+    equal ones are one row before any exchange, so a passage on a third of all documents is one row a task. The suffixes are
+    sorted, neighbours compared by their common words, and matches extended to the left; see matches. A run with more than
+    block different suffixes isn't gathered in one task: its passages are grouped by a 128-bit digest of their words.
+
+    Words are parted by ASCII white space and compared byte by byte. Null texts count as empty; null ids are left out, and
+    rows with one id are one document. Texts of any length are read whole, pieces of a batch at a time. An empty table gives no rows.
     """
     if docs.schema[id_col].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
         raise TypeError(f"{id_col} is to be an integer")
     n = parts(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("id is not null")
-    suffixes = durable(texts.mapInArrow(partial(_anchors, length=length, gram=gram), "gram bigint, id bigint, at array<int>"))
-    twice = suffixes.groupBy("gram").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("gram")
-    places = durable(suffixes.join(twice, "gram").groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("places")))
-    discard(suffixes)
-    row = "gram bigint, context bigint, id bigint, at int, low int, passages array<bigint>"
-    extended = durable(texts.join(places, "id").select("id", "t", "places").mapInArrow(partial(_contexts, length=length, gram=gram), row).where("size(passages) > 0"))
-    contexts = extended.groupBy("gram", "context").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.first("low").alias("low"), F.first("passages").alias("passages"))
-    schema = "gram bigint, context bigint, a bigint, b bigint, low int, passages array<bigint>, found array<struct<shift: int, first: bigint>>"
-    compared = durable(contexts.repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(partial(_shared, block=block), schema))
-    full = compared.where("found is not null").select("gram", "context", "found")
-    # The rest are runs with very many contexts: their passages are counted one by one over all tasks.
-    each = compared.where("found is null").select("gram", "context", "a", "b", "low", F.posexplode("passages").alias("nth", "passage"))
-    shared = each.groupBy("gram", "passage").agg(F.min("a").alias("first"), F.max("b").alias("last")).where("first <> last").select("gram", "passage", "first")
-    partly = each.join(shared, ["gram", "passage"]).select("gram", "context", F.struct((F.col("low") + F.col("nth")).alias("shift"), "first").alias("hit"))
-    partly = partly.groupBy("gram", "context").agg(F.collect_set("hit").alias("found"))
-    spans = extended.select("gram", "context", "id", "at").join(full.unionByName(partly), ["gram", "context"])
-    spans = spans.select("id", F.transform("found", lambda f: F.struct((F.col("at") - f["shift"]).alias("start"), f["first"].alias("first"))).alias("found"))
-    # A document's passages, in order; those that overlap or touch make one stretch.
-    own = spans.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
-    # All passages have one length: a stretch begins where the one before begins more than that earlier.
-    begins = F.filter(F.sequence(F.lit(1), F.size("found")), lambda i: (i == 1) | (F.element_at("found", i)["start"] - F.element_at("found", F.greatest(i - 1, F.lit(1)))["start"] > length))
-    own = own.withColumn("begins", begins)
-    following = F.concat(F.slice("begins", 2, F.size("begins")), F.array(F.size("found") + 1))
-    merged = F.zip_with(
-        "begins",
-        following,
-        lambda b, e: F.struct(
-            F.element_at("found", b)["start"].alias("start"),
-            (F.element_at("found", e - 1)["start"] + length).alias("end"),
-            F.array_min(F.transform(F.slice("found", b, e - b), lambda x: x["first"])).alias("first"),
-        ),
-    )
-    stretch = own.select("id", F.explode(merged).alias("s"))
-    return stretch.select(F.col("id").alias(id_col), F.col("s.start").cast("long").alias("start_word"), F.col("s.end").cast("long").alias("end_word"), F.col("s.first").alias("first_id"))
+    anchored = durable(texts.mapInArrow(partial(_anchors, length=length, gram=gram), "gram bigint, id bigint, at array<int>"))
+    twice = anchored.groupBy("gram").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("gram")
+    places = durable(anchored.join(twice, "gram").select("id", F.explode("at").alias("at")).groupBy("id").agg(F.collect_set("at").alias("places")))
+    discard(anchored)
+    placed = texts.join(places, "id").select("id", "t", "places")
+    suffixes = placed.mapInArrow(partial(_suffixes, length=length, gram=gram), "gram bigint, context bigint, id bigint, at int, left binary, right binary")
+    different = durable(suffixes.groupBy("gram", "context", "left", "right").agg(F.min("id").alias("a"), F.max("id").alias("b")))
+    runs = different.groupBy("gram").agg(F.count("*").alias("n"), F.min("a").alias("a"), F.max("b").alias("b"))
+    large = durable(runs.where(F.col("n") > block).select(F.col("gram").alias("large_gram")))
+    hit = "gram bigint, context bigint, low int, high int, first bigint"
+    compare = partial(_compared, length=length, gram=gram)
+    if large.isEmpty():
+        found = different.repartition(n, "gram").sortWithinPartitions("gram", "right").mapInArrow(compare, hit)
+    else:
+        # There is one large run for block rows at most; Spark knows the table's size and sends it to all tasks only if it is small.
+        of_large = F.col("gram") == F.col("large_gram")
+        found = different.join(large, of_large, "left_anti").repartition(n, "gram").sortWithinPartitions("gram", "right").mapInArrow(compare, hit)
+        each = different.join(large, of_large, "left_semi").mapInArrow(partial(_passages, length=length, gram=gram), "gram bigint, context bigint, shift int, passage binary, a bigint, b bigint")
+        passage = ["gram", "shift", "passage"]
+        shared = durable(each.groupBy(*passage).agg(F.min("a").alias("first"), F.max("b").alias("last")).where("first < last").drop("last"))
+        found = found.unionByName(each.join(shared, passage).groupBy("gram", "context").agg(F.min("shift").alias("low"), F.max("shift").alias("high"), F.min("first").alias("first")))
+    found = durable(found)
+    discard(different)
+    light = placed.mapInArrow(partial(_suffixes, length=length, gram=gram, whole=False), "gram bigint, context bigint, id bigint, at int")
+    # The passages around one anchor overlap, so they make one stretch.
+    spans = light.join(found, ["gram", "context"]).groupBy("id", (F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + length).alias("end")).agg(F.min("first").alias("first"))
+    own = Window.partitionBy("id").orderBy("start", "end")
+    reached = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("new", (reached.isNull() | (F.col("start") > reached)).cast("int")).withColumn("nth", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    stretch = spans.groupBy("id", "nth").agg(F.min("start").cast("long").alias("start_word"), F.max("end").cast("long").alias("end_word"), F.min("first").alias("first_id"))
+    return stretch.select(F.col("id").alias(id_col), "start_word", "end_word", "first_id")

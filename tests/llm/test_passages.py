@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from siltstone.llm import decontaminate, suffix_dedup
@@ -119,3 +120,30 @@ def test_leak_in_a_long_text_across_slices(spark, monkeypatch):
 def test_no_benchmark(spark):
     docs = spark.createDataFrame([(1, "text", 1, "p")], DOCS)
     assert decontaminate.find_leaks(docs, spark.createDataFrame([], "item_id bigint, text string")).first()["__spans"] == []
+
+
+def test_matches_like_all_pairs():
+    """Sorted neighbours against every pair of suffixes, on few words, so that others stand between partners."""
+    import pyarrow as pa
+
+    rnd = random.Random(4)
+    length, gram = 8, 3
+    rows = set()
+    while len(rows) < 300:
+        after = ["k", "l", "m", *(rnd.choice("ab") for _ in range(rnd.randrange(6)))]
+        rows.add((" ".join(rnd.choice("ab") for _ in range(rnd.randrange(6))), " ".join(after)))
+    rows = sorted(((x.split(), y.split()) for x, y in rows), key=lambda r: "".join(w + " " for w in r[1]))
+    ids = [(rnd.randrange(9), rnd.randrange(9)) for _ in rows]
+    a, b = np.array([min(x) for x in ids]), np.array([max(x) for x in ids])
+    joined = [pa.array(["".join(w + " " for w in r[k]).encode() for r in rows], pa.binary()) for k in (0, 1)]
+    got = list(zip(*(x.tolist() for x in suffix_dedup.matches(*joined, a, b, length, gram))))
+    for (left, right), (low, high, first) in zip(rows, got):
+        hits = []
+        for shift in range(length - gram + 1):
+            if len(left) >= shift and len(right) >= length - shift:
+                same = [i for i, (x, y) in enumerate(rows) if x[:shift] == left[:shift] and len(x) >= shift and y[: length - shift] == right[: length - shift]]
+                least, most = a[same].min(), b[same].max()
+                if least < most:
+                    hits.append((shift, least))
+        assert (low, high) == ((min(hits)[0], max(hits)[0]) if hits else (-1, -1))
+        assert not hits or first == min(f for _, f in hits)
