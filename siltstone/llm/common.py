@@ -61,3 +61,11 @@ def parts(spark: SparkSession) -> int:
 def md5_number(text: Column, digits: int = 8) -> Column:
     """The first hexadecimal digits of the MD5 of a string, as a long."""
     return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, with underscores added until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

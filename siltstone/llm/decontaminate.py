@@ -5,20 +5,24 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import lru_cache, partial
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-Q = 8
+from .common import durable, unused
+
+#: Characters of a q-gram; the second is for short passages whose edits would leave none of the first.
+Q, SHORT_Q = 8, 5
 #: Edits allowed for each character of a passage.
 EDIT_SHARE = 0.1
-#: Items up to so many characters are one passage; longer ones are passages of PASSAGE characters, one every STEP.
-WHOLE, PASSAGE, STEP = 160, 100, 50
-#: Characters of benchmark text that one pass over the documents carries; more are further passes.
-BLOCK_CHARS = 20_000_000
+#: Items of over PASSAGE characters are passages of so many, one every STEP; an item up to twice that is one passage too.
+PASSAGE, STEP = 100, 25
+#: Characters of benchmark text that one pass over the documents carries, and passes between tables that cut the lineage.
+BLOCK_CHARS, PASSES = 2_000_000, 4
 #: Characters of documents that are looked at together; a longer document goes in slices that overlap.
 SLICE = 1_000_000
 _B = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
@@ -35,21 +39,43 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def qgrams(codes: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the runs of Q = 8 characters, by doubling."""
-    h = codes.astype(np.uint64) + np.uint64(1)
-    h *= np.uint64(0xFF51AFD7ED558CCD)
-    h ^= h >> np.uint64(32)
-    for k, b in zip((1, 2, 4), _B):
-        h = h[:-k] * b + h[k:]
+def qgrams(codes: np.ndarray, q: int = Q) -> np.ndarray:
+    """64-bit hashes of the runs of q characters, by doubling, then one by one."""
+    one = codes.astype(np.uint64) + np.uint64(1)
+    one *= np.uint64(0xFF51AFD7ED558CCD)
+    one ^= one >> np.uint64(32)
+    h, size = one, 1
+    while size < q:
+        step = size if 2 * size <= q else 1
+        h = h[:-step] * _B[size.bit_length() - 1] + (h if step == size else one[size - 1 :])[step:]
         h ^= h >> np.uint64(29)
+        size += step
     return h
 
 
+def spans_of(n: int) -> list[tuple[int, int]]:
+    """The passages that an item of n characters is sought as."""
+    if n <= PASSAGE:
+        return [(0, n)]
+    windows = [(a, a + PASSAGE) for a in [*range(0, n - PASSAGE, STEP), n - PASSAGE]]
+    return windows + [(0, n)] * (n <= 2 * PASSAGE)
+
+
+def edits_of(n: int, share: float) -> tuple[int, int]:
+    """(q, edits) of a passage of n characters: its full budget with the greater q if that leaves a q-gram, else with the lesser; fewer edits only if neither does."""
+    k = int(share * n)
+    while True:
+        for q in (Q, SHORT_Q):
+            if n + 1 - q - k * q >= 1 or k == 0:
+                return q, k
+        k -= 1
+
+
 @dataclass
 class Passages:
     """Passages of items with their q-gram index. budget: edits allowed; need: q-grams that survive them at least."""
 
+    q: int
     items: np.ndarray
     codes: list[np.ndarray]
     budget: np.ndarray
@@ -61,23 +87,19 @@ class Passages:
     bitmap: np.ndarray
 
     @classmethod
-    def of(cls, items: list[tuple[int, str]], share: float = EDIT_SHARE) -> Passages:
+    def of(cls, items: list[tuple[int, np.ndarray]], q: int = Q, share: float = EDIT_SHARE) -> Passages:
+        """Of (item, characters) those passages that are sought by q-grams of q."""
         ids, codes, budget = [], [], []
-        for item, text in items:
-            c = _codes(normal(text or ""))
-            if len(c) < Q:
-                continue
-            spans = [(0, len(c))] if len(c) <= WHOLE else [(a, a + PASSAGE) for a in [*range(0, len(c) - PASSAGE, STEP), len(c) - PASSAGE]]
-            for a, b in spans:
-                k = int(share * (b - a))
-                while k and b - a + 1 - Q - k * Q < 1:  # else the lemma would let everything through
-                    k -= 1
-                ids.append(item)
-                codes.append(c[a:b])
-                budget.append(k)
+        for item, c in items:
+            for a, b in spans_of(len(c)):
+                own, k = edits_of(b - a, share)
+                if own == q:
+                    ids.append(item)
+                    codes.append(c[a:b])
+                    budget.append(k)
         budget = np.array(budget, np.int64)
         sizes = np.array([len(c) for c in codes], np.int64)
-        hashes = [qgrams(c) for c in codes]
+        hashes = [qgrams(c, q) for c in codes]
         flat = np.concatenate(hashes) if hashes else np.array([], np.uint64)
         passage = np.repeat(np.arange(len(codes)), [len(h) for h in hashes])
         place = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else _EMPTY
@@ -85,13 +107,13 @@ class Passages:
         grams, first = np.unique(flat[order], return_index=True)
         bitmap = np.zeros(1 << _BITS, bool)
         bitmap[(grams >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-        return cls(np.array(ids), codes, budget, sizes + 1 - Q - budget * Q, grams, np.r_[first, len(flat)], passage[order].astype(np.int64), place[order].astype(np.int64), bitmap)
+        return cls(q, np.array(ids), codes, budget, sizes + 1 - q - budget * q, grams, np.r_[first, len(flat)], passage[order].astype(np.int64), place[order].astype(np.int64), bitmap)
 
     def candidates(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(passage, least diagonal, greatest diagonal) of the bands that the lemma leaves."""
-        if len(codes) < Q or not len(self.grams):
+        if len(codes) < self.q or not len(self.grams):
             return _EMPTY, _EMPTY, _EMPTY
-        h = qgrams(codes)
+        h = qgrams(codes, self.q)
         at = np.flatnonzero(self.bitmap[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
         j = np.searchsorted(self.grams, h[at])
         j[j == len(self.grams)] = 0
@@ -153,27 +175,67 @@ def banded_edits(passage: np.ndarray, text: np.ndarray, lo: int, hi: int, budget
     return int(row[end]), len(passage) + lo + end
 
 
-def matches(text: str, passages: Passages) -> list[tuple[int, int, int, int]]:
+class Benchmark:
+    """Items ready to be sought: passages by their q, and items of under Q characters, which are found as they are between other than word characters."""
+
+    def __init__(self, items: list[tuple[int, str]], share: float = EDIT_SHARE) -> None:
+        texts = [(i, normal(t or "")) for i, t in items]
+        coded = [(i, _codes(t)) for i, t in texts]
+        long = [(i, c) for i, c in coded if len(c) >= Q]
+        self.passages = [p for p in (Passages.of(long, q, share) for q in (Q, SHORT_Q)) if len(p.items)]
+        short: dict[str, list[int]] = {}
+        for (i, t), (_, c) in zip(texts, coded):
+            if t and len(c) < Q:
+                short.setdefault(t, []).append(i)
+        self.short = None
+        if short:
+            self.short = ahocorasick.Automaton()
+            for t, ids in short.items():
+                self.short.add_word(t, (t, ids))
+            self.short.make_automaton()
+
+    def short_matches(self, text: str) -> Iterator[tuple[int, int, int, int]]:
+        word = lambda c: c.isalnum() or c == "_"
+        for last, (t, ids) in self.short.iter(text) if self.short else ():
+            start, end = last + 1 - len(t), last + 1
+            if not (start and word(text[start - 1])) and not (end < len(text) and word(text[end])):
+                yield from ((i, start, end, 0) for i in ids)
+
+
+@lru_cache(maxsize=PASSES)
+def _ready(items: tuple[tuple[int, str], ...], share: float) -> Benchmark:
+    """A worker builds the index of a block once, for all its tasks."""
+    return Benchmark(list(items), share)
+
+
+def matches(text: str, benchmark: Benchmark) -> list[tuple[int, int, int, int]]:
     """(item, start, end, edits) of each passage found, positions in the normalised text, sorted; start is where its band begins."""
-    return matches_of([text], passages)[0]
+    return matches_of([text], benchmark)[0]
 
 
-def matches_of(texts: list[str], passages: Passages) -> list[list[tuple[int, int, int, int]]]:
+def matches_of(texts: list[str], benchmark: Benchmark) -> list[list[tuple[int, int, int, int]]]:
     found: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
-    overlap = 2 * WHOLE + 64
+    overlap = 4 * PASSAGE + 64
     pieces: list[tuple[int, int, np.ndarray]] = []
     held = 0
+
+    def search() -> None:
+        for passages in benchmark.passages:
+            _search(pieces, passages, found)
+
     for d, t in enumerate(texts):
-        codes = _codes(normal(t))
+        t = normal(t)
+        found[d] += benchmark.short_matches(t)
+        codes = _codes(t)
         for a in range(0, max(len(codes), 1), SLICE):
             piece = codes[max(0, a - overlap) : a + SLICE]
             pieces.append((d, max(0, a - overlap), piece))
             held += len(piece)
             if held >= SLICE:
-                _search(pieces, passages, found)
+                search()
                 pieces, held = [], 0
     if pieces:
-        _search(pieces, passages, found)
+        search()
     return [sorted(set(f)) for f in found]
 
 
@@ -198,51 +260,51 @@ def _search(pieces: list[tuple[int, int, np.ndarray]], passages: Passages, found
                 found[d].append((int(passages.items[p]), offset + max(0, end - len(code) - edits), offset + end, edits))
 
 
-def _find(batches: Iterator[pa.RecordBatch], passages: Passages) -> Iterator[pa.RecordBatch]:
+def _find(batches: Iterator[pa.RecordBatch], items: tuple[tuple[int, str], ...], share: float, text_col: str, out: str) -> Iterator[pa.RecordBatch]:
     spans = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int64())]))
+    benchmark = _ready(items, share)
     for batch in batches:
-        at = batch.schema.names.index("__text")
-        texts = batch.column(at)
+        texts = batch.column(batch.schema.names.index(text_col))
         got: list = []
         for i in range(0, len(texts), 256):
-            got += matches_of([t.as_py() or "" for t in texts[i : i + 256]], passages)
+            got += matches_of([t.as_py() or "" for t in texts[i : i + 256]], benchmark)
         rows = [[{"item_id": a, "start": b, "end": c, "edits": e} for a, b, c, e in g] for g in got]
-        rest = [(c, n) for c, n in zip(batch.columns, batch.schema.names) if n != "__text"]
-        yield pa.RecordBatch.from_arrays([*(c for c, _ in rest), pa.array(rows, spans)], names=[*(n for _, n in rest), "__spans"])
+        rest = [(c, n) for c, n in zip(batch.columns, batch.schema.names) if n != text_col]
+        yield pa.RecordBatch.from_arrays([*(c for c, _ in rest), pa.array(rows, spans)], names=[*(n for _, n in rest), out])
 
 
-def item_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark's items in blocks of about block_chars characters; null texts and ids are left out."""
+def item_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> Iterator[tuple[tuple[int, str], ...]]:
+    """The benchmark's items in blocks of about block_chars characters, one at a time; null texts and ids are left out."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("t")).dropna()
     total = items.agg(F.sum(F.char_length("t"))).first()[0] or 0
     n = max(1, math.ceil(total / block_chars))
     for i in range(n):
         block = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "t"), F.lit(n)) == i)
-        yield sorted((r["item"], r["t"]) for r in block.collect())
+        yield tuple(sorted((r["item"], r["t"]) for r in block.collect()))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", share: float = EDIT_SHARE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs with __spans: array of (item_id, start, end, edits), the passages of benchmark items found in the normalised text.
 
-    Items of up to WHOLE characters are sought whole, longer ones as passages of PASSAGE characters every STEP, so any
-    stretch of an item of PASSAGE + STEP characters is found. A passage is found if a stretch of the text is within
-    share times its length edits. By the q-gram lemma such a stretch has length + 1 - Q - Q * edits of its q-grams on
-    diagonals no further apart than the edits; bands with fewer are left out, the others are aligned. Items with under Q
-    characters are left out: they can't be told from common phrases; short ones have their edits reduced until the lemma asks
-    for one q-gram. Null text counts as empty. All rows and columns stay; an empty benchmark finds nothing.
-
-    The benchmark goes to every task, in blocks of a checked size; documents are read where they are, once for each block.
+    Items of over PASSAGE characters are sought as passages of so many, one every STEP, so any stretch of an item of
+    PASSAGE + STEP characters is found, and those up to twice PASSAGE as a whole too; shorter ones as a whole. A passage is
+    found if a stretch of the text is within share times its length edits. By the q-gram lemma such a stretch has
+    length + 1 - q - q * edits of its q-grams on diagonals no further apart than the edits; bands with fewer are left out,
+    the others are aligned. q is Q, or SHORT_Q where Q would leave no q-gram; with a share of over a tenth a short passage may
+    allow fewer edits, the most that leave one. Items of under Q characters are found where they stand unchanged between
+    other than word characters; empty ones are not. Null text counts as empty, null items are left out. All rows and columns
+    stay, but for a column of docs that is called __spans, which is replaced; an empty benchmark finds nothing.
+
+    Tasks get a block of the benchmark's texts, of a checked size, and index it once a worker. Documents are read where they
+    are; a benchmark of more than PASSES blocks writes them with what is found so far after every PASSES.
     """
-    out = docs
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    span = "array<struct<item_id: bigint, start: bigint, end: bigint, edits: bigint>>"
+    docs = docs.drop("__spans")
+    out = docs.withColumn("__spans", F.array().cast("array<struct<item_id: bigint, start: bigint, end: bigint, edits: bigint>>"))
     for i, block in enumerate(item_blocks(benchmark, item_col, item_text_col, block_chars)):
-        if i:
-            out = out.withColumnRenamed("__spans", "__earlier")
-            schema_now = f"{schema}, __earlier {span}, __spans {span}"
-        else:
-            schema_now = f"{schema}, __spans {span}"
-        out = out.withColumn("__text", F.col(text_col)).mapInArrow(partial(_find, passages=Passages.of(block, share)), schema_now)
-        if i:
-            out = out.withColumn("__spans", F.concat("__earlier", "__spans")).drop("__earlier")
+        if i and i % PASSES == 0:
+            out = durable(out)
+        read, new = unused(out, "__text"), unused(out, "__new")
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema) + f", `{new}` array<struct<item_id: bigint, start: bigint, end: bigint, edits: bigint>>"
+        out = out.withColumn(read, F.col(text_col)).mapInArrow(partial(_find, items=block, share=share, text_col=read, out=new), schema)
+        out = out.withColumn("__spans", F.concat("__spans", new)).drop(new)
     return out

@@ -83,20 +83,24 @@ def test_leaks_like_brute_force(spark):
     rnd = random.Random(2)
     word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(2, 8)))
     text = lambda n: " ".join(word() for _ in range(n))
-    items = [(i, text(n)) for i, n in enumerate((3, 5, 18, 22, 25, 60))] + [(50, None), (51, ""), (52, "short"), (None, text(20))]
+    items = [(i, text(n)) for i, n in enumerate((3, 5, 18, 22, 25, 60))] + [(50, None), (51, ""), (52, "2+2=4"), (53, text(2)[:12]), (54, text(6)[:21]), (55, text(8)[:30]), (None, text(20))]
     rows = []
     for i in range(90):
         body = text(rnd.randrange(0, 60))
         if i % 3 == 0:
-            item = items[rnd.randrange(6)][1]
+            item = items[rnd.choice([0, 1, 2, 3, 4, 5, 9, 10, 11])][1]
             body += " " + mutated(rnd, item.upper() if i % 2 else item.replace(" ", "\n "), rnd.randrange(0, 14)) + " " + text(5)
         rows.append((i, body, 1, "p"))
     rows += [(200, None, 1, "p"), (201, "", 1, "p"), (202, items[4][1], 1, "p"), (203, items[5][1][40:230], 1, "p")]
-    passages = decontaminate.Passages.of([x for x in items if x[0] is not None])
+    rows += [(204, "so 2+2=4.", 1, "p"), (205, "12+2=4", 1, "p"), (206, "2+2=4x", 1, "p"), (207, "2+2=4", 1, "p")]
+    passages = decontaminate.Benchmark([x for x in items if x[0] is not None]).passages
     want = {}
     for i, body, *_ in rows:
         t = decontaminate.normal(body or "")
-        want[i] = {int(item) for item, code, k in zip(passages.items, passages.codes, passages.budget) if edit_distance_in([chr(c) for c in code], t) <= k}
+        want[i] = {int(item) for p in passages for item, code, k in zip(p.items, p.codes, p.budget) if edit_distance_in([chr(c) for c in code], t) <= k}
+        assert all(k == len(code) // 10 for p in passages for code, k in zip(p.codes, p.budget))
+        if i in (204, 207):
+            want[i].add(52)
     docs = spark.createDataFrame(rows, DOCS)
     found = decontaminate.find_leaks(docs, spark.createDataFrame(items, "item_id bigint, text string"))
     got = {r.doc_id: {s.item_id for s in r["__spans"]} for r in found.collect()}
@@ -110,13 +114,32 @@ def test_leak_in_a_long_text_across_slices(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "SLICE", 1_000)
     rnd = random.Random(6)
     item = " ".join("".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(20))
-    passages = decontaminate.Passages.of([(1, item)])
+    passages = decontaminate.Benchmark([(1, item)])
     filler = " ".join("".join(rnd.choice("klmnopq") for _ in range(5)) for _ in range(1_200))
     for at in range(900, 1_200, 37):
         assert decontaminate.matches(filler[:at] + " " + item + " " + filler[at:], passages), at
     assert not decontaminate.matches(filler, passages)
 
 
+def test_part_of_an_item_is_found_at_every_size():
+    """125 characters of an item, wherever they begin in it, for items around every length where the passages change."""
+    rnd = random.Random(7)
+    whole = " ".join("".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(60))
+    for n in (99, 100, 101, 130, 159, 160, 161, 199, 200, 201, 300):
+        benchmark = decontaminate.Benchmark([(1, whole[:n].strip())])
+        item = whole[:n].strip()
+        for at in range(0, max(1, len(item) - 124), 7):
+            assert decontaminate.matches("zzz " + item[at : at + 125] + " zzz", benchmark), (n, at)
+        assert decontaminate.matches(mutated(rnd, item, len(item) // 10), benchmark) or n > 200
+        assert not decontaminate.matches(whole[n + 1 :][:80], benchmark)
+
+
+def test_spans_of_other_columns(spark):
+    docs = spark.createDataFrame([(1, "so 2+2=4 it is", 3, 4, 5)], "doc_id bigint, text string, __text int, __spans int, __new int")
+    found = decontaminate.find_leaks(docs, spark.createDataFrame([(7, "2+2=4")], "item_id bigint, text string")).first()
+    assert (found["__text"], found["__new"]) == (3, 5) and found["__spans"][0].item_id == 7
+
+
 def test_no_benchmark(spark):
     docs = spark.createDataFrame([(1, "text", 1, "p")], DOCS)
     assert decontaminate.find_leaks(docs, spark.createDataFrame([], "item_id bigint, text string")).first()["__spans"] == []

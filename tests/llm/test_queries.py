@@ -43,7 +43,7 @@ def test_pipeline_like_plain_python(spark):
                 d["n_chars"] = len(d["text"])
     groups = similar_ids([(d["doc_id"], d["text"]) for d in docs])
     docs = [d for d in docs if groups[d["doc_id"]] == d["doc_id"]]
-    passages = decontaminate.Passages.of([(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()])
+    passages = decontaminate.Benchmark([(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()])
     docs = [d for d in docs if not decontaminate.matches(d["text"] or "", passages)]
     frame = spark.createDataFrame([tuple(d[c] for c in corpus_pipeline.COLUMNS) for d in docs], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     want = {r.doc_id: (r["size"], r.taken) for r in mixing.mix_sources(frame).collect() if r.taken}
