@@ -67,7 +67,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score_texts(docs, model)
-    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"), F.when(F.col("__score") >= 0.5, 1).otherwise(0).alias("predicted"), F.col("__sentence").alias("worst_sentence"))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"), F.when(F.col("__score") >= 0.5, 1).otherwise(0).alias("predicted"), F.col("__sentences").alias("offending_sentences"))
 
 
 def url_lists(hosts: DataFrame) -> DataFrame:
@@ -138,7 +138,7 @@ g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text ||
              CAST(sum({_TURN_CHARS}) AS BIGINT) AS formatted_chars FROM t GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, regexp_full_match(roles, 's?(ua)+') AS valid FROM g""",
     "op10_url_filter": r"""
-WITH c AS (SELECT page_id, url, nullif(lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), '\.+$', '')), '') AS host,
+WITH c AS (SELECT page_id, url, nullif(lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#]+)', 1), '\.+$', '')), '') AS host,
                   TIMESTAMP '2024-01-01' + to_seconds((page_id * 7919993) % (366 * 86400)) AS fetched_at FROM pages),
 n AS (SELECT host AS domain FROM c UNION SELECT regexp_extract(host, '([^.]+\.[^.]+)$', 1) FROM c),
 h AS (SELECT domain, CAST('0x' || substr(md5(domain), 1, 8) AS BIGINT) AS h FROM n WHERE domain <> ''),

@@ -13,14 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, durable
+from .common import discard, durable, unused
 
 SENTENCE = re.compile(r"[.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
 #: Labelled documents used for fitting, at most: those with the least MD5 of their identifier. The bound of what the driver holds.
 FIT_ROWS = 8_000
-#: Features of a model.
-FEATURES = 400
 #: Lengths of the word beginnings that are features beside whole words: insults come inflected.
 STEMS = (4, 5, 6)
 #: A sentence without a known feature has this log-odds at most, so thousands of plain sentences stay harmless.
@@ -50,20 +48,21 @@ class Model:
             if s.strip():
                 yield s, self.bias + sum(self.weights.get(w, 0.0) for w in features_of(s))
 
-    def score(self, text: str) -> tuple[float, str | None, float]:
-        """The document's probability, its most toxic sentence (in lower case) and that sentence's probability."""
+    def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
+        """The document's probability, and (start, end, probability) of its sentences with a known feature, in the text's characters."""
         low = text.lower()
-        sentences = [s for s in SENTENCE.split(low) if s.strip()]
-        hit: list[tuple[float, str]] = []
+        sentences = sum(1 for s in SENTENCE.split(low) if s.strip())
+        hit: list[tuple[float, int, int]] = []
         if not self.starts.isdisjoint({w[:4] for w in WORD.findall(low)}):
-            for s in sentences:
-                found = self.weights.keys() & features_of(s)
+            at = 0
+            for end in [*(m.span() for m in SENTENCE.finditer(text)), (len(text), len(text))]:
+                found = self.weights.keys() & features_of(text[at : end[0]].lower())
                 if found:
-                    hit.append((self.bias + sum(self.weights[w] for w in sorted(found)), s))
-        left = math.log1p(-self.leak) - (len(sentences) - len(hit)) * math.log1p(math.exp(self.bias))
-        left -= sum(math.log1p(math.exp(z)) if z < 30 else z for z, _ in hit)
-        top, worst = max(hit, key=lambda x: x[0], default=(self.bias, sentences[0] if sentences else None))
-        return -math.expm1(left), worst and worst.strip(), 1 / (1 + math.exp(-top))
+                    hit.append((self.bias + sum(self.weights[w] for w in sorted(found)), at, end[0]))
+                at = end[1]
+        left = math.log1p(-self.leak) - max(0, sentences - len(hit)) * math.log1p(math.exp(self.bias))
+        left -= sum(math.log1p(math.exp(z)) if z < 30 else z for z, _, _ in hit)
+        return -math.expm1(left), [(a, b, 1 / (1 + math.exp(-z)) if z > -700 else 0.0) for z, a, b in hit]
 
 
 def held_out(id_col) -> F.Column:
@@ -78,13 +77,17 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([label] * len(found), pa.int32())], names=["feature", "label"])
 
 
-def select_features(counts: DataFrame, n: int, toxic: int, limit: int) -> list[str]:
-    """Of counts(feature, seen, toxic) the features of toxic documents whose likelihood ratio against chance is greatest."""
+def select_features(counts: DataFrame, n: int, toxic: int) -> list[str]:
+    """Of counts(feature, seen, toxic) the features of toxic documents that chance doesn't explain: their likelihood ratio against chance is greater than the number of features looked at.
+
+    Counts are of the fitted documents, which bounds what the driver gets; all features that pass are taken.
+    """
     base = toxic / n
     k, m = F.col("toxic"), F.col("seen")
     rest = F.when(m > k, (m - k) * F.log((m - k) / m / (1 - base))).otherwise(0.0)
-    ranked = counts.where((k >= 2) & (k > m * base)).withColumn("ratio", F.round(k * F.log(k / m / base) + rest, 6)).where("ratio > 3")
-    return [r.feature for r in ranked.orderBy(F.col("ratio").desc(), "feature").limit(limit).collect()]
+    least = math.log(max(counts.count(), 1))
+    ranked = counts.where((k >= 2) & (k > m * base)).withColumn("ratio", F.round(k * F.log(k / m / base) + rest, 6)).where(F.col("ratio") > least)
+    return [r.feature for r in ranked.select("feature", "ratio").orderBy(F.col("ratio").desc(), "feature").collect()]
 
 
 def _hits(batches: Iterator[pa.RecordBatch], index: dict[str, int]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +116,8 @@ def fit(words: list[str], bags: list[tuple[int, int, list[list[int]]]], rounds:
     tok_word = np.array([w for b in bags for s in b[2] for w in s], np.int64)
     n_sent, n_words = len(sent_doc), len(words)
     # weights, bias, leak's log-odds
-    x = np.r_[np.full(n_words, 1.0), PLAIN, math.log(0.03 / 0.97)]
+    # A word begins with a weight that its labels can move: far below even odds none would.
+    x = np.r_[np.full(n_words, 3.0), PLAIN, math.log(0.03 / 0.97)]
     m, v = np.zeros_like(x), np.zeros_like(x)
     sig = lambda z: 1 / (1 + np.exp(-z))
     for t in range(1, rounds + 1):
@@ -130,26 +134,27 @@ def fit(words: list[str], bags: list[tuple[int, int, list[list[int]]]], rounds:
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         x = x + rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         x[:n_words] = np.maximum(x[:n_words], 0)
-        x[-2] = min(x[-2], PLAIN)
+        x[-2:] = np.minimum(x[-2:], [PLAIN, math.log(0.2 / 0.8)])
     weights = {w: float(a) for w, a in zip(words, x[:n_words]) if a > 0.05}
-    return Model(weights, float(x[-2]), float(min(0.2, sig(x[-1]))))
+    return Model(weights, float(x[-2]), float(sig(x[-1])))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS, features: int = FEATURES) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> Model:
     """A model from the labelled documents that aren't held out, fit_rows of them at most.
 
-    A document labelled more than once counts as toxic if one of the labels says so. Null labels and ids are left out. The
-    driver gets the selected features and where they stand, not texts.
+    A document labelled more than once counts as toxic if one of the labels says so; of rows that repeat an identifier the
+    first text counts. Null labels and ids are left out. The driver gets the selected features and where they stand, not texts.
     """
     known = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("label")).dropna().where(~held_out(F.col("k"))).groupBy("k").agg(F.max("label").alias("label"))
     known = known.orderBy(F.md5(F.col("k").cast("string")), "k").limit(fit_rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    rows = durable(texts.join(F.broadcast(known), F.col("id") == F.col("k")).select("id", (F.col("label") > 0).cast("int").alias("label"), "t"))  # fit_rows rows of two numbers
+    rows = durable(texts.join(F.broadcast(known), F.col("id") == F.col("k")).groupBy("id", (F.col("label") > 0).cast("int").alias("label")).agg(F.min("t").alias("t")))  # fit_rows rows of two numbers
     n, toxic = rows.agg(F.count("*"), F.sum("label")).first()
     words = []
     if n and 0 < toxic < n:
-        counts = rows.mapInArrow(_features, "feature string, label int").groupBy("feature").agg(F.count("*").alias("seen"), F.sum("label").alias("toxic"))
-        words = select_features(counts, n, toxic, features)
+        counts = durable(rows.mapInArrow(_features, "feature string, label int").groupBy("feature").agg(F.count("*").alias("seen"), F.sum("label").alias("toxic")))
+        words = select_features(counts, n, toxic)
+        discard(counts)
     kind = rows.schema["id"].dataType.simpleString()
     hits = rows.mapInArrow(partial(_hits, index={w: i for i, w in enumerate(words)}), f"id {kind}, label int, plain int, hits array<array<int>>")
     got = sorted((r["id"], r["label"], r["plain"], r["hits"]) for r in hits.toLocalIterator())
@@ -157,22 +162,30 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(words, [x[1:] for x in got])
 
 
-def _scores(batches: Iterator[pa.RecordBatch], model: Model, at: float) -> Iterator[pa.RecordBatch]:
+_SENTENCES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
+
+
+def _scores(batches: Iterator[pa.RecordBatch], model: Model, at: float, text_col: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [model.score(t.as_py() or "") for t in batch.column(batch.schema.names.index("__text"))]
-        score = pa.array([min(1.0, max(0.0, s)) for s, _, _ in found], pa.float64())
-        worst = pa.array([w if s >= at else None for s, w, _ in found], pa.string())
-        columns = [c for c, n in zip(batch.columns, batch.schema.names) if n != "__text"]
-        names = [n for n in batch.schema.names if n != "__text"]
-        yield pa.RecordBatch.from_arrays([*columns, score, worst], names=[*names, "__score", "__sentence"])
+        scores, offending = [], []
+        for t in batch.column(batch.schema.names.index(text_col)):
+            score, hit = model.score(t.as_py() or "")
+            scores.append(min(1.0, max(0.0, score)))
+            most = max((p for _, _, p in hit), default=1.0)
+            offending.append([{"start": a, "end": b, "score": p} for a, b, p in hit if score >= at and p >= min(at, most)])
+        rest = [(c, n) for c, n in zip(batch.columns, batch.schema.names) if n != text_col]
+        yield pa.RecordBatch.from_arrays([*(c for c, _ in rest), pa.array(scores, pa.float64()), pa.array(offending, _SENTENCES)], names=[*(n for _, n in rest), "__score", "__sentences"])
 
 
 def score_texts(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """docs with __score, and __sentence: the most toxic sentence, in lower case, of a document at or over the threshold.
+    """docs with __score, and __sentences: array of (start, end, score), in characters of the text, from 0.
 
+    The sentences are those that score threshold or more in a document that does; where none alone does, the most toxic ones.
     Null text counts as empty and scores the model's leak; ids, languages and sources are not inputs. Whole texts of any
-    length are read, one batch at a time. All rows and columns stay; an empty table gives an empty result.
+    length are read, one batch at a time. All rows and columns stay, but for columns of docs that are called __score or
+    __sentences, which are replaced; an empty table gives an empty result.
     """
-    extended = docs.withColumn("__text", F.col(text_col))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __score double, __sentence string"
-    return extended.mapInArrow(partial(_scores, model=model, at=threshold), schema)
+    docs = docs.drop("__score", "__sentences")
+    read = unused(docs, "__text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __score double, __sentences array<struct<start: bigint, end: bigint, score: double>>"
+    return docs.withColumn(read, F.col(text_col)).mapInArrow(partial(_scores, model=model, at=threshold, text_col=read), schema)

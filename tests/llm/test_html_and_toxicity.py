@@ -134,7 +134,10 @@ def test_learns_and_locates(spark):
     assert np.mean([(r["__score"] >= 0.5) == truth[r.doc_id][0] for r in held]) > 0.97
     for r in out:
         if r["__score"] >= 0.5 and truth[r.doc_id][0]:
-            assert "blort" in r["__sentence"] or "grumf" in r["__sentence"]
+            bad = [r.text[x.start : x.end] for x in r["__sentences"]]
+            assert bad and all("blort" in b or "grumf" in b for b in bad) and not any("." in b for b in bad)
+        else:
+            assert not r["__sentences"] or r["__score"] >= 0.5
     same = tox.train(docs.repartition(7), labels.repartition(3))
     assert same == model
 
@@ -149,6 +152,19 @@ def test_odd_inputs(spark):
     assert tox.train(docs, none).weights == {}
 
 
+def test_more_than_400_features_and_repeated_rows(spark):
+    """Each of 600 toxic words stands in twenty of the fitted documents; all are learned. A labelled document that repeats is one."""
+    words = [f"q{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}" for i in range(600)]
+    assert len(set(words)) == 600
+    ids = [i for i in range(11_000) if __import__("zlib").crc32(str(i).encode()) % 5][:7_900]
+    rows = [(i, "some plain words here. You " + ". ".join(words[(k * j + k // 600) % 600] for j in (1, 7, 11, 13)) + " there", 1) if k < 3_000 else (i, "some plain words here. You and me there", 0) for k, i in enumerate(ids)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(rows[0][0], "zz again")] * 3, "doc_id bigint, text string")
+    model = tox.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int"))
+    assert len(set(words) & set(model.weights)) == 600
+    got = tox.score_texts(spark.createDataFrame([(1, f"İ plain. Oh {words[500]}! And {words[3]}.", 2, 3)], "doc_id bigint, text string, __score int, __text int"), model).first()
+    assert got["__text"] == 3 and [(x.start, x.end) for x in got["__sentences"]] == [(8, 15), (16, 24)]
+
+
 def test_held_out_is_crc32(spark):
     import zlib
 
