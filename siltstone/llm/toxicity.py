@@ -116,8 +116,8 @@ def fit(words: list[str], bags: list[tuple[int, int, list[list[int]]]], rounds:
     tok_word = np.array([w for b in bags for s in b[2] for w in s], np.int64)
     n_sent, n_words = len(sent_doc), len(words)
     # weights, bias, leak's log-odds
-    # A word begins with a weight that its labels can move: far below even odds none would.
-    x = np.r_[np.full(n_words, 3.0), PLAIN, math.log(0.03 / 0.97)]
+    # A sentence with as many features as the median one begins near even odds: far below them no label would move its weights.
+    x = np.r_[np.full(n_words, -PLAIN / max(1.0, float(np.median(sizes)) if n_sent else 1.0)), PLAIN, math.log(0.03 / 0.97)]
     m, v = np.zeros_like(x), np.zeros_like(x)
     sig = lambda z: 1 / (1 + np.exp(-z))
     for t in range(1, rounds + 1):

@@ -32,6 +32,16 @@ def test_like_brute_force(spark):
     entries += [(None, "spam", "add", T0, 1), ("b.org", None, "add", T0, 1), ("b.org", "spam", "bless", T0, 1), ("B.org", "spam", "add", None, 1), entries[0]]
     out = filter_urls(spark.createDataFrame(captures, CAPTURES), spark.createDataFrame(entries, ENTRIES))
     assert sorted(((r.page_id, r.blocked, r.domain, r.category) for r in out.collect()), key=str) == brute(captures, entries)
+    salted = filter_urls(spark.createDataFrame(captures, CAPTURES), spark.createDataFrame(entries, ENTRIES), salted=2)
+    assert sorted(map(tuple, salted.collect()), key=str) == sorted(map(tuple, out.collect()), key=str)
     none = spark.createDataFrame([], ENTRIES)
     assert not any(r.blocked for r in filter_urls(spark.createDataFrame(captures, CAPTURES), none).collect())
     assert filter_urls(spark.createDataFrame([], CAPTURES), none).count() == 0
+
+
+def test_odd_hosts(spark):
+    long = "a." * 2_000 + "b.org"
+    captures = [(1, "http://[2001:db8::1]:80/x", T0, "h"), (2, f"http://{long}/", T0, "h"), (3, "http://u:p@B.org./", T0, "h")]
+    entries = [("[2001:db8::1]", "spam", "add", T0, 1), ("b.org", "spam", "add", T0, 1)]
+    out = filter_urls(spark.createDataFrame(captures, CAPTURES), spark.createDataFrame(entries, ENTRIES))
+    assert {r.page_id: (r.host, r.domain) for r in out.collect()} == {1: ("[2001:db8::1]", "[2001:db8::1]"), 2: (long, "b.org"), 3: ("b.org", "b.org")}
