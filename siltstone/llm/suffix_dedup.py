@@ -87,12 +87,12 @@ def anchors(h: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np
     return chosen, runs[chosen]
 
 
-def _pieces(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Runs of texts with about CHUNK words; a longer text is alone."""
+def _pieces(texts: pa.Array, chunk: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """Runs of texts with about chunk words; a longer text is alone."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False) // 6 + 1
     begin = total = 0
     for i, n in enumerate(sizes):
-        if i > begin and total + n > CHUNK:
+        if i > begin and total + n > chunk:
             yield begin, i
             begin, total = i, 0
         total += int(n)
@@ -120,7 +120,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch], length: int, gram: int, whole:
     right: the suffix, up to the length words from the anchor on, each followed by a space; left: up to the length - gram words before it, backwards, likewise. Without whole the two aren't given.
     """
     for batch in batches:
-        for a, b in _pieces(batch.column(1)):
+        for a, b in _pieces(batch.column(1), CHUNK // 8):
             texts = batch.column(1)[a:b]
             h, ends = word_hashes(texts)
             if len(h) < gram:
@@ -265,7 +265,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     twice = anchored.groupBy("gram").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("gram")
     places = durable(anchored.join(twice, "gram").select("id", F.explode("at").alias("at")).groupBy("id").agg(F.collect_set("at").alias("places")))
     discard(anchored)
-    placed = texts.join(places, "id").select("id", "t", "places")
+    placed = durable(texts.join(places, "id").select("id", "t", "places"))  # read twice
+    discard(places)
     suffixes = placed.mapInArrow(partial(_suffixes, length=length, gram=gram), "gram bigint, context bigint, id bigint, at int, left binary, right binary")
     different = durable(suffixes.groupBy("gram", "context", "left", "right").agg(F.min("id").alias("a"), F.max("id").alias("b")))
     runs = different.groupBy("gram").agg(F.count("*").alias("n"), F.min("a").alias("a"), F.max("b").alias("b"))
