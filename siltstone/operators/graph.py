@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as tx
 
+from .lineage import checkpointed
+
 NODE = ["id", "label", "kind", "subkind", "file", "start_line", "end_line", "lang_key"]
 EDGE = ["source", "target", "relation", "confidence", "module", "base_kind", "from_file", "from_line"]
 NOT_SYMBOLS = ("file", "external")
@@ -174,14 +176,18 @@ def clamp(depth: int, low: int = 1, high: int = 6) -> int:
 def reach(seeds: DataFrame, steps: DataFrame, depth: int) -> DataFrame:
     """(symbol, node_id, depth): all within depth steps(here, there) of seeds(symbol, node_id), at their least depth; seeds have 0.
 
-    Level by level with distinct nodes, so cycles and many walks to a node cost nothing extra.
+    Level by level: a level holds the nodes that no earlier one has, so cycles and many walks to a node cost nothing extra.
+    Each level is cut from its lineage, and the walk ends with the first empty one.
     """
-    level = seeds.select("symbol", "node_id").distinct()
-    out = level.withColumn("depth", F.lit(0))
+    level = seeds.select("symbol", "node_id").distinct().withColumn("depth", F.lit(0))
+    out = level
     for d in range(1, depth + 1):
-        level = level.join(steps, level.node_id == steps.here).select("symbol", F.col("there").alias("node_id")).distinct()
-        out = out.unionByName(level.withColumn("depth", F.lit(d)))
-    return out.groupBy("symbol", "node_id").agg(F.min("depth").alias("depth"))
+        new = level.join(steps, level.node_id == steps.here).select("symbol", F.col("there").alias("node_id")).distinct()
+        level = checkpointed(new.join(out.select("symbol", "node_id"), ["symbol", "node_id"], "left_anti").withColumn("depth", F.lit(d)))
+        if level.isEmpty():
+            break
+        out = out.unionByName(level)
+    return out
 
 
 def transitive_callers(nodes: DataFrame, edges: DataFrame, symbols: DataFrame, max_depth: int = 3, limit: int | None = None) -> DataFrame:
@@ -215,7 +221,7 @@ def neighbors(nodes: DataFrame, edges: DataFrame, symbols: DataFrame, depth: int
 def shortest_path(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, max_hops: int = 8) -> DataFrame:
     """(source_symbol, target_symbol, hops, path): the shortest directed way over all relations between any of their nodes, up to max_hops; of equals the first path in order of ids.
 
-    For each node only the first path of a level goes on, so there is one row for each node and level.
+    A node has one row: the least path of the first level that reaches it, from which all shortest paths over it go on.
     """
     pairs = pairs.select("source_symbol", "target_symbol").distinct()
     starts = find_symbols(nodes, pairs.select(F.col("source_symbol").alias("symbol"))).withColumnsRenamed({"symbol": "source_symbol"})
@@ -224,8 +230,10 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, max_hops
     out = level
     steps = edges.select(F.col("source").alias("here"), F.col("target").alias("there"))
     for _ in range(max_hops):
-        level = level.join(steps, level.node_id == steps.here).where(~F.array_contains("path", F.col("there")))
-        level = level.groupBy("source_symbol", F.col("there").alias("node_id")).agg(F.min(F.concat("path", F.array("there"))).alias("path"))
+        new = level.join(steps, level.node_id == steps.here).groupBy("source_symbol", F.col("there").alias("node_id")).agg(F.min(F.concat("path", F.array("there"))).alias("path"))
+        level = checkpointed(new.join(out.select("source_symbol", "node_id"), ["source_symbol", "node_id"], "left_anti"))
+        if level.isEmpty():
+            break
         out = out.unionByName(level)
     found = pairs.join(out, "source_symbol").join(goals, ["target_symbol", "node_id"])
     best = found.groupBy("source_symbol", "target_symbol").agg(F.min(F.struct(F.size("path").alias("n"), "path")).alias("best"))

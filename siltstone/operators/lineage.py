@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in spark.checkpoint.dir; a temporary folder only where that is unset."""
+    """df.checkpoint() in spark.checkpoint.dir; a temporary folder only where that is unset and Spark runs on this machine alone."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siltstone-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is to name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="siltstone-"))
     return df.checkpoint()
 
 

@@ -46,11 +46,13 @@ NODES = """SELECT 'file_' || p_brand AS id, p_brand AS label, 'file' AS kind, 'm
 UNION ALL SELECT 'fn_' || p_partkey, replace(p_brand, '#', '') || '.' || replace(p_name, ' ', '_') || '_' || (p_partkey % 7), CASE WHEN p_type = 'ECONOMY' THEN 'class' ELSE 'function' END, lower(p_type), '/repo/' || p_brand || '.py', p_size, p_size + 10, 'python' FROM part
 UNION ALL SELECT 'ext_' || r_name, lower(r_name), 'external', 'external', '', 0, 0, '' FROM region"""
 EDGES = """SELECT source, target, 'calls' AS relation, 'extracted' AS confidence, CAST(NULL AS STRING) AS module, CAST(NULL AS STRING) AS base_kind, '/repo/calls' AS from_file, min(nth) AS from_line FROM (
- SELECT 'fn_' || a.l_partkey AS source, 'fn_' || b.l_partkey AS target, a.l_linenumber AS nth FROM lineitem AS a JOIN lineitem AS b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_orderkey % 50 = 0 AND a.l_partkey <> b.l_partkey) AS c GROUP BY source, target
+ SELECT 'fn_' || a.l_partkey AS source, 'fn_' || b.l_partkey AS target, a.l_linenumber AS nth FROM lineitem AS a JOIN lineitem AS b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey) AS c GROUP BY source, target
 UNION ALL SELECT 'file_' || p_brand, 'fn_' || p_partkey, 'contains', 'extracted', NULL, NULL, NULL, NULL FROM part
 UNION ALL SELECT 'fn_' || p.p_partkey, 'fn_' || q.p_partkey, 'inherits', 'resolved', NULL, 'extends', '/repo/' || p.p_brand || '.py', p.p_size FROM part AS p JOIN part AS q ON q.p_partkey = CAST(floor(p.p_partkey / 3.0) AS BIGINT) WHERE p.p_type = 'ECONOMY' AND q.p_type = 'ECONOMY' AND p.p_partkey <> q.p_partkey
 UNION ALL SELECT DISTINCT 'file_' || p_brand, 'ext_' || r_name, 'imports', 'extracted', lower(r_name), NULL, '/repo/' || p_brand || '.py', 1 FROM part JOIN region ON CAST(substr(p_brand, 7) AS INT) % 5 = r_regionkey"""
-SYMBOLS = """SELECT DISTINCT replace(p_name, ' ', '_') || '_' || (p_partkey % 7) AS symbol FROM part WHERE p_partkey % 97 = 5 UNION ALL SELECT 'BRAND3.blue_b' UNION ALL SELECT 'no such symbol'"""
+# Stated query sets: what is asked, against whole tables.
+NAMES = ("old_gear_2", "red_bolt_5", "hot_rod_6", "large_anvil_6", "blue_ring_0", "cold_bolt_3", "BRAND3.blue_b", "no such symbol")
+SYMBOLS = " UNION ALL ".join(f"SELECT '{n}' AS symbol" for n in NAMES)
 FILES = "SELECT 'brand#3.py' AS asked UNION ALL SELECT 'Brand#21.py' UNION ALL SELECT 'missing.py'"
 FLAT = """relation, coalesce(base_kind, '') AS base_kind, coalesce(confidence, '') AS confidence, coalesce(module, '') AS module, f.label AS from_symbol, f.kind AS from_kind, f.file AS from_file, f.start_line AS from_start_line, f.end_line AS from_end_line,
  t.label AS to_symbol, t.kind AS to_kind, t.file AS to_file, t.start_line AS to_start_line, t.end_line AS to_end_line, coalesce(e.from_file, '') AS call_site_file, coalesce(from_line, 0) AS call_site_line"""
@@ -385,19 +387,29 @@ def nodes_in_file(spark, sf_dir):
     return graph.nodes_in_file(nodes, files)
 
 
-_PAIRS = "SELECT 'Brand' || substr(p.p_brand, 7) || '.' || replace(p.p_name, ' ', '_') || '_' || (p.p_partkey % 7) AS source_symbol, 'ASIA' AS target_symbol FROM part AS p WHERE p.p_partkey % 211 = 3"
-_PAIR_SQL = "SELECT 'fn_' || a.l_partkey AS s, 'fn_' || b.l_partkey AS t FROM lineitem AS a JOIN lineitem AS b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 2 WHERE a.l_orderkey % 500 = 0"
+PAIRS = (("old_gear_2", "red_bolt_5"), ("hot_rod_6", "large_anvil_6"), ("blue_ring_0", "cold_bolt_3"), ("cold_bolt_3", "old_gear_2"), ("no such symbol", "red_bolt_5"))
+_PAIRS = " UNION ALL ".join(f"SELECT '{a}' AS source_symbol, '{b}' AS target_symbol" for a, b in PAIRS)
+_HOPS = 4
 
 
-@query(f"""WITH RECURSIVE nodes AS ({NODES}), edges AS ({EDGES}), pairs AS (SELECT DISTINCT n.label AS source_symbol, m.label AS target_symbol FROM ({_PAIR_SQL}) AS p JOIN nodes AS n ON n.id = p.s JOIN nodes AS m ON m.id = p.t),
-w AS (SELECT source_symbol, n.id, [n.id] AS path FROM (SELECT DISTINCT source_symbol FROM pairs) JOIN nodes AS n ON lower(n.label) = lower(source_symbol) AND n.kind NOT IN ('file', 'external') UNION ALL SELECT source_symbol, e.target, list_append(path, e.target) FROM w JOIN edges AS e ON e.source = w.id WHERE len(path) <= 4 AND NOT list_contains(path, e.target)),
-h AS (SELECT p.source_symbol, p.target_symbol, path FROM pairs AS p JOIN w ON w.source_symbol = p.source_symbol JOIN nodes AS m ON m.id = w.id AND lower(m.label) = lower(p.target_symbol) AND m.kind NOT IN ('file', 'external'))
-SELECT source_symbol, target_symbol, CAST(len(path) - 1 AS BIGINT) AS hops, array_to_string(path, '>') AS path FROM h QUALIFY row_number() OVER (PARTITION BY source_symbol, target_symbol ORDER BY len(path), path) = 1""")
+def _path_sql() -> str:
+    """Level by level, the least path to each node that no earlier level has."""
+    named = "kind NOT IN ('file', 'external') AND (lower(n.label) = lower({0}) OR lower(string_split(n.label, '.')[-1]) = lower({0}))"
+    levels = [f"l0 AS (SELECT DISTINCT source_symbol, n.id, [n.id] AS path FROM pairs JOIN nodes AS n ON {named.format('source_symbol')}), v0 AS (SELECT * FROM l0)"]
+    for k in range(1, _HOPS + 1):
+        levels.append(
+            f"""l{k} AS (SELECT source_symbol, e.target AS id, min(list_append(path, e.target)) AS path FROM l{k - 1} AS w JOIN edges AS e ON e.source = w.id
+ WHERE NOT EXISTS (SELECT 1 FROM v{k - 1} AS v WHERE v.source_symbol = w.source_symbol AND v.id = e.target) GROUP BY ALL), v{k} AS (SELECT * FROM v{k - 1} UNION ALL SELECT * FROM l{k})"""
+        )
+    goals = f"goals AS (SELECT DISTINCT target_symbol, n.id FROM pairs JOIN nodes AS n ON {named.format('target_symbol')})"
+    return f"""WITH nodes AS ({NODES}), edges AS ({EDGES}), pairs AS ({_PAIRS}), {', '.join(levels)}, {goals}
+SELECT source_symbol, target_symbol, CAST(len(path) - 1 AS BIGINT) AS hops, array_to_string(path, '>') AS path FROM pairs JOIN v{_HOPS} USING (source_symbol) JOIN goals USING (target_symbol, id)
+QUALIFY row_number() OVER (PARTITION BY source_symbol, target_symbol ORDER BY len(path), path) = 1"""
+
+
+@query(_path_sql())
 def shortest_path(spark, sf_dir):
-    nodes, edges, p = inputs(spark, sf_dir, NODES, EDGES, _PAIR_SQL)
-    label = lambda c, name: nodes.select(F.col("id").alias(c), F.col("label").alias(name))
-    pairs = p.join(label("s", "source_symbol"), "s").join(label("t", "target_symbol"), "t").select("source_symbol", "target_symbol").distinct()
-    return graph.shortest_path(nodes, edges, pairs, max_hops=4)
+    return graph.shortest_path(*inputs(spark, sf_dir, NODES, EDGES, _PAIRS), max_hops=_HOPS)
 
 
 _USERS = "users AS (SELECT DISTINCT a.asked, c.id, c.file FROM asked AS a JOIN nodes AS n ON contains(lower(n.file), lower(a.asked)) AND n.kind IN ('function', 'class') JOIN edges AS e ON e.target = n.id AND relation = 'calls' JOIN nodes AS c ON c.id = e.source WHERE c.file <> n.file)"
@@ -444,7 +456,7 @@ def surprising_connections(spark, sf_dir):
     return analytics.bridges(nodes, edges)
 
 
-_WRITES = "SELECT 'n' || (l_partkey % 300) AS source, 'n' || (l_suppkey % 40) AS target, l_returnflag AS relation, CASE WHEN l_linenumber % 3 = 0 THEN l_linestatus END AS confidence, CASE WHEN l_linenumber % 2 = 0 THEN 'm' || l_linenumber END AS module, CAST(NULL AS STRING) AS base_kind, 'f' || l_suppkey AS from_file, l_linenumber AS from_line, l_orderkey * 1000000 + l_linenumber * 100000 + l_partkey AS ord FROM lineitem WHERE l_orderkey % 10 = 0"
+_WRITES = "SELECT 'n' || (l_partkey % 300) AS source, 'n' || (l_suppkey % 40) AS target, l_returnflag AS relation, CASE WHEN l_linenumber % 3 = 0 THEN l_linestatus END AS confidence, CASE WHEN l_linenumber % 2 = 0 THEN 'm' || l_linenumber END AS module, CAST(NULL AS STRING) AS base_kind, 'f' || l_suppkey AS from_file, l_linenumber AS from_line, l_orderkey * 1000000 + l_linenumber * 100000 + l_partkey AS ord FROM lineitem"
 
 
 @query(f"WITH w AS ({_WRITES}) SELECT source, target, arg_max(relation, ord) AS relation, arg_max(confidence, ord) AS confidence, arg_max(module, ord) AS module, arg_max(from_line, ord) AS from_line FROM w GROUP BY source, target")
@@ -454,7 +466,7 @@ def edge_upsert(spark, sf_dir):
     return edges.select("source", "target", "relation", "confidence", "module", "from_line")
 
 
-_CALLS = "SELECT 'fn_' || l_partkey AS caller, replace(p_name, ' ', '_') || '_' || (p_partkey % 7) AS callee_name, l_linenumber % 2 = 0 AS is_member, '/repo/x' || (l_orderkey % 9) AS file, l_linenumber AS line FROM lineitem JOIN part ON p_partkey = l_orderkey % 2000 WHERE l_orderkey % 40 = 1"
+_CALLS = "SELECT 'fn_' || l_partkey AS caller, replace(p_name, ' ', '_') || '_' || (p_partkey % 7) AS callee_name, l_linenumber % 2 = 0 AS is_member, '/repo/x' || (l_orderkey % 9) AS file, l_linenumber AS line FROM lineitem JOIN part ON p_partkey = l_orderkey % 2000"
 _BASES = "SELECT 'fn_' || p_partkey AS child, replace(p_name, ' ', '_') || '_' || (p_partkey % 5) AS base_name, 'extends' AS base_kind, '/repo/y' AS file, p_size AS line FROM part WHERE p_type = 'ECONOMY'"
 
 
@@ -494,7 +506,7 @@ def reresolve_names(spark, sf_dir):
     return again.groupBy("relation", F.coalesce("confidence", F.lit("")).alias("confidence")).agg(F.count("*").alias("n"))
 
 
-_CHANGED = "SELECT '/repo/Brand#' || (p_partkey % 25 + 1) || '.py' AS path, 'def ' || replace(p_name, ' ', '_') || '_' || (p_partkey % 7) || '(x):' || chr(10) || '  pass' AS content FROM part WHERE p_partkey % 101 = 7"
+_CHANGED = "SELECT '/repo/Brand#' || (p_partkey % 25 + 1) || '.py' AS path, 'def ' || replace(p_name, ' ', '_') || '_' || (p_partkey % 7) || '(x):' || chr(10) || '  pass' AS content FROM part WHERE p_partkey % 20 = 0"  # the changed files, a query set
 
 
 @query(f"""WITH nodes AS ({NODES}), edges AS ({EDGES}), names AS (SELECT path, regexp_extract(content, 'def ([A-Za-z_]\\w*)', 1) AS symbol FROM ({_CHANGED})),
