@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 # File suffixes and their languages.
 LANGUAGES = {
-    ".c": "c", ".cc": "cpp", ".cpp": "cpp", ".cs": "c_sharp", ".cxx": "cpp", ".go": "go", ".h": "c", ".hpp": "cpp", ".java": "java", ".js": "javascript",
-    ".jsx": "javascript", ".kt": "kotlin", ".lua": "lua", ".m": "objc", ".md": "markdown", ".mm": "objc", ".php": "php", ".py": "python", ".rb": "ruby",
-    ".rs": "rust", ".scala": "scala", ".sh": "bash", ".sql": "sql", ".swift": "swift", ".ts": "typescript", ".tsx": "tsx",
+    ".bash": "bash", ".c": "c", ".cc": "cpp", ".cpp": "cpp", ".cs": "c_sharp", ".cxx": "cpp", ".go": "go", ".h": "c", ".hpp": "cpp", ".hxx": "cpp", ".java": "java", ".js": "javascript",
+    ".jsx": "javascript", ".kt": "kotlin", ".kts": "kotlin", ".lua": "lua", ".m": "objc", ".md": "markdown", ".mjs": "javascript", ".mm": "objc", ".php": "php", ".py": "python", ".rb": "ruby",
+    ".rs": "rust", ".sc": "scala", ".scala": "scala", ".sh": "bash", ".sql": "sql", ".swift": "swift", ".ts": "typescript", ".tsx": "tsx",
 }
 
 # Which paths are tests.

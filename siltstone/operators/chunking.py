@@ -41,6 +41,7 @@ class Declaration:
     start: int  # lines from 1, inclusive
     end: int
     bases: list[str] = field(default_factory=list)
+    implemented: list[str] = field(default_factory=list)  # those of bases that the text says are implemented
     calls: list[tuple[str, bool, int]] = field(default_factory=list)  # name, member, line
     inner: list[Declaration] = field(default_factory=list)
 
@@ -82,7 +83,7 @@ def _python(source: str) -> tuple[list[Declaration], list[tuple[str, str, int]]]
             elif isinstance(n, ast.Import):
                 imports.extend((a.name, "imports", n.lineno) for a in n.names)
             elif isinstance(n, ast.ImportFrom):
-                imports.append(("." * n.level + (n.module or ""), "imports_from", n.lineno))
+                imports.extend([(n.module, "imports_from", n.lineno)] if n.module else [])
             elif isinstance(n, (ast.If, ast.Try, ast.With)):
                 out += read([s for f in ("body", "orelse", "finalbody") for s in getattr(n, f, [])] + [s for h in getattr(n, "handlers", []) for s in h.body])
         return out
@@ -100,6 +101,25 @@ def _blanked(source: str, comments: tuple[str, ...]) -> str:
 _IMPORT = re.compile(r"""^[ \t]*(?:import\s+(?:static\s+)?(?:[\w*{},\s]+\s+from\s+)?["']?(?P<a>[\w./@*\-]+)|using\s+(?:static\s+)?(?P<b>[\w.]+)\s*;|#\s*include\s*[<"](?P<c>[^>"]+)|require(?:_relative)?\s*\(?["'](?P<d>[^"']+)|use\s+(?P<e>[\w:\\]+))""", re.M)
 
 
+def family_of_imports(language: str) -> str:
+    return "javascript" if language in ("javascript", "typescript", "tsx") else language
+
+
+def imported_id(path: str, module: str, language: str) -> str:
+    """The node of an imported module: its first part in Python and Rust, the package in JavaScript, or there what a relative path is relative to; else the whole name."""
+    family = family_of_imports(language)
+    if family == "javascript":
+        return _id(path, module) if module.startswith(".") else _id(module.split("/")[0])
+    return _id(module.split({"python": ".", "rust": "::"}.get(family, "\n"))[0])
+
+
+def base_kind(language: str, implemented: bool) -> str:
+    """Whether a base is extended or implemented, as far as the language's syntax tells."""
+    if language in ("c_sharp", "cpp"):
+        return "extends_or_implements"
+    return "implements" if implemented or language == "rust" else "extends"
+
+
 def _scanned(source: str, language: str) -> tuple[list[Declaration], list[tuple[str, str, int]]] | None:
     family = FAMILY.get(language)
     if not family:
@@ -134,9 +154,13 @@ def _scanned(source: str, language: str) -> tuple[list[Declaration], list[tuple[
                     end = b.end()
                     break
             head = clean[m.end() : clean.find("\n", m.end()) if "\n" in clean[m.end() :] else len(clean)]
-        bases = [x for x in re.findall(r"[A-Za-z_][\w]*", re.sub(r"<[^<>]*>|\([^()]*\)", " ", head)) if x not in ("extends", "implements", "public", "private", "protected", "virtual", "with", "for", "where")] if kind == "class" else []
+        named = lambda text: [x for x in re.findall(r"[A-Za-z_][\w]*", text) if x not in ("extends", "implements", "public", "private", "protected", "virtual", "with", "for", "where")]
+        heads = re.sub(r"<[^<>]*>|\([^()]*\)", " ", head) if kind == "class" else ""
+        bases, implemented = named(heads), named(heads.partition("implements")[2])
+        if language == "java" and re.search(r"\binterface\b", m[0]):
+            implemented = bases
         word = re.search(r"\w+", m[0])
-        spans.append((m.start() + len(m[0]) - len(m[0].lstrip()), end, Declaration(name.split(".")[-1].split(":")[-1], kind, word[0] if word else kind, line(m.start() + len(m[0]) - len(m[0].lstrip())), line(end - 1), bases)))
+        spans.append((m.start() + len(m[0]) - len(m[0].lstrip()), end, Declaration(name.split(".")[-1].split(":")[-1], kind, word[0] if word else kind, line(m.start() + len(m[0]) - len(m[0].lstrip())), line(end - 1), bases, implemented)))
     top: list[Declaration] = []
     stack: list[tuple[int, Declaration]] = []
     for start, end, d in spans:
@@ -152,7 +176,11 @@ def _scanned(source: str, language: str) -> tuple[list[Declaration], list[tuple[
             for c in re.finditer(r"(\.|->|::)?\s*\b([A-Za-z_$][\w$]*)\s*\(", body[max(opened, 0) :]):
                 if c[2] not in _KEYWORDS:
                     d.calls.append((c[2], bool(c[1]), line(start + max(opened, 0) + c.start(2))))
-    imports = [(next(g for g in m.groups() if g), "imports", line(m.start())) for m in _IMPORT.finditer(source)]
+    relation = "imports_from" if family_of_imports(language) == "javascript" else "imports"
+    imports = [(next(g for g in m.groups() if g), relation, line(m.start())) for m in _IMPORT.finditer(source)]
+    if language == "go":
+        for block in re.finditer(r"^[ \t]*import\s*\(([^)]*)\)", source, re.M):
+            imports += [(m[1], "imports", line(block.start(1) + m.start())) for m in re.finditer(r'"([^"\n]+)"', block[1])]
     return top, imports
 
 
@@ -270,7 +298,7 @@ def facts_of(path: str, source: str, language: str) -> list[tuple]:
     declare(declarations, "", None)
     for node, d in todo:
         for base in d.bases:
-            out.append(("raw_inherit", node, base, None, "extends", None, path, d.start, None, language, None, None))
+            out.append(("raw_inherit", node, base, None, base_kind(language, base in d.implemented), None, path, d.start, None, language, None, None))
         for name, member, at in d.calls:
             target = local.get(name.lower())
             if target and target != node:
@@ -278,7 +306,7 @@ def facts_of(path: str, source: str, language: str) -> list[tuple]:
             elif not target:
                 out.append(("raw_call", node, name, None, None, None, path, at, None, language, None, member))
     for module, relation, at in imports:
-        out.append(("edge", file_id, _id(module.split(".")[0] or module), module, None, None, path, at, None, language, relation, None))
+        out.append(("edge", file_id, imported_id(path, module, language), module, None, None, path, at, None, language, relation, None))
     return out
 
 
@@ -296,10 +324,11 @@ def extract_facts(files: DataFrame) -> DataFrame:
 
 def graph_inputs(facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(node rows, edge rows, raw_calls, raw_inherits) of the facts, for the upserts and the resolution of operators.graph."""
-    order = F.xxhash64("file", "start_line", "label")
+    # The order of writing is that of paths, then of places in the file.
+    order = F.struct("file", "start_line", F.coalesce("label", F.lit("")).alias("label"))
     nodes = facts.where("fact = 'node'").select(F.col("a").alias("id"), "label", "kind", "subkind", "file", "start_line", "end_line", F.col("lang").alias("lang_key"), order.alias("ord"))
     module = F.when(F.col("relation").startswith("imports"), F.col("label"))
-    edges = facts.where("fact = 'edge'").select(F.col("a").alias("source"), F.col("b").alias("target"), "relation", F.lit("extracted").alias("confidence"), module.alias("module"), F.lit(None).cast("string").alias("base_kind"), F.col("file").alias("from_file"), F.col("start_line").alias("from_line"), F.col("start_line").cast("long").alias("ord"))
+    edges = facts.where("fact = 'edge'").select(F.col("a").alias("source"), F.col("b").alias("target"), "relation", F.lit("extracted").alias("confidence"), module.alias("module"), F.lit(None).cast("string").alias("base_kind"), F.col("file").alias("from_file"), F.col("start_line").alias("from_line"), order.alias("ord"))
     calls = facts.where("fact = 'raw_call'").select(F.col("a").alias("caller"), F.col("b").alias("callee_name"), "is_member", "file", F.col("start_line").alias("line"))
     bases = facts.where("fact = 'raw_inherit'").select(F.col("a").alias("child"), F.col("b").alias("base_name"), F.col("kind").alias("base_kind"), "file", F.col("start_line").alias("line"))
     return nodes, edges, calls, bases

@@ -153,3 +153,19 @@ def test_build_search_and_rebuild(spark, tmp_path):
     tables = store.read_snapshot(spark, str(index))
     assert {r.symbol_name for r in tables["chunks"].collect()} == {"helper", "stop"}
     assert store.current(spark, str(tmp_path / "none")) is None
+
+
+def test_imports_and_bases_by_language():
+    """Hand-written edges: (source text, path, language) to the imports' (target, module, relation) and the bases' (name, kind)."""
+    cases = [
+        ("import os.path\nfrom ..pkg.mod import x\nfrom . import y\n", "/r/a.py", "python", [("os", "os.path", "imports"), ("pkg", "pkg.mod", "imports_from")], []),
+        ("import com.x.Foo;\nimport com.y.Bar;\nclass A extends B implements C, D {\n}\n", "/r/A.java", "java", [("com_x_foo", "com.x.Foo", "imports"), ("com_y_bar", "com.y.Bar", "imports")], [("B", "extends"), ("C", "implements"), ("D", "implements")]),
+        ("import u from './lib/u'\nimport x from 'react/jsx'\nclass A extends B {\n}\n", "/r/a.js", "javascript", [("r_a_js_lib_u", "./lib/u", "imports_from"), ("react", "react/jsx", "imports_from")], [("B", "extends")]),
+        ("using System.Text;\nclass A : B, IC {\n}\n", "/r/A.cs", "c_sharp", [("system_text", "System.Text", "imports")], [("B", "extends_or_implements"), ("IC", "extends_or_implements")]),
+        ('import (\n  "fmt"\n  "net/http"\n)\n', "/r/a.go", "go", [("fmt", "fmt", "imports"), ("net_http", "net/http", "imports")], []),
+        ("use std::fs;\n", "/r/a.rs", "rust", [("std", "std::fs", "imports")], []),
+    ]
+    for source, path, language, imports, bases in cases:
+        facts = chunking.facts_of(path, source, language)
+        assert sorted((f[2], f[3], f[10]) for f in facts if f[0] == "edge" and f[10].startswith("imports")) == sorted(imports), (language, facts)
+        assert sorted((f[2], f[4]) for f in facts if f[0] == "raw_inherit") == sorted(bases), language
