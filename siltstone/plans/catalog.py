@@ -109,7 +109,7 @@ def bm25_topk(spark, sf_dir):
 @query(f"WITH {bm25_sql(CHUNKS, ASKED, 10)} SELECT term, count(*) AS df, round(any_value(idf), 6) AS idf FROM bm25_p JOIN bm25_i USING (term) GROUP BY term")
 def bm25_statistics(spark, sf_dir):
     (chunks,) = inputs(spark, sf_dir, CHUNKS)
-    stats, _ = ranking.term_statistics(chunks, ranking.postings(chunks))
+    stats, _ = ranking.term_statistics(ranking.term_counts(chunks.select("id", tx.tokens(F.col("content")).alias("terms"))))
     return stats.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
