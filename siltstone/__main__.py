@@ -4,28 +4,47 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.operators import chunking, graph, ranking, upkeep
+from siltstone.operators.lineage import checkpointed
 from siltstone.plans.engine import OPERATIONS, Engine
 from siltstone.sources import files, store
 
 
 def build(spark: SparkSession, root: str, index: str, extensions: list[str], ignored: list[str]) -> str:
+    """Writes a snapshot of the folder's index; the snapshot's id, that of the one before if nothing changed.
+
+    Only changed and added files are chunked and parsed; what the others gave is taken from the snapshot before. The graph is
+    put together from all files' facts by joins.
+    """
+    settings = {"path": root, "extensions": ",".join(extensions)}
     found = files.read_files(spark, root, extensions, ignored)
-    chunks = chunking.chunk_files(found.select("path", "content")).withColumn("source", F.lit("files"))
     before = store.current(spark, index)
-    if before:
-        old = store.read_snapshot(spark, index)
-        status = upkeep.partition_files(found, old["file_state"])
-        chunks = upkeep.merge_chunks(old["chunks"], chunks, status)
-    nodes, edges, calls, bases = chunking.graph_inputs(chunking.extract_facts(found.select("path", "content")))
+    if not before:
+        fresh = found.select("path", "content")
+        chunks = chunking.chunk_files(fresh).withColumn("source", F.lit("files"))
+        return store.write_snapshot(_tables(found, chunks, ranking.postings(chunks), chunking.extract_facts(fresh)), index, settings)
+    old = store.read_snapshot(spark, index, before["snapshot"])
+    status = checkpointed(upkeep.partition_files(found, old["file_state"]).where("status <> 'unchanged'"))
+    if before["settings"] == settings and not status.limit(1).count():
+        return before["snapshot"]
+    fresh = found.select("path", "content").join(status.where("status <> 'removed'").select("path"), "path", "left_semi")
+    new = chunking.chunk_files(fresh).withColumn("source", F.lit("files"))
+    touched = old["chunks"].join(status.select(F.col("path").alias("file_path")), "file_path", "left_semi")
+    facts = old["facts"].join(status.select(F.col("path").alias("file")), "file", "left_anti").unionByName(chunking.extract_facts(fresh))
+    postings = upkeep.merge_postings(old["postings"], ranking.postings(new), touched)
+    return store.write_snapshot(_tables(found, upkeep.merge_chunks(old["chunks"], new, status), postings, facts), index, settings)
+
+
+def _tables(found: DataFrame, chunks: DataFrame, postings: DataFrame, facts: DataFrame) -> dict[str, DataFrame]:
+    facts = checkpointed(facts)  # files are parsed once for the nodes, the edges and the references
+    nodes, edges, calls, bases = chunking.graph_inputs(facts)
     nodes = graph.upsert_nodes(nodes)
     edges, stubs = graph.upsert_edges(edges, nodes)
     nodes = nodes.unionByName(stubs.select(*nodes.columns))
-    tables = {"chunks": chunks, "postings": ranking.postings(chunks), "nodes": nodes, "edges": graph.resolve_all(nodes, edges, calls, bases), "raw_calls": calls, "raw_inherits": bases, "file_state": found.select("path", "sha256")}
-    return store.write_snapshot(tables, index, {"path": root, "extensions": ",".join(extensions)})
+    return {"chunks": chunks, "postings": postings, "nodes": nodes, "edges": graph.resolve_all(nodes, edges, calls, bases), "facts": facts, "file_state": found.select("path", "sha256")}
 
 
 def main() -> None:
@@ -50,8 +69,7 @@ def main() -> None:
     if a.what == "build":
         print(build(spark, a.root, a.index, a.ext, a.ignore))
         return
-    tables = store.read_snapshot(spark, a.index)
-    engine = Engine(spark, tables["chunks"], nodes=tables["nodes"], edges=tables["edges"])
+    engine = Engine.open(spark, a.index)
     if a.what == "search":
         hits = engine.search(" ".join(a.query), a.top_k)
         rows = engine.outline_rows(hits) if a.outline else engine.hit_rows(hits)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from siltstone.functions import text as tx
 
@@ -77,5 +78,6 @@ def outline_savings(chunks: DataFrame, content: str = "content") -> DataFrame:
 
 
 def last_of(rows: DataFrame, by: str, at: str, n: int) -> DataFrame:
-    """The last n rows of each group."""
-    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(by).orderBy(F.col(at).desc()))).where(F.col("nth") <= n).drop("nth")
+    """The last n rows of each group; those of equal time in the order of their other values."""
+    ties = [F.col(c) for c in rows.columns if c not in (by, at) and not isinstance(rows.schema[c].dataType, MapType)]
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(by).orderBy(F.col(at).desc(), *ties))).where(F.col("nth") <= n).drop("nth")

@@ -190,6 +190,22 @@ def search_all(spark, sf_dir):
     return ranking.fuse([pools], 5, keys=("origin", "id")).select("query_id", "origin", "id", "score", "rank")
 
 
+_LANGS = ("de", "en", "es", "fr")
+_BOTH = ", ".join(f"{bm25_sql(f'SELECT * FROM ({CHUNKS}) WHERE lang = {chr(39)}{x}{chr(39)}', ASKED, 35, f'b_{x}')}, {dense_sql(f'SELECT vec_id AS id, embedding AS vector FROM embeddings JOIN documents ON doc_id = vec_id WHERE lang = {chr(39)}{x}{chr(39)}', ASKED_VECTORS, 35, f'd_{x}')}, {rrf_sql([f'd_{x}', f'b_{x}'], 35, f'f_{x}')}" for x in _LANGS)
+_BODY_OF = r"regexp_replace(coalesce(content, ''), '^\s+|\s+$', '', 'g')"
+_UNION = f"""pooled AS ({" UNION ALL ".join(f"SELECT query_id, id, rank, '{x}' AS origin FROM f_{x}" for x in _LANGS)}),
+bodies AS (SELECT p.*, content, CASE WHEN length({_BODY_OF}) >= 120 THEN {_BODY_OF} ELSE 'id ' || id END AS body FROM pooled AS p JOIN ({CHUNKS}) AS c USING (id)),
+firsts AS (SELECT * FROM bodies QUALIFY row_number() OVER (PARTITION BY query_id, origin, body ORDER BY rank) = 1),
+own AS (SELECT * FROM (SELECT query_id, origin, id, content, row_number() OVER (PARTITION BY query_id, origin ORDER BY rank) AS old FROM firsts) WHERE old <= 30)"""
+
+
+@query(f"WITH {_BOTH}, {_UNION}, s AS (SELECT query_id, origin, id, round(1.0 / (60 + old), 6) AS score, old FROM own) SELECT query_id, origin, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, old, origin, id) AS rank FROM s) WHERE rank <= 5")
+def search_all_hybrid(spark, sf_dir):
+    chunks, asked, vectors, asked_vectors = inputs(spark, sf_dir, CHUNKS, ASKED, VECTORS, ASKED_VECTORS)
+    hits = ranking.retrieve_all(chunks.drop("source").withColumnRenamed("lang", "origin"), asked, 5, "hybrid", vectors, asked_vectors, source_col="origin")
+    return hits.select("query_id", "origin", "id", "score", "rank")
+
+
 _LEX = f"round(len(list_intersect(list_distinct({TOK.format('b.text')}), list_distinct({TOK.format('substr(c.content, 1, 1600)')}))) / CAST(greatest(len(list_distinct({TOK.format('b.text')})), 1) AS DOUBLE), 6)"
 
 
@@ -200,6 +216,14 @@ def rerank_lexical(spark, sf_dir):
     return ranking.rerank(hits, 5).select("query_id", "id", "score", "original_score", "reranked", "rank")
 
 
+@query(f"""WITH {_BOTH}, {_UNION}, u AS (SELECT o.*, row_number() OVER (PARTITION BY o.query_id ORDER BY origin, old) AS place, {_LEX.replace('c.content', 'o.content')} AS score FROM own AS o JOIN ({ASKED}) AS b ON b.query_id = o.query_id)
+SELECT query_id, origin, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place) AS rank FROM u) WHERE rank <= 5""")
+def search_all_reranked(spark, sf_dir):
+    chunks, asked, vectors, asked_vectors = inputs(spark, sf_dir, CHUNKS, ASKED, VECTORS, ASKED_VECTORS)
+    hits = ranking.retrieve_all(chunks.drop("source").withColumnRenamed("lang", "origin"), asked, 5, "hybrid", vectors, asked_vectors, ranking.lexical_score, "origin")
+    return hits.select("query_id", "origin", "id", "score", "rank")
+
+
 _VARIANTS = "SELECT conv_id AS search_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS variant, conv_id * 1000 + turn AS query_id, text FROM conversations WHERE role = 'user'"
 
 
@@ -214,6 +238,19 @@ def deep_search(spark, sf_dir):
     return ranking.deep_search(ranked, variants, threshold=60.0)
 
 
+_TRIES = "SELECT CAST(floor(item_id / 5.0) AS BIGINT) AS search_id, item_id % 5 + 1 AS variant, item_id AS query_id, text FROM benchmark"
+
+
+@query(f"""WITH {_BOTH}, {_UNION}, s AS (SELECT query_id, round(1.0 / (60 + old), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(1.0 / (60 + old), 6) DESC, old, origin, id) AS rank FROM own),
+t AS (SELECT query_id, count(*) AS n, max(score) AS top FROM s WHERE rank <= 5 GROUP BY query_id), x AS (SELECT v.search_id, variant, coalesce(n, 0) AS n, coalesce(top, 0) AS top FROM ({_TRIES}) AS v LEFT JOIN t USING (query_id)),
+g AS (SELECT search_id, min(variant) FILTER (n >= 2 AND top >= 0.012) AS winning_variant, count(*) AS variants, arg_max(variant, top * 1000 - variant / 1000.0) AS best FROM x GROUP BY search_id)
+SELECT search_id, winning_variant, coalesce(winning_variant, variants) AS variants_tried, winning_variant IS NULL AS all_weak, coalesce(winning_variant, best) AS best_variant FROM g""")
+def deep_search_all(spark, sf_dir):
+    chunks, tries, vectors, asked_vectors = inputs(spark, sf_dir, CHUNKS, _TRIES, VECTORS, ASKED_VECTORS)
+    hits = ranking.retrieve_all(chunks.drop("source").withColumnRenamed("lang", "origin"), tries.select("query_id", "text"), 5, "hybrid", vectors, asked_vectors, source_col="origin")
+    return ranking.deep_search(hits, tries.withColumn("variant", F.col("variant").cast("long")), threshold=0.012)
+
+
 _SELF = "SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 20 = 0"
 _BODY = f"SELECT id, trim(substr(content, 1, 2000)) AS body FROM ({CHUNKS})"
 

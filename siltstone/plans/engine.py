@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as tx
 from siltstone.operators import analytics, graph, ranking, upkeep
+from siltstone.sources import store
 
 MAX_TOP_K, MAX_BATCH, MAX_EDGES = 50, 100, 200
 # The score a first hit needs in a deep search, by mode.
@@ -32,6 +34,29 @@ class Engine:
     embed: object = None  # queries(query_id, text) -> (query_id, vector)
     reranker: object = None
     options: dict = field(default_factory=dict)
+    postings: DataFrame | None = None  # stored postings of chunks: searches then don't read the texts for their terms
+    broken: dict[str, str] = field(default_factory=dict)  # sources that could not be opened, and why
+
+    @classmethod
+    def open(cls, spark: SparkSession, index: str, **more) -> Engine:
+        """The engine of a stored index."""
+        tables = store.read_snapshot(spark, index)
+        return cls(spark, tables["chunks"], nodes=tables["nodes"], edges=tables["edges"], postings=tables["postings"], **more)
+
+    @classmethod
+    def open_all(cls, spark: SparkSession, indexes: dict[str, str], **more) -> Engine:
+        """One engine over the chunks of several stored indexes, by the name of the source; those that can't be opened are listed in broken and left out."""
+        chunks, broken = None, {}
+        for name, index in indexes.items():
+            try:
+                part = store.read_snapshot(spark, index)["chunks"].withColumn("source", F.lit(name))
+            except (FileNotFoundError, PySparkException) as e:
+                broken[name] = str(e)
+                continue
+            chunks = part if chunks is None else chunks.unionByName(part, allowMissingColumns=True)
+        if chunks is None:
+            raise FileNotFoundError(f"no source could be opened: {broken}")
+        return cls(spark, chunks, broken=broken, **more)
 
     @property
     def mode(self) -> str:
@@ -48,28 +73,41 @@ class Engine:
         asked = self.queries(queries) if isinstance(queries, list) else queries
         mode = mode or self.mode
         vectors = self.embed(asked) if mode != "sparse" else None
-        return ranking.retrieve(self.chunks, asked, clamp(top_k, 1, MAX_TOP_K), mode, self.vectors, vectors, self.reranker, **filters)
+        return ranking.retrieve(self.chunks, asked, clamp(top_k, 1, MAX_TOP_K), mode, self.vectors, vectors, self.reranker, post=self.postings, **filters)
 
     def search(self, query: str, top_k: int = 5, **filters) -> DataFrame:
         return self.search_batch([query], top_k, **filters)
 
-    def search_all(self, queries: list[str], top_k: int = 5, **filters) -> DataFrame:
-        """Searches each source on its own and fuses their rankings; a hit's key is its source and id."""
-        kept = self.chunks.where(ranking.keep_where(F.col("file_path"), **filters))
-        pools = ranking.bm25_by_source(kept, self.queries(queries), "source", max(top_k, ranking.POOL))
-        return ranking.fuse([pools], top_k, keys=("source", "id"))
+    def search_all(self, queries: list[str] | DataFrame, top_k: int = 5, mode: str | None = None, **filters) -> DataFrame:
+        """Searches each source on its own in the engine's mode and fuses their rankings; with a reranker, it orders the union. A hit's key is its source and id."""
+        asked = self.queries(queries) if isinstance(queries, list) else queries
+        mode = mode or self.mode
+        vectors = self.embed(asked) if mode != "sparse" else None
+        return ranking.retrieve_all(self.chunks, asked, clamp(top_k, 1, MAX_TOP_K), mode, self.vectors, vectors, self.reranker, **filters)
+
+    def deep_search_all(self, variants: list[str], top_k: int = 5, min_score: float | None = None, min_results: int = 2, **filters) -> DataFrame:
+        """deep_search over all sources. The scores are those of search_all: fused ranks, or the reranker's, for which 0 is enough."""
+        self._check(variants)
+        threshold = min_score if min_score is not None else 0.0 if self.reranker else THRESHOLDS["hybrid"]
+        return self._first_strong(variants, self.search_all(list(variants), top_k, **filters), threshold, min_results)
 
     def deep_search(self, variants: list[str], top_k: int = 5, mode: str | None = None, min_score: float | None = None, min_results: int = 2, thresholds: dict | None = None, **filters) -> DataFrame:
         """The hits of the first variant that passes, else of the best; see ranking.deep_search."""
-        if not isinstance(variants, (list, tuple)):
-            raise TypeError("variants are a list")
-        if not variants or any(not v or not v.strip() for v in variants):
-            raise ValueError("variants are texts, one at least")
+        self._check(variants)
         mode = mode or self.mode
         if mode not in THRESHOLDS:
             raise ValueError(f"mode {mode!r}")
         threshold = min_score if min_score is not None else (thresholds or {}).get(mode, THRESHOLDS[mode])
-        hits = self.search_batch(list(variants), top_k, mode, **filters)
+        return self._first_strong(variants, self.search_batch(list(variants), top_k, mode, **filters), threshold, min_results)
+
+    @staticmethod
+    def _check(variants: list[str]) -> None:
+        if not isinstance(variants, (list, tuple)):
+            raise TypeError("variants are a list")
+        if not variants or any(not v or not v.strip() for v in variants):
+            raise ValueError("variants are texts, one at least")
+
+    def _first_strong(self, variants: list[str], hits: DataFrame, threshold: float, min_results: int) -> DataFrame:
         order = self.spark.createDataFrame([(0, i + 1, i) for i in range(len(variants))], "search_id bigint, variant bigint, query_id bigint")
         chosen = ranking.deep_search(hits, order, threshold, min_results)
         return chosen.join(hits, F.col("best_variant") == F.col("query_id") + 1, "left")
@@ -96,7 +134,8 @@ class Engine:
         first = found.groupBy("file", "label").agg(F.min_by(F.struct("kind", "start_line", "end_line"), "node_id").alias("d")).select("file", "label", "d.*", F.lit("graph").alias("found_by"))
         hits = self.search(symbol, limit).groupBy(F.col("file_path").alias("file"), F.col("symbol_name").alias("label")).agg(F.min_by(F.struct(F.col("symbol_kind").alias("kind"), "start_line", "end_line"), "rank").alias("d")).select("file", "label", "d.*", F.lit("search_bm25").alias("found_by"))
         both = first.unionByName(hits)
-        return both.withColumn("best", F.min("found_by").over(Window.partitionBy(F.lit(0)))).where("found_by = best").drop("best").limit(limit)
+        best = both.agg(F.min("found_by").alias("best"))
+        return both.join(F.broadcast(best), F.col("found_by") == F.col("best")).drop("best").orderBy("file", "label").limit(limit)  # best is one row
 
     def find_usages(self, symbol: str, limit: int = 50) -> DataFrame:
         """Calls by the graph, then search hits that aren't the definition; one row for each file and line."""
@@ -135,7 +174,7 @@ class Engine:
         limit = clamp(limit, 1, MAX_EDGES)
         one = graph.asked(self.spark, symbol)
         if operation == "find_symbol":
-            return graph.find_symbols(nodes, one).join(nodes.withColumnRenamed("id", "node_id"), "node_id").limit(limit)
+            return graph.find_symbols(nodes, one).join(nodes.withColumnRenamed("id", "node_id"), "node_id").orderBy("node_id").limit(limit)
         if operation == "neighbors":
             return graph.limited(graph.neighbors(nodes, edges, one, depth), limit)
         if operation == "path":
@@ -159,7 +198,11 @@ class Engine:
         return rows.withColumns({"signature": tx.signature_for(F.col("content"), F.col("kind")), "doc": tx.doc_line(F.col("content"))}).drop("content")
 
     def source_rows(self) -> DataFrame:
-        return self.chunks.groupBy(F.col("source").alias("name")).agg(F.count("*").alias("chunk_count"))
+        """(name, chunk_count, health, error): the sources, and those that could not be opened."""
+        good = self.chunks.groupBy(F.col("source").alias("name")).agg(F.count("*").alias("chunk_count")).withColumns({"health": F.lit("ok"), "error": F.lit(None).cast("string")})
+        if not self.broken:
+            return good
+        return good.unionByName(self.spark.createDataFrame([(n, None, "corrupt", e) for n, e in sorted(self.broken.items())], "name string, chunk_count bigint, health string, error string"))
 
     def register_views(self, prefix: str = "corpus") -> list[str]:
         """Makes chunks, sources, nodes and edges views for SQL; a search per row of a table is search_batch joined by query_id."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,7 +57,7 @@ def healthy(spark: SparkSession, path: str) -> str:
     """ok, empty or corrupt: whether a stored table can be read."""
     try:
         return "ok" if spark.read.parquet(path).limit(1).count() else "empty"
-    except Exception:
+    except PySparkException:
         return "corrupt"
 
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-VERSION = 1
-TABLES = ("chunks", "postings", "nodes", "edges", "raw_calls", "raw_inherits", "file_state")
+VERSION = 2
+TABLES = ("chunks", "postings", "nodes", "edges", "facts", "file_state")
 
 
 def write_snapshot(tables: dict[str, DataFrame], root: str, settings: dict[str, str] | None = None) -> str:
@@ -25,12 +26,14 @@ def write_snapshot(tables: dict[str, DataFrame], root: str, settings: dict[str,
 
 
 def current(spark: SparkSession, root: str) -> dict | None:
-    """The newest pointer of this version; None if there is none, which asks for a full build."""
+    """The newest pointer of this version; None if there is none, which asks for a full build. Other errors of the storage are raised."""
     try:
         rows = spark.read.parquet(f"{root}/pointers").where(F.col("version") == VERSION)
-        newest = rows.orderBy(F.col("at").desc(), "snapshot").limit(1).collect()
-    except Exception:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
+    newest = rows.orderBy(F.col("at").desc(), "snapshot").limit(1).collect()
     return newest[0].asDict(recursive=True) if newest else None
 
 

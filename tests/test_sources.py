@@ -133,9 +133,12 @@ def test_engine(spark):
             bad()
     with pytest.raises(TypeError):
         engine.deep_search("text")
+    assert engine.deep_search_all(["nothing", "gamma delta"]).where("id is not null").count() == 2
+    with pytest.raises(ValueError):
+        engine.deep_search_all([" "])
 
 
-def test_build_search_and_rebuild(spark, tmp_path):
+def test_build_search_and_rebuild(spark, tmp_path, monkeypatch):
     from siltstone.__main__ import build
     from siltstone.sources import store
 
@@ -143,15 +146,34 @@ def test_build_search_and_rebuild(spark, tmp_path):
     root.mkdir()
     (root / "util.py").write_text("def helper(x):\n    return x + 1\n")
     (root / "main.py").write_text("from util import helper\n\ndef go():\n    return helper(2)\n")
+    (root / "other.py").write_text("def third():\n    pass\n")
     build(spark, str(root), str(index), ["py"], [])
     tables = store.read_snapshot(spark, str(index))
     engine = Engine(spark, tables["chunks"], nodes=tables["nodes"], edges=tables["edges"])
     assert [r.from_symbol for r in engine.graph_query("callers", "helper").collect()] == ["go"]
     assert engine.find_definition("helper").first().found_by == "graph" and engine.find_definition("return x").first().found_by == "search_bm25"
+    first = store.current(spark, str(index))["snapshot"]
+    assert build(spark, str(root), str(index), ["py"], []) == first, "nothing changed, nothing is written"
     (root / "main.py").write_text("def stop():\n    return helper(3)\n")
-    build(spark, str(root), str(index), ["py"], [])
+    seen = []
+    with monkeypatch.context() as m:
+        for f in ("chunk_files", "extract_facts"):
+            m.setattr(chunking, f, lambda df, f=getattr(chunking, f): seen.append({r.path.rsplit("/", 1)[-1] for r in df.select("path").collect()}) or f(df))
+        build(spark, str(root), str(index), ["py"], [])
+    assert seen == [{"main.py"}] * 2, "unchanged files are neither chunked nor parsed"
     tables = store.read_snapshot(spark, str(index))
-    assert {r.symbol_name for r in tables["chunks"].collect()} == {"helper", "stop"}
+    whole = tmp_path / "whole"
+    build(spark, str(root), str(whole), ["py"], [])
+    for name, df in store.read_snapshot(spark, str(whole)).items():
+        assert sorted(map(str, df.select(sorted(df.columns)).collect())) == sorted(map(str, tables[name].select(sorted(df.columns)).collect())), name
+    stored, plain = Engine.open(spark, str(index)), Engine(spark, tables["chunks"])
+    score = lambda e: [(r.id, r.score) for r in e.search("stop helper", 5).orderBy("rank").collect()]
+    assert score(stored) == score(plain) != []
+    both = Engine.open_all(spark, {"good": str(index), "bad": str(tmp_path / "none")})
+    assert {(r.name, r.health) for r in both.source_rows().collect()} == {("good", "ok"), ("bad", "corrupt")} and both.search_all(["stop"], 1).count() == 1
+    with pytest.raises(FileNotFoundError):
+        Engine.open_all(spark, {"bad": str(tmp_path / "none")})
+    assert {r.symbol_name for r in tables["chunks"].collect()} == {"helper", "stop", "third"}
     assert store.current(spark, str(tmp_path / "none")) is None
 
 
