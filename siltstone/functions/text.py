@@ -143,25 +143,27 @@ def node_id(*parts: Column) -> Column:
 
 
 # Words that a grep for the question leaves out.
-STOP_WORDS = "a an and are as at be by does for from how in is it of on or that the this to what when where which who why with".split()
+STOP_WORDS = """the a an and or not is are was be been how where what when which that this it its of in on to for by with from into against
+after before between across per via like as does do gets get has have their them they code logic implementation back later same new
+whether instead keeping performs turned""".split()
 
 
 def keywords(question: Column) -> Column:
-    """The distinct words of three letters or more in lower case, in order, without stop words."""
-    words = F.regexp_extract_all(F.lower(question), F.lit("([a-z_][a-z0-9_]{2,})"), 1)
+    """The distinct words of three letters and dashes or more, a letter first, in lower case, in order, without stop words."""
+    words = F.regexp_extract_all(F.lower(question), F.lit(r"([a-z][a-z\-]{2,})"), 1)
     return F.array_except(F.array_distinct(words), F.array(*[F.lit(w) for w in STOP_WORDS]))
 
 
-# How languages declare symbols.
+# How languages declare symbols, and names that are none.
 DECLARATIONS = (
-    r"(?m)^\s*(?:async\s+)?def\s+([A-Za-z_]\w*)",
-    r"(?m)^\s*(?:export\s+)?(?:abstract\s+)?class\s+([A-Za-z_]\w*)",
-    r"(?m)^\s*(?:export\s+)?(?:async\s+)?function\s+([A-Za-z_]\w*)",
-    r"(?m)^\s*func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)",
-    r"(?m)^\s*(?:pub\s+)?fn\s+([A-Za-z_]\w*)",
-    r"(?m)^\s*(?:public|private|protected|internal)\s+(?:static\s+)?[\w<>\[\]]+\s+([A-Za-z_]\w*)\s*\(",
+    r"\bclass\s+([A-Za-z_]\w*)",
+    r"\b(?:struct|interface|trait|enum|object|protocol)\s+([A-Za-z_]\w*)",
+    r"\bdef\s+([A-Za-z_]\w*)",
+    r"\bfunc(?:tion)?\s+([A-Za-z_]\w*)",
+    r"\bfn\s+([A-Za-z_]\w*)",
+    r"\b(?:public|private|protected|internal|static|final|override|async)\s+[\w<>\[\].]+\s+([A-Za-z_]\w*)\s*\(",
 )
-NOT_SYMBOLS = ("main", "self", "this", "new", "get", "set", "test", "init")
+NOT_SYMBOLS = ("if", "for", "while", "switch", "return", "get", "set", "new", "in", "of", "is", "as", "do", "to")
 
 
 def declared_symbols(content: Column) -> Column:

@@ -287,7 +287,7 @@ def evaluate_hits(spark, sf_dir):
     return ranking.evaluate(ranking.bm25(chunks, asked, 5), truth, asked)
 
 
-_WORDS = "list_filter(list_distinct(regexp_extract_all(lower(text), '([a-z_][a-z0-9_]{2,})', 1)), lambda w: NOT list_contains([" + ", ".join(f"'{w}'" for w in tx.STOP_WORDS) + "], w))"
+_WORDS = "list_filter(list_distinct(regexp_extract_all(lower(text), '([a-z][a-z-]{2,})', 1)), lambda w: NOT list_contains([" + ", ".join(f"'{w}'" for w in tx.STOP_WORDS) + "], w))"
 
 
 @query(f"""WITH a AS (SELECT query_id, unnest({_WORDS}) AS word FROM ({ASKED})), l AS (SELECT id, lower(coalesce(content, '')) AS t FROM ({CHUNKS})), w AS (SELECT DISTINCT word FROM a),
@@ -543,6 +543,15 @@ def reresolve_names(spark, sf_dir):
     return again.groupBy("relation", F.coalesce("confidence", F.lit("")).alias("confidence")).agg(F.count("*").alias("n"))
 
 
+_DECLARED = "list_concat(" + ", ".join(f"regexp_extract_all(content, '{p}', 1)" for p in tx.DECLARATIONS) + ")"
+
+
+@query(f"SELECT id, array_to_string(list_sort(list_filter(list_distinct({_DECLARED}), lambda x: length(x) > 2 AND NOT list_contains({list(tx.NOT_SYMBOLS)}, lower(x)))), ',') AS symbols FROM ({CODE}) WHERE content IS NOT NULL")
+def declared_symbols(spark, sf_dir):
+    (code,) = inputs(spark, sf_dir, CODE)
+    return code.where("content is not null").select("id", F.array_join(tx.declared_symbols(F.col("content")), ",").alias("symbols"))
+
+
 _CHANGED = "SELECT '/repo/Brand#' || (p_partkey % 25 + 1) || '.py' AS path, 'def ' || replace(p_name, ' ', '_') || '_' || (p_partkey % 7) || '(x):' || chr(10) || '  pass' AS content FROM part WHERE p_partkey % 20 = 0"  # the changed files, a query set
 
 

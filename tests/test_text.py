@@ -53,3 +53,6 @@ def test_paths_and_urls(spark):
     assert one(spark, tx.page_file, "http://a.com/x y/z") == ["a.com_x_y_z.md"]
     assert len(one(spark, tx.page_file, "http://a.com/" + "x" * 200)[0]) == 80 + 1 + 10 + 3
     assert one(spark, tx.declared_symbols, "def alpha(x):\nclass Beta:\n  def me(self)") == [["Beta", "alpha"]]
+    source = "pub struct Heap {}\ntrait Walk {}\nexport async function load_all() {}\nfunc Serve()\npublic static List<int> Sum(int x)\ndef get():\nclass ab:\nenum Color"
+    assert one(spark, tx.declared_symbols, source, None) == [["Color", "Heap", "Serve", "Sum", "Walk", "load_all"], []]
+    assert one(spark, tx.keywords, "Where is the Rate-limit logic of an x2 queue_len queue?", "", None) == [["rate-limit", "queue", "len"], [], None]
