@@ -18,8 +18,8 @@ from .lineage import checkpointed
 
 #: Nodes up to which betweenness takes every node as a source; beyond, SAMPLE sources.
 EXACT_NODES, SAMPLE = 1_500, 200
-#: Edges that one task or broadcast holds as adjacency at most.
-LOCAL_EDGES = 5_000_000
+#: Edges up to which every task holds the adjacency of the whole graph; beyond, walks are joins. The result is the same.
+LOCAL_EDGES = 1_000_000
 
 
 def hubs(nodes: DataFrame, edges: DataFrame, top_n: int = 10) -> DataFrame:
@@ -162,16 +162,9 @@ def _brandes(batches: Iterator[pa.RecordBatch], neighbours: list[list[int]]) ->
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(list(total.values()), pa.float64())], names=["a", "b", "c"])
 
 
-def bridges(nodes: DataFrame, edges: DataFrame, top_n: int = 5) -> DataFrame:
-    """The top_n edges by betweenness, undirected, over symbols: a, b, score (normalised, 6 digits), rank.
-
-    Sources are spread over tasks; the adjacency, at most LOCAL_EDGES edges, goes to each. Over EXACT_NODES nodes, SAMPLE
-    sources by hash stand for all.
-    """
-    spark = nodes.sparkSession
-    pairs = checkpointed(symbol_pairs(nodes, edges))
-    if pairs.count() > LOCAL_EDGES:
-        raise ValueError(f"more than {LOCAL_EDGES} edges: narrow the graph first")
+def _local_credit(pairs: DataFrame, sources: DataFrame) -> DataFrame:
+    """(a, b, c) of each pair from all sources(id): the adjacency goes to each task."""
+    spark = pairs.sparkSession
     rows = [(r["a"], r["b"]) for r in pairs.orderBy("a", "b").toLocalIterator()]
     ids = sorted({x for p in rows for x in p})
     at = {x: i for i, x in enumerate(ids)}
@@ -179,12 +172,49 @@ def bridges(nodes: DataFrame, edges: DataFrame, top_n: int = 5) -> DataFrame:
     for a, b in rows:
         neighbours[at[a]].append(at[b])
         neighbours[at[b]].append(at[a])
-    n = len(ids)
-    sources = spark.range(n) if n <= EXACT_NODES else spark.range(n).orderBy(F.md5(F.col("id").cast("string"))).limit(SAMPLE)
-    used = min(n, SAMPLE if n > EXACT_NODES else n)
-    scale = (n / used) / (n * (n - 1)) if n > 1 else 0.0
     names = spark.createDataFrame(list(enumerate(ids)), "i bigint, name string")
-    score = sources.repartition(8).mapInArrow(partial(_brandes, neighbours=neighbours), "a bigint, b bigint, c double").groupBy("a", "b").agg(F.round(F.sum("c") * scale, 6).alias("score"))
-    named = score.join(names.select(F.col("i").alias("a"), F.col("name").alias("name_a")), "a").join(names.select(F.col("i").alias("b"), F.col("name").alias("name_b")), "b")
-    best = named.select(F.col("name_a").alias("a"), F.col("name_b").alias("b"), "score").orderBy(F.col("score").desc(), "a", "b").limit(top_n)
+    chosen = sources.join(names, F.col("id") == F.col("name")).select("i")
+    credit = chosen.repartition(8).mapInArrow(partial(_brandes, neighbours=neighbours), "a bigint, b bigint, c double").groupBy("a", "b").agg(F.sum("c").alias("c"))
+    named = credit.join(names.select(F.col("i").alias("a"), F.col("name").alias("name_a")), "a").join(names.select(F.col("i").alias("b"), F.col("name").alias("name_b")), "b")
+    return named.select(F.col("name_a").alias("a"), F.col("name_b").alias("b"), "c")
+
+
+def _joined_credit(pairs: DataFrame, sources: DataFrame) -> DataFrame:
+    """The same by joins, level by level from all sources at once, then back; a level's rows are checkpointed."""
+    both = checkpointed(pairs.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(pairs.select(F.col("b").alias("v"), F.col("a").alias("w"))))
+    levels = [checkpointed(sources.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("paths")))]
+    while True:
+        new = levels[-1].join(both, "v").groupBy("s", "w").agg(F.sum("paths").alias("paths")).withColumnRenamed("w", "v")
+        for seen in levels[-2:]:  # a neighbour is one level up, on the same one, or new
+            new = new.join(seen.select("s", "v"), ["s", "v"], "left_anti")
+        new = checkpointed(new.select("s", "v", "paths"))
+        if not new.limit(1).count():
+            break
+        levels.append(new)
+    parts, credit = [], None
+    for far, near in zip(levels[:0:-1], levels[-2::-1]):
+        own = far.withColumn("credit", F.lit(0.0)) if credit is None else far.join(credit, ["s", "v"], "left").withColumn("credit", F.coalesce("credit", F.lit(0.0)))
+        back = own.select("s", "v", F.col("paths").alias("p"), "credit").join(both, "v").join(near.select("s", F.col("v").alias("w"), "paths"), ["s", "w"])
+        shares = checkpointed(back.select("s", "v", "w", (F.col("paths") / F.col("p") * (1 + F.col("credit"))).alias("c")))
+        credit = shares.groupBy("s", "w").agg(F.sum("c").alias("credit")).withColumnRenamed("w", "v")
+        parts.append(shares.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b"), "c"))
+    every = parts[0] if parts else pairs.select("a", "b", F.lit(0.0).alias("c")).limit(0)
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.groupBy("a", "b").agg(F.sum("c").alias("c"))
+
+
+def bridges(nodes: DataFrame, edges: DataFrame, top_n: int = 5) -> DataFrame:
+    """The top_n edges by betweenness, undirected, over symbols: a, b, score (normalised, 6 digits), rank.
+
+    Over EXACT_NODES nodes, SAMPLE sources by the hash of their id stand for all. Up to LOCAL_EDGES edges, counted, sources are
+    spread over tasks that hold the adjacency; beyond, all walks go on together by joins.
+    """
+    pairs = checkpointed(symbol_pairs(nodes, edges))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    n = ids.count()
+    sources = checkpointed(ids if n <= EXACT_NODES else ids.orderBy(F.md5("id"), "id").limit(SAMPLE))
+    scale = (n / min(n, SAMPLE if n > EXACT_NODES else n)) / (n * (n - 1)) if n > 1 else 0.0
+    credit = (_local_credit if pairs.count() <= LOCAL_EDGES else _joined_credit)(pairs, sources)
+    best = credit.select("a", "b", F.round(F.col("c") * scale, 6).alias("score")).orderBy(F.col("score").desc(), "a", "b").limit(top_n)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "a", "b")))  # top_n rows

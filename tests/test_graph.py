@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from siltstone.operators import analytics, chunking, graph
@@ -65,6 +67,24 @@ def test_two_cliques(spark):
     assert analytics.hubs(*none).count() == analytics.communities(*none).count() == analytics.bridges(*none).count() == 0
 
 
+def test_bridges_by_joins_equal_those_in_tasks(spark, monkeypatch):
+    rnd = random.Random(8)
+    pairs = {tuple(sorted((f"n{rnd.randrange(9)}", f"n{rnd.randrange(9)}"))) for _ in range(14)} | {("n3", "x1"), ("x1", "x2"), ("y1", "y2")}
+    ids = sorted({x for p in pairs for x in p})
+    nodes = spark.createDataFrame([(i, "function") for i in ids], "id string, kind string")
+    edges = spark.createDataFrame([p for p in pairs if p[0] != p[1]], "source string, target string")
+    got = lambda: [tuple(r) for r in analytics.bridges(nodes, edges, 50).orderBy("rank").collect()]
+    want = got()
+    monkeypatch.setattr(analytics, "LOCAL_EDGES", 0)
+    assert got() == want and len(want) > 5
+    assert analytics.bridges(nodes.limit(0), edges.limit(0)).count() == 0
+    monkeypatch.setattr(analytics, "EXACT_NODES", 2)
+    monkeypatch.setattr(analytics, "SAMPLE", 4)
+    few = got()
+    monkeypatch.setattr(analytics, "LOCAL_EDGES", 100)
+    assert got() == few, "the same sources stand for all"
+
+
 def build(spark, files):
     facts = chunking.extract_facts(spark.createDataFrame(list(files.items()), "path string, content string"))
     node_rows, edge_rows, calls, bases = chunking.graph_inputs(facts)
