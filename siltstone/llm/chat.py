@@ -34,6 +34,10 @@ def _marks(template: dict, other: tuple[str, str, str]) -> list[str]:
             raise ValueError(f"mark {m!r}: two characters or more, no backslash, no end that is also its beginning")
     if len(set(marks)) < len(marks):
         raise ValueError("marks must differ")
+    for m in marks:
+        for n in marks:
+            if m != n and (n in m or any(n.startswith(m[i:]) for i in range(1, len(m)))):
+                raise ValueError(f"marks {m!r} and {n!r} overlap: a text beside one could read as the other")
     return marks
 
 
@@ -98,7 +102,7 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
 
 def read_back(chats: DataFrame, template: dict = TEMPLATE, other: tuple[str, str, str] = OTHER) -> DataFrame:
-    """The output of format_chats with turns (array of role, text), read from formatted alone, and trained, the text under the loss flags."""
+    """The output of format_chats with turns (array of role, text) and trained, the text under the loss flags; both are read from segments, whose texts joined are formatted."""
     closes = "|".join(re.escape(m) for m in [c for _, c, _ in template.values()] + [other[2]])
 
     def turn(piece: Column) -> Column:
@@ -110,6 +114,6 @@ def read_back(chats: DataFrame, template: dict = TEMPLATE, other: tuple[str, str
             out = F.when(F.startswith(piece, F.lit(opens)), F.struct(F.lit(role).alias("role"), text.alias("text"))).otherwise(out)
         return out
 
-    pieces = F.split("formatted", closes, -1)
+    pieces = F.split(F.array_join(F.transform("segments", lambda s: s["text"]), ""), closes, -1)
     trained = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
     return chats.withColumns({"turns": F.transform(F.slice(pieces, 1, F.size(pieces) - 1), turn), "trained": trained})

@@ -37,6 +37,9 @@ def test_bad_template(spark):
     for mark in ("a", "aba", "a\\b"):
         with pytest.raises(ValueError):
             chat.format_chats(turns, template={"user": (mark, "[/INST]", False)})
+    for closes in (("bc!", "abc"), ("cd", "abcde"), ("x<", "q>>")):
+        with pytest.raises(ValueError):
+            chat.format_chats(turns, template={"user": ("u[", closes[0], False), "assistant": ("v[", closes[1], True)})
 
 
 def test_long_conversation(spark):
