@@ -118,7 +118,9 @@ def _communities(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def communities(nodes: DataFrame, edges: DataFrame, min_size: int = 3) -> DataFrame:
-    """(community, name, size, members, rank): groups of symbols by greedy modularity, each component on its own; name is the member of most edges.
+    """(community, name, size, members, languages, rank): groups of symbols by greedy modularity, each component on its own; name is the member of most edges.
+
+    languages counts the members by language key ("?" if they have none), as language:count in order of the language.
 
     A component is agglomerated in one task, whatever its size.
     """
@@ -127,9 +129,11 @@ def communities(nodes: DataFrame, edges: DataFrame, min_size: int = 3) -> DataFr
     tagged = pairs.join(parts.withColumnRenamed("id", "a"), "a")
     groups = tagged.groupBy("component").applyInPandas(_communities, "id string, community string")
     degree = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
-    rows = groups.join(nodes.select("id", "label"), "id").join(degree, "id")
+    lang = F.when(F.coalesce("lang_key", F.lit("")) == "", "?").otherwise(F.col("lang_key"))
+    rows = groups.join(nodes.select("id", "label", lang.alias("lang")), "id").join(degree, "id")
+    by_lang = rows.groupBy("community", "lang").agg(F.count("*").alias("n")).groupBy("community").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "lang", "n"))), ",").alias("languages"))
     out = rows.groupBy("community").agg(F.max_by("label", F.struct("degree", "label")).alias("name"), F.count("*").alias("size"), F.array_join(F.slice(F.array_sort(F.collect_list("label")), 1, 10), ",").alias("members"))
-    out = out.where(F.col("size") >= min_size)
+    out = out.where(F.col("size") >= min_size).join(by_lang, "community")
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.col("size").desc(), "community")))  # one row a community
 
 

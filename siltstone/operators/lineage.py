@@ -21,4 +21,4 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """df over all tasks if it comes from fewer files than there are shuffle partitions; a table of many files is read where it is."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n) if len(df.inputFiles()) < n else df
+    return df.repartition(n) if len(df._jdf.inputFiles()) < n else df  # the number alone: names stay in the JVM

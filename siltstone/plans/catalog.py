@@ -279,12 +279,12 @@ def search_diff(spark, sf_dir):
 _TRUTH = "SELECT item_id AS query_id, doc_id AS id FROM benchmark JOIN documents ON contains(documents.text, benchmark.text)"
 
 
-@query(f"""WITH {bm25_sql(CHUNKS, ASKED, 5)}, truth AS ({_TRUTH}), f AS (SELECT query_id, min(rank) AS first FROM bm25 JOIN truth USING (query_id, id) GROUP BY query_id), a AS (SELECT b.query_id, first FROM ({ASKED}) AS b LEFT JOIN f USING (query_id))
-SELECT count(*) AS n_tasks, round(avg(CASE WHEN first <= 5 THEN 1.0 ELSE 0 END), 6) AS hit_at_k, round(avg(CASE WHEN first = 1 THEN 1.0 ELSE 0 END), 6) AS hit_at_1, round(avg(CASE WHEN first <= 5 THEN 1.0 / first ELSE 0 END), 6) AS mrr FROM a""")
+@query(f"""WITH {bm25_sql(CHUNKS, ASKED, 5)}, truth AS ({_TRUTH}), f AS (SELECT query_id, min(rank) AS first FROM bm25 JOIN truth USING (query_id, id) GROUP BY query_id), h AS (SELECT query_id, CAST(floor(sum(length(content)) / 4) AS BIGINT) AS tokens FROM bm25 JOIN ({CHUNKS}) AS c USING (id) GROUP BY query_id), a AS (SELECT b.query_id, first, tokens FROM ({ASKED}) AS b LEFT JOIN f USING (query_id) LEFT JOIN h USING (query_id))
+SELECT CAST(floor(median(coalesce(tokens, 0))) AS BIGINT) AS median_tokens, count(*) AS n_tasks, round(avg(CASE WHEN first <= 5 THEN 1.0 ELSE 0 END), 6) AS hit_at_k, round(avg(CASE WHEN first = 1 THEN 1.0 ELSE 0 END), 6) AS hit_at_1, round(avg(CASE WHEN first <= 5 THEN 1.0 / first ELSE 0 END), 6) AS mrr FROM a""")
 def evaluate_hits(spark, sf_dir):
     chunks, asked = inputs(spark, sf_dir, CHUNKS, ASKED)
     truth = chunks.join(asked, F.contains(chunks.content, asked.text)).select("query_id", "id")
-    return ranking.evaluate(ranking.bm25(chunks, asked, 5), truth, asked)
+    return ranking.evaluate(ranking.bm25(chunks, asked, 5), truth, asked, bodies=chunks)
 
 
 _WORDS = "list_filter(list_distinct(regexp_extract_all(lower(text), '([a-z][a-z-]{2,})', 1)), lambda w: NOT list_contains([" + ", ".join(f"'{w}'" for w in tx.STOP_WORDS) + "], w))"

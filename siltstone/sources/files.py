@@ -68,3 +68,27 @@ def overview(files: DataFrame) -> DataFrame:
     entry = F.when(name.rlike(r"^(main|app|server|index|manage|__main__)\.[a-z]+$"), F.col("path"))
     each = files.select(F.explode(F.array(*[F.struct(F.lit(t).alias("topic"), v.alias("value")) for t, v in (("language", tx.language(F.col("path"))), ("manifest", manifest), ("entry_point", entry))])).alias("x")).select("x.*")
     return each.where("value is not null").groupBy("topic", "value").agg(F.count("*").alias("n"))
+
+
+# Frameworks by a dependency of package.json, and by a word in Python's manifests.
+NODE_FRAMEWORKS = {
+    "react": "React", "next": "Next.js", "vue": "Vue", "nuxt": "Nuxt", "@angular/core": "Angular", "svelte": "Svelte",
+    "express": "Express", "@nestjs/core": "NestJS", "electron": "Electron", "vite": "Vite",
+}
+PYTHON_FRAMEWORKS = {
+    "django": "Django", "flask": "Flask", "fastapi": "FastAPI", "pyramid": "Pyramid", "tornado": "Tornado", "scrapy": "Scrapy",
+    "streamlit": "Streamlit", "torch": "PyTorch", "tensorflow": "TensorFlow",
+}
+
+
+def frameworks(files: DataFrame, root: str) -> DataFrame:
+    """(framework), distinct: what the manifests of files(path, content) right below root, and any web project file, tell. Manifests that can't be read tell nothing."""
+    path = F.regexp_replace(tx.slashes(F.col("path")), "^(file:)?/*", "/")
+    below = F.regexp_replace(path, "^" + r"\Q" + "/" + root.replace("file:", "").strip("/") + r"/\E", "")
+    text = F.coalesce("content", F.lit(""))
+    needs = F.from_json(text, "dependencies map<string,string>, devDependencies map<string,string>")
+    keys = F.concat(*[F.coalesce(F.map_keys(needs[c]), F.array().cast("array<string>")) for c in ("dependencies", "devDependencies")])
+    node = [F.when((below == "package.json") & F.array_contains(keys, k), F.lit(v)) for k, v in NODE_FRAMEWORKS.items()]
+    python = [F.when(below.isin("pyproject.toml", "requirements.txt", "setup.py", "setup.cfg", "Pipfile") & F.contains(F.lower(text), F.lit(k)), F.lit(v)) for k, v in PYTHON_FRAMEWORKS.items()]
+    other = [F.when(below == "manage.py", "Django"), F.when(below.endswith(".csproj") & F.contains(text, F.lit("Microsoft.NET.Sdk.Web")), "ASP.NET Core")]
+    return files.select(F.explode(F.array(*node, *python, *other)).alias("framework")).where("framework is not null").distinct()

@@ -60,6 +60,7 @@ def test_two_cliques(spark):
     edges = spark.createDataFrame(rows, EDGE)
     assert analytics.hubs(nodes, edges).orderBy("rank").first().id == "a1"
     found = analytics.communities(nodes, edges).collect()
+    assert {r.languages for r in found} == {"python:4"}
     assert sorted(r["size"] for r in found) == [4, 4] and all("file" not in r.members and "ext" not in r.members for r in found)
     top = analytics.bridges(nodes, edges).orderBy("rank").first()
     assert (top.a, top.b) == ("a1", "b1") and top.score == round(16 / 28, 6)

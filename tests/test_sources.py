@@ -191,3 +191,10 @@ def test_imports_and_bases_by_language():
         facts = chunking.facts_of(path, source, language)
         assert sorted((f[2], f[3], f[10]) for f in facts if f[0] == "edge" and f[10].startswith("imports")) == sorted(imports), (language, facts)
         assert sorted((f[2], f[4]) for f in facts if f[0] == "raw_inherit") == sorted(bases), language
+
+
+def test_frameworks(spark):
+    rows = [("file:/r/package.json", '{"dependencies": {"react": "1"}, "devDependencies": {"vite": "2"}}'), ("/r/requirements.txt", "Flask==2"), ("/r/manage.py", ""), ("/r/sub/package.json", '{"dependencies": {"vue": "1"}}'), ("/r/a/x.csproj", '<Project Sdk="Microsoft.NET.Sdk.Web">'), ("/r/setup.py", None)]
+    found = lambda rs: sorted(r.framework for r in files.frameworks(spark.createDataFrame(rs, "path string, content string"), "/r").collect())
+    assert found(rows) == ["ASP.NET Core", "Django", "Flask", "React", "Vite"]
+    assert found([("/r/package.json", "{broken")]) == found([]) == []
