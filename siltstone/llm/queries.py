@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, html_extract, line_dedup, mixing, simhash, suffix_dedup, toxicity, url_filter
+from . import chat, decontaminate, exact_dedup, html_extract, line_dedup, mixing, resample, simhash, suffix_dedup, toxicity, url_filter
 from .common import md5_number, table
 
 LINE_RATIO, LINE_MIN_PAGES = 0.1, 10
@@ -91,13 +91,22 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(captures, url_lists(hosts))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_html_extraction, op3_mixing, op4_simhash, op5_line_dedup, op6_suffix_dedup, op7_decontamination, op8_chat_formatting, op9_toxicity, op10_url_filter)}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_html_extraction, op3_mixing, op4_simhash, op5_line_dedup, op6_suffix_dedup, op7_decontamination, op8_chat_formatting, op9_toxicity, op10_url_filter, op11_importance_resampling)}
 
 _ESCAPED = "replace({}, chr(92), chr(92) || chr(92))"
 for _m in [m for o, c, _ in chat.TEMPLATE.values() for m in (o, c)] + list(chat.OTHER):
     _ESCAPED = f"replace({_ESCAPED}, '{_m}', '{_m[0]}' || chr(92) || '{_m[1:]}')"
 _TURN_CHARS = f"length({_ESCAPED.format('text')}) + CASE role " + " ".join(f"WHEN '{r}' THEN {len(o) + len(c)}" for r, (o, c, _) in chat.TEMPLATE.items()) + f" ELSE {sum(map(len, chat.OTHER))} + length({_ESCAPED.format('role')}) END"
 
+#: CRC-32 in SQL: the table of the polynomial's rule, and the reduction of a text's bytes by it.
+_CRC_TABLE = "list_transform(range(256), lambda i: list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+_BYTES = "list_transform(range(octet_length(encode({0}))), lambda i: CAST('0x' || substr(hex(encode({0})), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))"
+_CRC = f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {_BYTES}), lambda c, b: xor(c >> 8, crc[CAST(xor(c & 255, b) + 1 AS BIGINT)])), 4294967295)"
+
 ORACLES = {
     "op1_exact_dedup": """
 WITH h AS (SELECT doc_id, sha256(coalesce(text, '')) AS s FROM documents)
@@ -149,4 +158,19 @@ m AS (SELECT page_id, v.*, row_number() OVER (PARTITION BY page_id ORDER BY leng
       FROM c JOIN v ON (c.host = v.domain OR ends_with(c.host, '.' || v.domain)) AND since <= fetched_at AND (until IS NULL OR fetched_at < until))
 SELECT c.page_id, c.url, c.host, c.fetched_at, m.domain IS NOT NULL AS blocked, m.domain, m.category, m.since AS listed_since
 FROM c LEFT JOIN m ON c.page_id = m.page_id AND m.nth = 1""",
+    "op11_importance_resampling": rf"""
+WITH k AS (SELECT {_CRC_TABLE} AS crc),
+a AS (SELECT doc_id, coalesce(text, '') AS text, false AS wanted FROM documents UNION ALL SELECT NULL, coalesce(text, ''), true FROM benchmark),
+w AS (SELECT row_number() OVER () AS nth, doc_id, wanted, list_filter(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM a),
+f AS (SELECT nth, unnest(list_concat(words, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))) AS feature FROM w),
+c AS (SELECT nth, feature, count(*) AS n FROM f GROUP BY ALL),
+b AS (SELECT feature, {_CRC.format('feature')} % 10000 AS bucket FROM (SELECT DISTINCT feature FROM f), k),
+g AS (SELECT c.nth, bucket, wanted, CAST(sum(n) AS BIGINT) AS n FROM c JOIN b USING (feature) JOIN w USING (nth) GROUP BY ALL),
+s AS (SELECT bucket, CAST(coalesce(sum(n) FILTER (NOT wanted), 0) AS DOUBLE) AS s, CAST(coalesce(sum(n) FILTER (wanted), 0) AS DOUBLE) AS t FROM g GROUP BY bucket),
+v AS (SELECT bucket, CAST(floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM s) + 10000) / ((s + 1) * ((SELECT sum(t) FROM s) + 10000)))) AS BIGINT) AS gain FROM s),
+m AS (SELECT nth, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS total FROM g JOIN v USING (bucket) WHERE NOT wanted GROUP BY nth),
+d AS (SELECT doc_id, nth, len(words) AS n_words, coalesce(n_features, 0) AS n_features, coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0) AS weight,
+             CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT) + 0.5) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS noise FROM w LEFT JOIN m USING (nth) WHERE NOT wanted),
+r AS (SELECT nth, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS rank, count(*) OVER () AS n FROM d WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, weight + noise AS score, CASE WHEN rank <= 25 * n // 100 THEN rank END AS rank FROM d LEFT JOIN r USING (nth)""",
 }
