@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, html_extract, line_dedup, mixing, resample, simhash, suffix_dedup, toxicity, url_filter
+from . import chat, decontaminate, exact_dedup, html_extract, line_dedup, mixing, pivot_index, resample, simhash, suffix_dedup, toxicity, url_filter
 from .common import md5_number, table
 
 LINE_RATIO, LINE_MIN_PAGES = 0.1, 10
@@ -95,7 +95,12 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_html_extraction, op3_mixing, op4_simhash, op5_line_dedup, op6_suffix_dedup, op7_decontamination, op8_chat_formatting, op9_toxicity, op10_url_filter, op11_importance_resampling)}
+def op12_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return pivot_index.search(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_html_extraction, op3_mixing, op4_simhash, op5_line_dedup, op6_suffix_dedup, op7_decontamination, op8_chat_formatting, op9_toxicity, op10_url_filter, op11_importance_resampling, op12_topk_search)}
 
 _ESCAPED = "replace({}, chr(92), chr(92) || chr(92))"
 for _m in [m for o, c, _ in chat.TEMPLATE.values() for m in (o, c)] + list(chat.OTHER):
@@ -173,4 +178,9 @@ d AS (SELECT doc_id, nth, len(words) AS n_words, coalesce(n_features, 0) AS n_fe
              CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT) + 0.5) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS noise FROM w LEFT JOIN m USING (nth) WHERE NOT wanted),
 r AS (SELECT nth, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS rank, count(*) OVER () AS n FROM d WHERE n_words >= 20)
 SELECT doc_id, n_features, weight, weight + noise AS score, CASE WHEN rank <= 25 * n // 100 THEN rank END AS rank FROM d LEFT JOIN r USING (nth)""",
+    "op12_topk_search": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * c.x[i])) AS BIGINT) AS score FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10""",
 }
