@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, html_extract, line_dedup, mixing, pivot_index, resample, simhash, suffix_dedup, toxicity, url_filter
+from . import chat, decontaminate, exact_dedup, html_extract, line_dedup, merkle, mixing, pivot_index, resample, simhash, suffix_dedup, toxicity, url_filter
 from .common import md5_number, table
 
 LINE_RATIO, LINE_MIN_PAGES = 0.1, 10
@@ -100,7 +102,15 @@ def op12_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_index.search(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_html_extraction, op3_mixing, op4_simhash, op5_line_dedup, op6_suffix_dedup, op7_decontamination, op8_chat_formatting, op9_toxicity, op10_url_filter, op11_importance_resampling, op12_topk_search)}
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of a third of the rows, by a hash of the identifier, are tampered with: their capitals become small."""
+    touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    small = F.when(touched, F.translate("text", string.ascii_uppercase, string.ascii_lowercase)).otherwise(F.col("text"))
+    _, proofs = merkle.merkle_manifest(table(spark, sf_dir, "documents"), changed={"text": small})
+    return proofs
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_html_extraction, op3_mixing, op4_simhash, op5_line_dedup, op6_suffix_dedup, op7_decontamination, op8_chat_formatting, op9_toxicity, op10_url_filter, op11_importance_resampling, op12_topk_search, op13_merkle_manifest)}
 
 _ESCAPED = "replace({}, chr(92), chr(92) || chr(92))"
 for _m in [m for o, c, _ in chat.TEMPLATE.values() for m in (o, c)] + list(chat.OTHER):
@@ -112,6 +122,31 @@ _CRC_TABLE = "list_transform(range(256), lambda i: list_reduce([CAST(i AS BIGINT
 _BYTES = "list_transform(range(octet_length(encode({0}))), lambda i: CAST('0x' || substr(hex(encode({0})), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))"
 _CRC = f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {_BYTES}), lambda c, b: xor(c >> 8, crc[CAST(xor(c & 255, b) + 1 AS BIGINT)])), 4294967295)"
 
+
+def _tree_sql(name: str, leaves: str, depth: int) -> str:
+    """Levels name0 to name<depth> of the trees of leaves(g, idx, d); of each node its run's digests on both sides, and the nodes of its level."""
+    run = f"PARTITION BY g, idx // {merkle.FAN_OUT} ORDER BY idx ROWS BETWEEN"
+    sides = f"""coalesce(string_agg(d, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before, coalesce(string_agg(d, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after, count(*) OVER (PARTITION BY g) AS n"""
+    out = [f"{name}0 AS (SELECT *, {sides} FROM ({leaves}))"]
+    for k in range(depth):
+        up = f"SELECT g, idx // {merkle.FAN_OUT} AS idx, CASE WHEN any_value(n) = 1 THEN any_value(d) ELSE sha256(string_agg(d, '' ORDER BY idx)) END AS d FROM {name}{k} GROUP BY g, idx // {merkle.FAN_OUT}"
+        out.append(f"{name}{k + 1} AS (SELECT *, {sides} FROM ({up}))")
+    return ",\n".join(out)
+
+
+def _fold_sql(first: str, name: str, depth: int) -> str:
+    for k in range(depth):
+        first = f"CASE WHEN {name}{k}.n = 1 THEN {first} ELSE sha256({name}{k}.before || {first} || {name}{k}.after) END"
+    return first
+
+
+_DEPTH, _ABOVE = 7, 2  # enough for 8^7 rows of a language and 64 languages
+_FIELD = "coalesce(octet_length(encode(CAST({0} AS VARCHAR))) || ':' || {0}, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+_SMALL = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+_JOINS = "\n".join(f"JOIN t{k} ON t{k}.g = t0.g AND t{k}.idx = t0.idx // {merkle.FAN_OUT**k}" for k in range(1, _DEPTH)) + f" JOIN t{_DEPTH} ON t{_DEPTH}.g = t0.g JOIN r0 ON r0.name = t0.g " + " ".join(f"JOIN r{k} ON r{k}.idx = r0.idx // {merkle.FAN_OUT**k}" for k in range(1, _ABOVE + 1))
+_SIBLINGS = " || ".join(f"{x}{k}.before || {x}{k}.after" for x, n in (("t", _DEPTH), ("r", _ABOVE)) for k in range(n))
+
 ORACLES = {
     "op1_exact_dedup": """
 WITH h AS (SELECT doc_id, sha256(coalesce(text, '')) AS s FROM documents)
@@ -183,4 +218,12 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 *
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * c.x[i])) AS BIGINT) AS score FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10""",
+    "op13_merkle_manifest": f"""
+WITH k AS (SELECT {_CRC_TABLE} AS crc),
+l AS (SELECT doc_id, coalesce('1' || lang, '0') AS g, {_LEAF.format(text="text")} AS leaf, CASE WHEN {_CRC.format("CAST(doc_id AS VARCHAR)")} % 3 = 0 THEN {_LEAF.format(text=_SMALL)} END AS other FROM documents, k),
+{_tree_sql("t", "SELECT g, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, leaf AS d, doc_id, other FROM l", _DEPTH)},
+{_tree_sql("r", f"SELECT '' AS g, row_number() OVER (ORDER BY g) - 1 AS idx, d, g AS name FROM t{_DEPTH}", _ABOVE)},
+p AS (SELECT doc_id, t0.d AS leaf, t{_DEPTH}.d AS subroot, r{_ABOVE}.d AS root, sha256({_SIBLINGS}) AS proof_sha256, {_fold_sql("coalesce(other, t0.d)", "t", _DEPTH)} AS below, r0.idx AS nth FROM t0 {_JOINS}),
+f AS (SELECT p.*, {_fold_sql("below", "r", _ABOVE)} AS folded_root FROM p JOIN r0 ON r0.idx = nth {" ".join(f"JOIN r{k} ON r{k}.idx = nth // {merkle.FAN_OUT**k}" for k in range(1, _ABOVE))})
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM f""",
 }
