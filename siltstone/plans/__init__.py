@@ -1,3 +1,3 @@
 """Registered queries and the engine object."""
 
-from . import catalog, extras  # noqa: F401
+from . import catalog, extras, stored  # noqa: F401

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as tx
 from siltstone.operators import analytics, graph, ranking, upkeep
+from siltstone.operators.postings import PostingIndex
 from siltstone.sources import store
 
 MAX_TOP_K, MAX_BATCH, MAX_EDGES = 50, 100, 200
@@ -34,14 +35,18 @@ class Engine:
     embed: object = None  # queries(query_id, text) -> (query_id, vector)
     reranker: object = None
     options: dict = field(default_factory=dict)
-    postings: DataFrame | None = None  # stored postings of chunks: searches then don't read the texts for their terms
+    postings: DataFrame | PostingIndex | None = None  # stored postings of chunks: searches then don't read the texts for their terms
     broken: dict[str, str] = field(default_factory=dict)  # sources that could not be opened, and why
 
     @classmethod
     def open(cls, spark: SparkSession, index: str, **more) -> Engine:
         """The engine of a stored index."""
-        tables = store.read_snapshot(spark, index)
-        return cls(spark, tables["chunks"], nodes=tables["nodes"], edges=tables["edges"], postings=tables["postings"], **more)
+        log = store.Log(spark, index)
+        state = log.state()
+        if state is None:
+            raise FileNotFoundError(f"no index in {index}")
+        graphs = {t: log.table(t, state) for t in ("nodes", "edges") if t in state.tables}
+        return cls(spark, log.table("chunks", state), postings=PostingIndex(log, state), **graphs, **more)
 
     @classmethod
     def open_all(cls, spark: SparkSession, indexes: dict[str, str], **more) -> Engine:
@@ -49,7 +54,7 @@ class Engine:
         chunks, broken = None, {}
         for name, index in indexes.items():
             try:
-                part = store.read_snapshot(spark, index)["chunks"].withColumn("source", F.lit(name))
+                part = store.read_tables(spark, index)["chunks"].withColumn("source", F.lit(name))
             except (FileNotFoundError, PySparkException) as e:
                 broken[name] = str(e)
                 continue

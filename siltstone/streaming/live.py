@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from siltstone.operators import postings
+from siltstone.operators.lineage import checkpointed
+from siltstone.sources.store import MANY, Change, Log
+
 
 def moves_as_pairs(events: DataFrame) -> DataFrame:
     """(path, at, action): a move is a delete of the old path and an update of the new one; events have path, at, action, dest."""
@@ -52,13 +56,20 @@ def apply_changes(stored: DataFrame, changes: DataFrame, chunker: Callable[[Data
     return stored.join(last.select(F.col("path").alias("file_path")), "file_path", "left_anti").unionByName(fresh.select(*stored.columns))
 
 
-def keep_live(events: DataFrame, snapshots: str, read: Callable[[], DataFrame], chunker: Callable[[DataFrame], DataFrame], checkpoint: str):
-    """Starts a query that writes a snapshot of the chunks to snapshots/<batch> for each batch of changes; read gives the newest one.
+def keep_live(events: DataFrame, log: Log, chunker: Callable[[DataFrame], DataFrame], checkpoint: str, stream: str = "files", compact_at: int = MANY):
+    """Starts a query that commits each batch of changes to the log's chunks and postings: the changed files' own chunks and the keys of what goes.
 
-    A snapshot is written whole before anything reads it, and a batch that runs again overwrites its own.
+    What a batch writes grows with its files, not with the table; readers keep the commit they opened. A batch that runs again is known by its number and
+    passed over. From compact_at segments on the chunks are merged into one.
     """
 
     def one(batch: DataFrame, number: int) -> None:
-        apply_changes(read(), batch, chunker).write.mode("overwrite").parquet(f"{snapshots}/{number}")
+        last = checkpointed(batch.groupBy("path").agg(F.max_by(F.struct("action", "content"), "at").alias("c")).select("path", "c.*"))
+        fresh = checkpointed(chunker(last.where("action = 'update' and content is not null").select("path", "content")))
+        paths, state = last.select(F.col("path").alias("file_path")), log.state()
+        gone = checkpointed(log.table("chunks", state).join(paths, "file_path", "left_semi").select("id", "content")) if state and "chunks" in state.tables else None
+        log.commit({"chunks": Change(fresh, paths, "file_path"), **postings.changes(fresh, gone)}, stream=stream, batch=number)
+        if len(log.state().tables["chunks"]) >= compact_at:
+            log.compact("chunks")
 
     return events.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

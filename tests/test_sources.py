@@ -139,7 +139,8 @@ def test_engine(spark):
 
 
 def test_build_search_and_rebuild(spark, tmp_path, monkeypatch):
-    from siltstone.__main__ import build
+    from siltstone.__main__ import build, needs_update
+    from siltstone.operators import postings
     from siltstone.sources import store
 
     root, index = tmp_path / "src", tmp_path / "index"
@@ -148,23 +149,29 @@ def test_build_search_and_rebuild(spark, tmp_path, monkeypatch):
     (root / "main.py").write_text("from util import helper\n\ndef go():\n    return helper(2)\n")
     (root / "other.py").write_text("def third():\n    pass\n")
     build(spark, str(root), str(index), ["py"], [])
-    tables = store.read_snapshot(spark, str(index))
+    tables = store.read_tables(spark, str(index))
     engine = Engine(spark, tables["chunks"], nodes=tables["nodes"], edges=tables["edges"])
     assert [r.from_symbol for r in engine.graph_query("callers", "helper").collect()] == ["go"]
     assert engine.find_definition("helper").first().found_by == "graph" and engine.find_definition("return x").first().found_by == "search_bm25"
-    first = store.current(spark, str(index))["snapshot"]
+    first = store.current(spark, str(index)).number
     assert build(spark, str(root), str(index), ["py"], []) == first, "nothing changed, nothing is written"
+    assert not needs_update(spark, str(root), str(index), ["py"], [])
     (root / "main.py").write_text("def stop():\n    return helper(3)\n")
+    assert needs_update(spark, str(root), str(index), ["py"], [])
     seen = []
     with monkeypatch.context() as m:
         for f in ("chunk_files", "extract_facts"):
             m.setattr(chunking, f, lambda df, f=getattr(chunking, f): seen.append({r.path.rsplit("/", 1)[-1] for r in df.select("path").collect()}) or f(df))
         build(spark, str(root), str(index), ["py"], [])
     assert seen == [{"main.py"}] * 2, "unchanged files are neither chunked nor parsed"
-    tables = store.read_snapshot(spark, str(index))
+    tables = store.read_tables(spark, str(index))
     whole = tmp_path / "whole"
     build(spark, str(root), str(whole), ["py"], [])
-    for name, df in store.read_snapshot(spark, str(whole)).items():
+    flat = lambda at: sorted(map(tuple, postings.PostingIndex(store.Log(spark, str(at))).flat().collect()))
+    assert flat(index) == flat(whole) != []
+    for name, df in store.read_tables(spark, str(whole)).items():
+        if name in ("blocks", "retired", "sizes"):
+            continue
         assert sorted(map(str, df.select(sorted(df.columns)).collect())) == sorted(map(str, tables[name].select(sorted(df.columns)).collect())), name
     stored, plain = Engine.open(spark, str(index)), Engine(spark, tables["chunks"])
     score = lambda e: [(r.id, r.score) for r in e.search("stop helper", 5).orderBy("rank").collect()]
