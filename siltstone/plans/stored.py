@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from siltstone.operators import postings, ranking
 from siltstone.operators.lineage import shared_dir
+from siltstone.plans import sqlapi
+from siltstone.plans.engine import Engine
 from siltstone.sources.store import Change, Log
 
-from .catalog import ASKED, ASKED_VECTORS, CHUNKS, VECTORS, _EDITED, _HYBRID, _dedup_sql, bm25_sql, inputs, query, rrf_sql
+from .catalog import ASKED, ASKED_VECTORS, CHUNKS, EDGES, FLAT, NODES, SEEDS, SYMBOLS, VECTORS, _EDITED, _HYBRID, _dedup_sql, bm25_sql, inputs, query, rrf_sql
 
 
 def new_log(spark: SparkSession) -> Log:
@@ -73,3 +75,24 @@ def search_from_index(spark, sf_dir):
     chunks, asked, vectors, asked_vectors = inputs(spark, sf_dir, CHUNKS, ASKED, VECTORS, ASKED_VECTORS)
     log = stored_index(spark, chunks)
     return ranking.retrieve(log.table("chunks"), asked, 5, "hybrid", vectors, asked_vectors, post=postings.PostingIndex(log)).select("query_id", "id", "score", "rank")
+
+
+@query(f"WITH asked2 AS (SELECT row_number() OVER (ORDER BY text) AS query_id, text FROM (SELECT DISTINCT text FROM benchmark)), {bm25_sql(CHUNKS, 'SELECT * FROM asked2', 55)}, {_dedup_sql('bm25', 3)} SELECT b.item_id, r.id, r.score, r.rank FROM benchmark AS b JOIN asked2 USING (text) JOIN cut AS r USING (query_id)")
+def search_lateral(spark, sf_dir):
+    """The search as a table function, called for each row of a table in SQL."""
+    chunks, asked = inputs(spark, sf_dir, CHUNKS, ASKED)
+    name = f"lateral_{uuid.uuid4().hex[:8]}"
+    log = stored_index(spark, chunks)
+    sqlapi.register(Engine(spark, log.table("chunks"), postings=postings.PostingIndex(log)), name)
+    asked.createOrReplaceTempView(f"{name}_asked")
+    return spark.sql(f"SELECT a.query_id AS item_id, s.id, s.score, s.rank FROM {name}_asked AS a, LATERAL {name}_search(a.text) AS s WHERE s.rank <= 3")
+
+
+@query(f"WITH {SEEDS}, ops AS (SELECT unnest(['callers', 'callees', 'subclasses', 'superclasses']) AS operation), e AS (SELECT *, CASE WHEN relation = 'calls' THEN 'callers' ELSE 'subclasses' END AS operation, target AS key FROM edges WHERE relation IN ('calls', 'inherits') UNION ALL SELECT *, CASE WHEN relation = 'calls' THEN 'callees' ELSE 'superclasses' END, source FROM edges WHERE relation IN ('calls', 'inherits')) SELECT s.symbol, e.operation, {FLAT} FROM ops JOIN e USING (operation) JOIN seeds AS s ON s.id = e.key JOIN nodes AS f ON f.id = e.source JOIN nodes AS t ON t.id = e.target")
+def graph_lateral(spark, sf_dir):
+    """The graph function for each pair of a symbol and an operation."""
+    chunks, nodes, edges, symbols = inputs(spark, sf_dir, CHUNKS, NODES, EDGES, SYMBOLS)
+    name = f"lateral_{uuid.uuid4().hex[:8]}"
+    sqlapi.register_graph(Engine(spark, chunks, nodes=nodes, edges=edges), name)
+    symbols.distinct().createOrReplaceTempView(f"{name}_asked")
+    return spark.sql(f"SELECT a.symbol, o.operation, g.* FROM {name}_asked AS a, (SELECT explode(array('callers', 'callees', 'subclasses', 'superclasses')) AS operation) AS o, LATERAL {name}_graph(o.operation, a.symbol) AS g")
