@@ -34,7 +34,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents")).withColumnsRenamed({"first_id": "first_doc_id"})
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"), within=True).withColumnsRenamed({"first_id": "first_doc_id"})
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

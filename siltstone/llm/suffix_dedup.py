@@ -115,7 +115,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Itera
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch], length: int, gram: int, whole: bool = True) -> Iterator[pa.RecordBatch]:
-    """(id, text, anchor places) to a row an anchor: its run's hash, the digest of left and right, id, place, left, right.
+    """(id, text, anchor places, row_no) to a row an anchor: its run's hash, the digest of left and right, id, place, row_no, left, right.
 
     right: the suffix, up to the length words from the anchor on, each followed by a space; left: up to the length - gram words before it, backwards, likewise. Without whole the two aren't given.
     """
@@ -145,9 +145,9 @@ def _suffixes(batches: Iterator[pa.RecordBatch], length: int, gram: int, whole:
             if not rows:
                 continue
             flat, row, at, digest, left, right = zip(*rows)
-            columns = [pa.array(runs[np.array(flat)].view(np.int64)), pa.array(np.array(digest, np.uint64).view(np.int64)), batch.column(0).take(pa.array(row)), pa.array(at, pa.int32())]
+            columns = [pa.array(runs[np.array(flat)].view(np.int64)), pa.array(np.array(digest, np.uint64).view(np.int64)), batch.column(0).take(pa.array(row)), pa.array(at, pa.int32()), batch.column(3).take(pa.array(row))]
             columns += [pa.array(left, pa.binary()), pa.array(right, pa.binary())] if whole else []
-            yield pa.RecordBatch.from_arrays(columns, names=["gram", "context", "id", "at", "left", "right"][: len(columns)])
+            yield pa.RecordBatch.from_arrays(columns, names=["gram", "context", "id", "at", "row_no", "left", "right"][: len(columns)])
 
 
 def _words_of(texts: pa.Array, width: int) -> np.ndarray:
@@ -168,15 +168,17 @@ def _common(words: np.ndarray) -> np.ndarray:
     return np.logical_and.accumulate(same, axis=1).sum(1)
 
 
-def matches(left: pa.Array, right: pa.Array, a: np.ndarray, b: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For different suffixes, sorted, with the least and greatest id that have each: (least words to the left, greatest, least id) of the passages around each that another id has too; -1 without any.
+def matches(left: pa.Array, right: pa.Array, a: np.ndarray, b: np.ndarray, length: int, gram: int, ids: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For different suffixes, sorted, with the least and greatest place that each stands at: (least words to the left, greatest, least id) of the passages around each that stand at another place too; -1 without any.
+
+    ids: the least id of each; without it the places are the ids.
 
     Neighbours' common words cut the suffixes into intervals that share their first words, and the left sides, sorted by
     themselves, into such that share their last words before the anchor. A passage that begins shift words to the left is
     shared by those in one interval of length - shift words to the right that are also in one of shift words to the left, so a
     third suffix between two of them hides nothing.
     """
-    n, span = len(a), length - gram
+    n, span, ids = len(a), length - gram, a if ids is None else ids
     after, before = _words_of(right, length), _words_of(left, max(span, 1))
     n_after, n_before = (after >= 0).sum(1), (before >= 0).sum(1)
     run = _common(after)
@@ -191,24 +193,25 @@ def matches(left: pa.Array, right: pa.Array, a: np.ndarray, b: np.ndarray, lengt
         side = np.empty(n, np.int64)
         side[order] = np.cumsum(run_left < shift)
         _, key = np.unique(interval[whole] * (n + 1) + side[whole], return_inverse=True)
-        least, most = np.full(key.max() + 1, np.iinfo(np.int64).max), np.full(key.max() + 1, np.iinfo(np.int64).min)
+        least, most, least_id = (np.full(key.max() + 1, x) for x in (np.iinfo(np.int64).max, np.iinfo(np.int64).min, np.iinfo(np.int64).max))
         np.minimum.at(least, key, a[whole])
         np.maximum.at(most, key, b[whole])
+        np.minimum.at(least_id, key, ids[whole])
         hit = least[key] < most[key]
         at = whole[hit]
         low[at] = np.where(low[at] < 0, shift, low[at])
         high[at] = shift
-        first[at] = np.minimum(first[at], least[key][hit])
+        first[at] = np.minimum(first[at], least_id[key][hit])
     return low, high, first
 
 
 def _compared(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """(gram, context, left, right, a, b) sorted by gram and right, whole runs in one task, to (gram, context, low, high, first) of those with a match."""
+    """(gram, context, left, right, a, b, id) sorted by gram and right, whole runs in one task, to (gram, context, low, high, first) of those with a match."""
 
     def out(rows: pa.Table) -> pa.RecordBatch:
         rows = rows.combine_chunks()
         left, right = (rows[c].chunk(0) for c in ("left", "right"))
-        low, high, first = matches(left, right, rows["a"].to_numpy(), rows["b"].to_numpy(), length, gram)
+        low, high, first = matches(left, right, rows["a"].to_numpy(), rows["b"].to_numpy(), length, gram, rows["id"].to_numpy())
         at = pa.array(np.flatnonzero(high >= 0))
         columns = [rows["gram"].chunk(0).take(at), rows["context"].chunk(0).take(at)]
         return pa.RecordBatch.from_arrays([*columns, *(pa.array(x).take(at) for x in (low.astype(np.int32), high.astype(np.int32), first))], names=["gram", "context", "low", "high", "first"])
@@ -228,7 +231,7 @@ def _compared(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iter
 
 
 def _passages(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """(gram, context, left, right, a, b) to a row for each passage around the anchor: (gram, context, shift, passage, a, b); passage is the 128-bit digest of its words."""
+    """(gram, context, left, right, a, b, id) to a row for each passage around the anchor: (gram, context, shift, passage, a, b, id); passage is the 128-bit digest of its words."""
     for batch in batches:
         rows: list[tuple] = []
         for k, (left, right) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
@@ -237,15 +240,16 @@ def _passages(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iter
                 rows.append((k, shift, xxhash.xxh3_128_digest(b" ".join([*before[:shift][::-1], *after[: length - shift]]))))
         row, shift, passage = zip(*rows) if rows else ((), (), ())
         row = pa.array(row, pa.int64())
-        c = [batch.column(i).take(row) for i in (0, 1, 4, 5)]
-        yield pa.RecordBatch.from_arrays([c[0], c[1], pa.array(shift, pa.int32()), pa.array(passage, pa.binary()), c[2], c[3]], names=["gram", "context", "shift", "passage", "a", "b"])
+        c = [batch.column(i).take(row) for i in (0, 1, 4, 5, 6)]
+        yield pa.RecordBatch.from_arrays([c[0], c[1], pa.array(shift, pa.int32()), pa.array(passage, pa.binary()), *c[2:]], names=["gram", "context", "shift", "passage", "a", "b", "id"])
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, within: bool = False) -> DataFrame:
     """One row for each maximal stretch of words of a document that is covered by passages of length words standing in another document too: id, start_word, end_word (exclusive), first_id.
 
-    first_id is the least id that has one of those passages; a stretch with first_id equal to its id is the copy to keep. A
-    passage that repeats within one document only is not reported.
+    first_id is the least id that has one of those passages; a stretch with first_id equal to its id is the copy to keep, or repeats what stands
+    elsewhere in its own document. within: passages that only repeat within one document, overlapping or not, or in several
+    rows of one id, are reported too.
 
     Of all suffixes only those at minimiser positions are kept: a position counts if its gram-word run has the least hash of
     some passage around it. Any passage standing twice has such a position at the same distance from its beginning, so a run
@@ -262,14 +266,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     n = parts(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("id is not null")
     anchored = durable(texts.mapInArrow(partial(_anchors, length=length, gram=gram), "gram bigint, id bigint, at array<int>"))
-    twice = anchored.groupBy("gram").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("gram")
+    several = F.sum(F.size("at")) > 1 if within else F.min("id") < F.max("id")
+    twice = anchored.groupBy("gram").agg(several.alias("several")).where("several").select("gram")
     places = durable(anchored.join(twice, "gram").select("id", F.explode("at").alias("at")).groupBy("id").agg(F.collect_set("at").alias("places")))
     discard(anchored)
-    placed = durable(texts.join(places, "id").select("id", "t", "places"))  # read twice
+    placed = durable(texts.join(places, "id").select("id", "t", "places", F.monotonically_increasing_id().alias("row_no")))  # read twice
     discard(places)
-    suffixes = placed.mapInArrow(partial(_suffixes, length=length, gram=gram), "gram bigint, context bigint, id bigint, at int, left binary, right binary")
-    different = durable(suffixes.groupBy("gram", "context", "left", "right").agg(F.min("id").alias("a"), F.max("id").alias("b")))
-    runs = different.groupBy("gram").agg(F.count("*").alias("n"), F.min("a").alias("a"), F.max("b").alias("b"))
+    suffixes = placed.mapInArrow(partial(_suffixes, length=length, gram=gram), "gram bigint, context bigint, id bigint, at int, row_no bigint, left binary, right binary")
+    place = F.xxhash64("row_no", "at") if within else F.col("id")
+    different = durable(suffixes.groupBy("gram", "context", "left", "right").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.min("id").alias("id")))
+    runs = different.groupBy("gram").agg(F.count("*").alias("n"))
     large = durable(runs.where(F.col("n") > block).select(F.col("gram").alias("large_gram")))
     hit = "gram bigint, context bigint, low int, high int, first bigint"
     compare = partial(_compared, length=length, gram=gram)
@@ -279,13 +285,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         # There is one large run for block rows at most; Spark knows the table's size and sends it to all tasks only if it is small.
         of_large = F.col("gram") == F.col("large_gram")
         found = different.join(large, of_large, "left_anti").repartition(n, "gram").sortWithinPartitions("gram", "right").mapInArrow(compare, hit)
-        each = different.join(large, of_large, "left_semi").mapInArrow(partial(_passages, length=length, gram=gram), "gram bigint, context bigint, shift int, passage binary, a bigint, b bigint")
+        each = different.join(large, of_large, "left_semi").mapInArrow(partial(_passages, length=length, gram=gram), "gram bigint, context bigint, shift int, passage binary, a bigint, b bigint, id bigint")
         passage = ["gram", "shift", "passage"]
-        shared = durable(each.groupBy(*passage).agg(F.min("a").alias("first"), F.max("b").alias("last")).where("first < last").drop("last"))
+        shared = durable(each.groupBy(*passage).agg(F.min("a").alias("low"), F.max("b").alias("high"), F.min("id").alias("first")).where("low < high").select(*passage, "first"))
         found = found.unionByName(each.join(shared, passage).groupBy("gram", "context").agg(F.min("shift").alias("low"), F.max("shift").alias("high"), F.min("first").alias("first")))
     found = durable(found)
     discard(different)
-    light = placed.mapInArrow(partial(_suffixes, length=length, gram=gram, whole=False), "gram bigint, context bigint, id bigint, at int")
+    light = placed.mapInArrow(partial(_suffixes, length=length, gram=gram, whole=False), "gram bigint, context bigint, id bigint, at int, row_no bigint")
     # The passages around one anchor overlap, so they make one stretch.
     spans = light.join(found, ["gram", "context"]).groupBy("id", (F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + length).alias("end")).agg(F.min("first").alias("first"))
     own = Window.partitionBy("id").orderBy("start", "end")

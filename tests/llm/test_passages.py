@@ -51,6 +51,44 @@ def test_repeated_passages_like_brute_force(spark, block):
     assert sorted(map(tuple, got.collect())) == brute_repeats(rows, 12)
 
 
+def brute_places(rows, length):
+    """Stretches of passages that stand at more than one place: of one document, of several, or in rows of one id."""
+    where, texts = {}, {}
+    for n, (i, t, *_) in enumerate(rows):
+        if i is not None:
+            w = (t or "").split()
+            texts.setdefault(i, []).append((n, w))
+            for a in range(len(w) - length + 1):
+                where.setdefault(tuple(w[a : a + length]), []).append((i, n, a))
+    out = []
+    for i, ws in texts.items():
+        hits = sorted({(a, min(x[0] for x in where[tuple(w[a : a + length])])) for _, w in ws for a in range(len(w) - length + 1) if len(where[tuple(w[a : a + length])]) > 1})
+        done = []
+        for a, first in hits:
+            if done and done[-1][1] >= a:
+                done[-1] = (done[-1][0], max(done[-1][1], a + length), min(done[-1][2], first))
+            else:
+                done.append((a, a + length, first))
+        out += [(i, *d) for d in done]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block", [2_000, 3])
+def test_repeats_by_place_like_brute_force(spark, block):
+    rnd = random.Random(13)
+    text = lambda n: " ".join(f"w{rnd.randrange(500)}" for _ in range(n))
+    rows = []
+    for i in range(40):
+        a, b = text(rnd.randrange(12, 40)), text(rnd.randrange(10, 14))
+        rows.append((i, " ".join([text(5), a, text(7), a, b, text(3), b][: rnd.randrange(2, 8)]), 1, "p"))
+    twin = text(30)
+    rows += [(100, twin, 1, "p"), (100, twin, 1, "p"), (101, "c " * 40, 1, "p"), (102, "x y " * 9, 1, "p"), (103, rows[0][1] + " end", 1, "p"), (None, twin, 1, "p"), (104, None, 1, "p"), (105, "", 1, "p")]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    got = sorted(map(tuple, suffix_dedup.repeated_passages(docs, length=12, gram=5, block=block, within=True).collect()))
+    assert got == brute_places(rows, 12)
+    assert {100, 101} <= {r[0] for r in got}
+
+
 def test_repeated_passages_empty(spark):
     assert suffix_dedup.repeated_passages(spark.createDataFrame([], DOCS)).count() == 0
 
