@@ -7,13 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.operators import postings, ranking
+from siltstone.operators import postings, ranking, vectors
 from siltstone.operators.lineage import shared_dir
 from siltstone.plans import sqlapi
 from siltstone.plans.engine import Engine
 from siltstone.sources.store import Change, Log
 
-from .catalog import ASKED, ASKED_VECTORS, CHUNKS, EDGES, FLAT, NODES, SEEDS, SYMBOLS, VECTORS, _EDITED, _HYBRID, _dedup_sql, bm25_sql, inputs, query, rrf_sql
+from .catalog import ASKED, ASKED_VECTORS, CHUNKS, EDGES, FLAT, NODES, SEEDS, SYMBOLS, VECTORS, _EDITED, _HYBRID, _dedup_sql, bm25_sql, dense_sql, inputs, query, rrf_sql
 
 
 def new_log(spark: SparkSession) -> Log:
@@ -96,3 +96,21 @@ def graph_lateral(spark, sf_dir):
     sqlapi.register_graph(Engine(spark, chunks, nodes=nodes, edges=edges), name)
     symbols.distinct().createOrReplaceTempView(f"{name}_asked")
     return spark.sql(f"SELECT a.symbol, o.operation, g.* FROM {name}_asked AS a, (SELECT explode(array('callers', 'callees', 'subclasses', 'superclasses')) AS operation) AS o, LATERAL {name}_graph(o.operation, a.symbol) AS g")
+
+
+@query(f"WITH {dense_sql(VECTORS, ASKED_VECTORS, 10)} SELECT query_id, id, score, rank FROM dense")
+def vector_index_exact(spark, sf_dir):
+    """dense_topk from stored cells, those left out whose bound rules them out."""
+    rows, asked = inputs(spark, sf_dir, VECTORS, ASKED_VECTORS)
+    return vectors.store(new_log(spark), rows).search(asked, 10)
+
+
+@query("SELECT count(*) AS n_queries, true AS enough FROM benchmark JOIN embeddings ON vec_id = item_id")
+def vector_index_recall(spark, sf_dir):
+    """Whether as few cells as a calibration says find 0.95 of the exact ten hits of all queries."""
+    rows, asked = inputs(spark, sf_dir, VECTORS, ASKED_VECTORS)
+    index = vectors.store(new_log(spark), rows)
+    probes = index.calibrate(asked.orderBy(F.xxhash64("query_id")).limit(200), 0.97)
+    found = index.search(asked, 10, probes).select("query_id", "id", F.lit(1).alias("found"))
+    exact = ranking.dense(rows, asked, 10).join(found, ["query_id", "id"], "left")
+    return exact.agg(F.countDistinct("query_id").alias("n_queries"), (F.count("found") >= 0.95 * F.count("*")).alias("enough"))

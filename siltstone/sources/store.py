@@ -20,7 +20,7 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 VERSION = 3
 #: Tables that are kept in folders by a column, so that readers can leave most of them unread.
-PARTED = {"blocks": ("bucket",)}
+PARTED = {"blocks": ("bucket",), "cells": ("cell",)}
 #: Segments of a table from which compact() is worth its writing.
 MANY = 20
 

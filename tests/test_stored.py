@@ -155,3 +155,30 @@ def test_data_source_pushes_filters(spark, tmp_path):
     assert old.count() == len(TEXTS) and old.where("content LIKE '%camelCase2 %' AND length(id) > 1").count() == 1
     with pytest.raises(Exception, match="no table nothing"):
         spark.read.format("siltstone").options(index=str(tmp_path), table="nothing").load()
+
+
+def test_vector_index_prunes_and_stays_exact(spark, tmp_path):
+    import numpy as np
+
+    from siltstone.operators import vectors
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(20, 8)) * 4
+    data = [(i, (v / np.linalg.norm(v)).tolist()) for i in range(600) for v in [centres[i % 20] + rng.normal(size=8) * 0.2]] + [(1000 + i, data_0) for i, data_0 in enumerate([[1.0] + [0.0] * 7] * 200)]
+    frame = spark.createDataFrame([*data, (5000, None)], "id bigint, vector array<float>")
+    log = Log(spark, str(tmp_path))
+    index = vectors.store(log, frame, 24)
+    asked = frame.where("id % 50 = 0").selectExpr("id AS query_id", "vector")
+    want = rows(ranking.dense(frame, asked, 5))
+    assert rows(index.search(asked, 5)) == want and want
+    one = asked.limit(1)
+    assert rows(index.search(one, 5)) == rows(ranking.dense(frame, one, 5))
+    assert len(index.read) < len(index.cells), "cells that a bound rules out are not read"
+    files = len(index.blocks(sorted(index.read)).inputFiles()), len(index.blocks().inputFiles())
+    probes = index.calibrate(asked, 0.95, 5)
+    found = {r[:2] for r in rows(index.search(asked, 5, probes).select("query_id", "id"))}
+    assert probes < len(index.cells) and len(found & {r[:2] for r in want}) >= 0.95 * len(want)
+    assert files[1] >= files[0]
+    assert sorted(r.id for r in index.flat().collect()) == sorted(i for i, _ in data)
+    empty = vectors.store(Log(spark, str(tmp_path / "none")), frame.limit(0))
+    assert empty.search(asked).count() == 0
