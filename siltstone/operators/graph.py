@@ -56,12 +56,14 @@ def resolve(raw: DataFrame, index: DataFrame, existing: DataFrame, relation: str
 
     One candidate gives a resolved edge, several an ambiguous edge each, except that a member call with several gives none.
     Edges to itself (unless self_loops) and pairs that exist already are left out; of references for one pair the first stays.
+    Candidates are counted in the index by name, so references need no window, and member calls of names that several have don't meet them.
     """
-    n = F.count("*").over(Window.partitionBy("ref"))
-    refs = raw.distinct().withColumn("ref", F.struct(origin, name, "file", "line"))
-    found = refs.join(index, F.lower(F.col(name)) == F.col("leaf")).withColumn("candidates", n)
+    sized = index.join(index.groupBy("leaf").agg(F.count("*").alias("candidates")), "leaf")
     if member:
-        found = found.where((F.col("candidates") == 1) | ~F.col(member))
+        names = index.groupBy("leaf").agg(F.count("*").alias("n"))
+        lone = raw.where(F.col(member)).join(names.where("n = 1").select("leaf"), F.lower(F.col(name)) == F.col("leaf"), "left_semi")
+        raw = raw.where(~F.col(member)).unionByName(lone)
+    found = raw.join(sized, F.lower(F.col(name)) == F.col("leaf"))
     if not self_loops:
         found = found.where(F.col(origin) != F.col("node_id"))
     base = F.col("base_kind") if "base_kind" in raw.columns else F.lit(None).cast("string")
@@ -179,7 +181,8 @@ def reach(seeds: DataFrame, steps: DataFrame, depth: int) -> DataFrame:
     Level by level: a level holds the nodes that no earlier one has, so cycles and many walks to a node cost nothing extra.
     Each level is cut from its lineage, and the walk ends with the first empty one.
     """
-    level = seeds.select("symbol", "node_id").distinct().withColumn("depth", F.lit(0))
+    level = checkpointed(seeds.select("symbol", "node_id").distinct().withColumn("depth", F.lit(0)))
+    steps = checkpointed(steps) if depth > 1 else steps  # what makes them runs once, not at each level
     out = level
     for d in range(1, depth + 1):
         new = level.join(steps, level.node_id == steps.here).select("symbol", F.col("there").alias("node_id")).distinct()
@@ -228,7 +231,7 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, max_hops
     goals = find_symbols(nodes, pairs.select(F.col("target_symbol").alias("symbol"))).withColumnsRenamed({"symbol": "target_symbol"})
     level = starts.select("source_symbol", "node_id", F.array("node_id").alias("path"))
     out = level
-    steps = edges.select(F.col("source").alias("here"), F.col("target").alias("there"))
+    steps = checkpointed(edges.select(F.col("source").alias("here"), F.col("target").alias("there")))
     for _ in range(max_hops):
         new = level.join(steps, level.node_id == steps.here).groupBy("source_symbol", F.col("there").alias("node_id")).agg(F.min(F.concat("path", F.array("there"))).alias("path"))
         level = checkpointed(new.join(out.select("source_symbol", "node_id"), ["source_symbol", "node_id"], "left_anti"))
@@ -243,7 +246,7 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, max_hops
 def symbol_view(nodes: DataFrame, edges: DataFrame, symbols: DataFrame, depth: int = 2) -> DataFrame:
     """(symbol, id, label, layer, role): seeds at layer 0, callers at negative, callees at positive layers; a node on both sides goes to the nearer one, callers first."""
     seeds = find_symbols(nodes, symbols)
-    calls = edges.where("relation = 'calls'")
+    calls = checkpointed(edges.where("relation = 'calls'").select("source", "target"))
     up = reach(seeds, calls.select(F.col("target").alias("here"), F.col("source").alias("there")), clamp(depth)).withColumn("layer", -F.col("depth"))
     down = reach(seeds, calls.select(F.col("source").alias("here"), F.col("target").alias("there")), clamp(depth)).withColumn("layer", F.col("depth"))
     both = up.unionByName(down).groupBy("symbol", "node_id").agg(F.min(F.struct("depth", "layer")).alias("near"))

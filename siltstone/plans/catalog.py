@@ -15,6 +15,8 @@ from siltstone.functions import text as tx
 from siltstone.operators import analytics, graph, ranking, upkeep
 from siltstone.sources import web
 
+from .engine import Engine
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -50,6 +52,8 @@ EDGES = """SELECT source, target, 'calls' AS relation, 'extracted' AS confidence
 UNION ALL SELECT 'file_' || p_brand, 'fn_' || p_partkey, 'contains', 'extracted', NULL, NULL, NULL, NULL FROM part
 UNION ALL SELECT 'fn_' || p.p_partkey, 'fn_' || q.p_partkey, 'inherits', 'resolved', NULL, 'extends', '/repo/' || p.p_brand || '.py', p.p_size FROM part AS p JOIN part AS q ON q.p_partkey = CAST(floor(p.p_partkey / 3.0) AS BIGINT) WHERE p.p_type = 'ECONOMY' AND q.p_type = 'ECONOMY' AND p.p_partkey <> q.p_partkey
 UNION ALL SELECT DISTINCT 'file_' || p_brand, 'ext_' || r_name, 'imports', 'extracted', lower(r_name), NULL, '/repo/' || p_brand || '.py', 1 FROM part JOIN region ON CAST(substr(p_brand, 7) AS INT) % 5 = r_regionkey"""
+# Every symbol that others inherit from, by its label.
+INHERITED = f"SELECT DISTINCT n.label AS symbol FROM ({NODES}) AS n JOIN ({EDGES}) AS e ON e.target = n.id WHERE e.relation = 'inherits'"
 # Stated query sets: what is asked, against whole tables.
 NAMES = ("old_gear_2", "red_bolt_5", "hot_rod_6", "large_anvil_6", "blue_ring_0", "cold_bolt_3", "BRAND3.blue_b", "no such symbol")
 SYMBOLS = " UNION ALL ".join(f"SELECT '{n}' AS symbol" for n in NAMES)
@@ -303,9 +307,9 @@ def grep_baseline(spark, sf_dir):
 @query(f"WITH {bm25_sql(CHUNKS, ASKED, 5)} SELECT r.query_id, c.source, string_split(c.file_path, '/')[-1] AS file, c.file_path, '' AS symbol, 'text_window' AS kind, CASE WHEN ends_with(file_path, '.py') THEN 'python' WHEN ends_with(file_path, '.java') THEN 'java' WHEN ends_with(file_path, '.cs') THEN 'c_sharp' ELSE 'markdown' END AS language, 1 AS start_line, CAST(1 + length(c.content) - length(replace(c.content, chr(10), '')) AS INT) AS end_line, r.score, c.content FROM bm25 AS r JOIN ({CHUNKS}) AS c USING (id)")
 def v1_hits(spark, sf_dir):
     chunks, asked = inputs(spark, sf_dir, CHUNKS, ASKED)
-    hits = ranking.bm25(chunks, asked, 5).join(chunks, "id")
     lines = 1 + F.length("content") - F.length(F.replace(F.col("content"), F.lit("\n"), F.lit("")))
-    return hits.select("query_id", F.coalesce("source", F.lit("")).alias("source"), tx.basename(F.col("file_path")).alias("file"), "file_path", F.lit("").alias("symbol"), F.lit("text_window").alias("kind"), F.coalesce(tx.language(F.col("file_path"), F.col("content")), F.lit("")).alias("language"), F.lit(1).alias("start_line"), F.coalesce(lines, F.lit(0)).cast("int").alias("end_line"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("content", F.lit("")).alias("content"))
+    told = chunks.withColumns({"symbol_kind": F.lit("text_window"), "language": tx.language(F.col("file_path"), F.col("content")), "start_line": F.lit(1), "end_line": lines})
+    return Engine(spark, told).hit_rows(ranking.bm25(told, asked, 5).join(told, "id"), "query_id")
 
 
 _COLLAPSE = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
@@ -328,7 +332,7 @@ def outline_doc(spark, sf_dir):
 @query(f"SELECT source AS name, 'documents' AS type, '/corpus/' || source AS location, count(*) AS chunk_count, '' AS last_update FROM ({CHUNKS}) GROUP BY source")
 def v1_sources(spark, sf_dir):
     (chunks,) = inputs(spark, sf_dir, CHUNKS)
-    return chunks.groupBy("source").agg(F.count("*").alias("chunk_count")).select(F.col("source").alias("name"), F.lit("documents").alias("type"), F.concat(F.lit("/corpus/"), "source").alias("location"), "chunk_count", F.lit("").alias("last_update"))
+    return Engine(spark, chunks.withColumns({"source_type": F.lit("documents"), "location": F.concat(F.lit("/corpus/"), "source")})).source_table()
 
 
 # ---- graph ----------------------------------------------------------------------------------------------------------
@@ -371,6 +375,16 @@ def subclasses(spark, sf_dir):
     return graph.subclasses(*graph_of(spark, sf_dir), limit=None)
 
 
+_INHERITED_SEEDS = SEEDS.replace(f"asked AS ({SYMBOLS})", f"asked AS ({INHERITED})")
+
+
+@query(_incident_sql("target", "inherits").replace(SEEDS, _INHERITED_SEEDS))
+def subclasses_of_all(spark, sf_dir):
+    """The subclasses of every symbol that has any."""
+    nodes, edges, symbols = inputs(spark, sf_dir, NODES, EDGES, INHERITED)
+    return graph.subclasses(nodes, edges, symbols, limit=None)
+
+
 @query(_incident_sql("source", "inherits"))
 def superclasses(spark, sf_dir):
     return graph.superclasses(*graph_of(spark, sf_dir), limit=None)
@@ -397,6 +411,13 @@ def descendant_closure(spark, sf_dir):
     return graph.descendants(*graph_of(spark, sf_dir), levels=6)
 
 
+@query(f"WITH RECURSIVE {_INHERITED_SEEDS}, {_walk_sql('inherits', 'target', 'source', 6)} SELECT symbol, r.id, label, depth AS level FROM reached AS r JOIN nodes USING (id) WHERE depth > 0")
+def descendants_of_all(spark, sf_dir):
+    """The classes below every symbol that others inherit from."""
+    nodes, edges, symbols = inputs(spark, sf_dir, NODES, EDGES, INHERITED)
+    return graph.descendants(nodes, edges, symbols, levels=6)
+
+
 @query(f"""WITH RECURSIVE {SEEDS}, up AS (SELECT symbol, id, 0 AS depth FROM seeds UNION SELECT w.symbol, e.source, w.depth + 1 FROM up AS w JOIN edges AS e ON e.target = w.id WHERE relation = 'calls' AND w.depth < 2),
 down AS (SELECT symbol, id, 0 AS depth FROM seeds UNION SELECT w.symbol, e.target, w.depth + 1 FROM down AS w JOIN edges AS e ON e.source = w.id WHERE relation = 'calls' AND w.depth < 2),
 b AS (SELECT symbol, id, depth, -depth AS layer FROM up UNION ALL SELECT symbol, id, depth, depth FROM down), r AS (SELECT symbol, id, layer FROM b QUALIFY row_number() OVER (PARTITION BY symbol, id ORDER BY depth, layer) = 1)

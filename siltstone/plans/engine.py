@@ -192,16 +192,22 @@ class Engine:
 
     # ---- rows ----
 
-    def hit_rows(self, hits: DataFrame) -> DataFrame:
-        """Hits in the row format of the interface; missing values become empty strings and zeros."""
+    def hit_rows(self, hits: DataFrame, *more: str) -> DataFrame:
+        """Hits in the row format of the interface, after the columns of more; missing values become empty strings and zeros."""
         has = lambda c, d: F.coalesce(F.col(c), F.lit(d)) if c in hits.columns else F.lit(d)
-        return hits.select(has("source", "").alias("source"), tx.basename(F.col("file_path")).alias("file"), "file_path", has("symbol_name", "").alias("symbol"), has("symbol_kind", "").alias("kind"), has("language", "").alias("language"), has("start_line", 0).cast("int").alias("start_line"), has("end_line", 0).cast("int").alias("end_line"), has("score", 0.0).alias("score"), has("content", "").alias("content"))
+        return hits.select(*more, has("source", "").alias("source"), tx.basename(F.col("file_path")).alias("file"), "file_path", has("symbol_name", "").alias("symbol"), has("symbol_kind", "").alias("kind"), has("language", "").alias("language"), has("start_line", 0).cast("int").alias("start_line"), has("end_line", 0).cast("int").alias("end_line"), has("score", 0.0).alias("score"), has("content", "").alias("content"))
 
     def outline_rows(self, hits: DataFrame) -> DataFrame:
         """Hit rows without the content, with its signature and the first line of its documentation."""
         rows = self.hit_rows(hits)
         return rows.withColumns({"signature": tx.signature_for(F.col("content"), F.col("kind")), "doc": tx.doc_line(F.col("content"))}).drop("content")
 
+    def source_table(self) -> DataFrame:
+        """(name, type, location, chunk_count, last_update) of the sources, in the row format of the interface; what the chunks don't tell is empty."""
+        has = lambda c: F.max(F.col(c).cast("string")) if c in self.chunks.columns else F.lit(None).cast("string")
+        told = [F.coalesce(has(c), F.lit("")).alias(n) for c, n in (("source_type", "type"), ("location", "location"), ("updated_at", "last_update"))]
+        return self.chunks.groupBy(F.col("source").alias("name")).agg(*told, F.count("*").alias("chunk_count")).select("name", "type", "location", "chunk_count", "last_update")
+
     def source_rows(self) -> DataFrame:
         """(name, chunk_count, health, error): the sources, and those that could not be opened."""
         good = self.chunks.groupBy(F.col("source").alias("name")).agg(F.count("*").alias("chunk_count")).withColumns({"health": F.lit("ok"), "error": F.lit(None).cast("string")})

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as tx
 from siltstone.operators import graph, ranking, upkeep
-from siltstone.sources import files
+from siltstone.sources import files, pdf
 
-from .catalog import ASKED, CHUNKS, CODE, EDGES, FLAT, NODES, SEEDS, SYMBOLS, bm25_sql, graph_of, inputs, query
+from .catalog import _HEAD, _PREVIEW, ASKED, CHUNKS, CODE, EDGES, FLAT, NODES, SEEDS, SYMBOLS, bm25_sql, graph_of, inputs, query
 
 _SUFFIX = "SELECT doc_id, 'dir/' || source || CASE doc_id % 8 WHEN 0 THEN '/a.PY' WHEN 1 THEN '/b.tar.go' WHEN 2 THEN '/.hidden' WHEN 3 THEN '/plain' WHEN 4 THEN '/x.h' WHEN 5 THEN '/m.h' WHEN 6 THEN '/w.zzz' ELSE '/k.Tsx' END AS path, CASE WHEN doc_id % 8 = 5 THEN '@interface X' ELSE 'int x;' END AS content FROM documents"
 
@@ -103,7 +103,20 @@ def node_upsert(spark, sf_dir):
 @query("SELECT doc_id, 'page_' || lpad(CAST(doc_id % 9999 + 1 AS VARCHAR), 4, '0') || '.md' AS file FROM documents")
 def page_names(spark, sf_dir):
     (docs,) = inputs(spark, sf_dir, "SELECT doc_id FROM documents")
-    return docs.select("doc_id", F.format_string("page_%04d.md", F.col("doc_id") % 9999 + 1).alias("file"))
+    return docs.select("doc_id", pdf.page_file(F.col("doc_id") % 9999 + 1).alias("file"))
+
+
+_PAGED = r"SELECT '/pdf/' || doc_id || '.pdf' AS path, text FROM documents"
+
+
+@query(rf"""WITH p AS (SELECT path, unnest(string_split(coalesce(text, ''), chr(10))) AS text, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS page FROM ({_PAGED}) WHERE length(coalesce(text, '')) >= 100)
+SELECT path, CAST(page AS INT) AS page, 'page_' || lpad(CAST(page AS VARCHAR), 4, '0') || '.md' AS file, text FROM p""")
+def pdf_pages(spark, sf_dir):
+    """Pages of files, those with too little text left out; a line of a document stands for a page."""
+    (docs,) = inputs(spark, sf_dir, _PAGED)
+    read = docs.select("path", F.split(F.coalesce("text", F.lit("")), "\n").alias("pages"), F.char_length(F.coalesce("text", F.lit(""))).alias("n_chars"))
+    told = read.withColumns({"encrypted": F.lit(False), "size_mb": F.lit(0.1), "total_pages": F.size("pages"), "error": F.lit(None).cast("string")})
+    return pdf.page_rows(told.withColumn("status", pdf.status_of(max_pages=1 << 30)))
 
 
 _NEW_NAMES = "SELECT p_partkey AS id, ' _' || p_brand || '..' || p_name || '__ ' || p_type || '.' AS raw FROM part"
@@ -125,4 +138,15 @@ def savings_model(spark, sf_dir):
 @query("SELECT user_id, event_id, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 3")
 def last_feedback(spark, sf_dir):
     (events,) = inputs(spark, sf_dir, "SELECT user_id, event_id, ts FROM events")
-    return events.withColumn("nth", F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("event_id").desc()))).where("nth <= 3").drop("nth")
+    return upkeep.last_of(events.withColumn("event_id", -F.col("event_id")), "user_id", "ts", 3).withColumn("event_id", -F.col("event_id"))
+
+
+_DOC = """substr(trim(CASE WHEN contains(content, chr(34) || chr(34) || chr(34)) THEN regexp_extract(regexp_extract(content, '(?s)\"\"\"(.*?)\"\"\"', 1), '^\\s*([^\\n]*)', 1) ELSE regexp_extract(content, '(?m)^\\s*///\\s?(.*)$', 1) END), 1, 200)"""
+
+
+@query(f"""WITH o AS (SELECT length(coalesce(content, '')) // 4 AS whole, length(CASE WHEN {_HEAD} = '' THEN {_PREVIEW} ELSE substr({_HEAD}, 1, 400) END || ' ' || coalesce({_DOC}, '')) // 4 AS outline FROM ({CODE}))
+SELECT CAST(sum(whole) AS BIGINT) AS full_tokens, CAST(sum(outline) AS BIGINT) AS outline_tokens, round(1 - sum(outline) / CAST(sum(whole) AS DOUBLE), 6) AS saved FROM o""")
+def outline_savings(spark, sf_dir):
+    """Tokens of whole bodies and of their outlines, and what the outlines save."""
+    (code,) = inputs(spark, sf_dir, CODE)
+    return upkeep.outline_savings(code)

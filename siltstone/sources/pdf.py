@@ -55,10 +55,15 @@ def extract(files: DataFrame, extractor: Callable[[bytes], list[str]], max_mb: f
     return rows.withColumn("status", F.when(F.col("error").isNotNull() & ~F.col("encrypted"), "error").otherwise(status_of(max_mb)))
 
 
+def page_file(page: Column) -> Column:
+    """The name of a page's file."""
+    return F.format_string("page_%04d.md", page)
+
+
 def page_rows(extracted: DataFrame) -> DataFrame:
     """(path, page, file, text) of the pages of files that are ok, from page 1, with the name of each page's file."""
     each = extracted.where("status = 'ok'").select("path", F.posexplode("pages").alias("nth", "text"))
-    return each.select("path", (F.col("nth") + 1).alias("page"), F.format_string("page_%04d.md", F.col("nth") + 1).alias("file"), "text")
+    return each.select("path", (F.col("nth") + 1).alias("page"), page_file(F.col("nth") + 1).alias("file"), "text")
 
 
 def refresh_pages(stored: DataFrame, extracted: DataFrame) -> DataFrame:
