@@ -238,3 +238,33 @@ def test_rows_that_share_an_identifier(spark):
     kept = sorted(((r.doc_id, r.text) for r in simhash.drop_similar(docs).collect()), key=str)
     first = min(long, replaced(long, [50]))
     assert kept == sorted([(5, first), (5, "a b c d e f g h"), (4, "x y z"), (9, "q r s"), (None, "q r s")], key=str)
+
+
+def test_band_links_in_blocks_like_one_group(spark):
+    """Groups of near copies and of strangers that share a band, dealt into blocks or not: the same components."""
+    import random
+
+    rnd = random.Random(6)
+    sets = []
+    for _ in range(12):
+        base = [rnd.getrandbits(64) for _ in range(120)]
+        for _ in range(6):
+            sets.append(np.array(sorted({*base[rnd.randrange(12) :], rnd.getrandbits(64)}), np.uint64))
+    rows = []
+    for i, hashes in enumerate(sets):
+        own, sketch = simhash.bands(hashes)
+        rows.append((i, [int(np.uint64(b).astype(np.int64)) for b in own[:6]] + [7], bytearray(sketch)))
+    nodes = spark.createDataFrame(rows, "node bigint, bands array<bigint>, sketch binary")
+    roots = []
+    for block in (1_000, 10):
+        found = {r.node: r.root for r in components(simhash.band_links(nodes, block)).collect()}
+        roots.append([found.get(i, i) for i in range(len(sets))])
+    assert roots[0] == roots[1] == [i // 6 * 6 for i in range(len(sets))], "the band that all share brings no strangers together"
+
+
+def test_drop_similar_with_clashing_columns(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, 5, "g", 6), (1, text, 5, "g", 6), (2, text + " end", 5, "g", 6), (3, "other words", 5, "g", 6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, __node int, __gone string, __nth int")
+    out = simhash.drop_similar(docs)
+    assert out.columns == docs.columns and sorted((r.doc_id, r["__gone"]) for r in out.collect()) == [(1, "g"), (3, "g")]
