@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import text as tx
 
 from .lineage import checkpointed
+from .trigrams import containing
 
 NODE = ["id", "label", "kind", "subkind", "file", "start_line", "end_line", "lang_key"]
 EDGE = ["source", "target", "relation", "confidence", "module", "base_kind", "from_file", "from_line"]
@@ -107,7 +108,7 @@ def find_symbols(nodes: DataFrame, symbols: DataFrame) -> DataFrame:
     keys = pool.select("node_id", F.explode(F.array_distinct(F.array("low", "leaf"))).alias("needle"))
     exact = needles.join(keys, "needle").select("symbol", "node_id")
     rest = needles.join(exact.select("symbol").distinct(), "symbol", "left_anti")
-    fuzzy = pool.join(rest, F.contains(F.col("low"), F.col("needle"))).select("symbol", "node_id")
+    fuzzy = containing(pool, "low", rest, "needle").select("symbol", "node_id")
     return exact.unionByName(fuzzy)
 
 
@@ -155,7 +156,9 @@ def superclasses(nodes: DataFrame, edges: DataFrame, symbols: DataFrame, limit:
 def nodes_in_file(nodes: DataFrame, files: DataFrame) -> DataFrame:
     """(asked, node columns): definitions in files whose path contains the asked piece, case and slashes aside."""
     needles = files.select("asked", F.lower(tx.slashes(F.col("asked"))).alias("needle")).where("trim(needle) <> ''")
-    return nodes.where(F.col("kind").isin(*DEFINITIONS)).join(needles, F.contains(F.lower(tx.slashes(F.col("file"))), F.col("needle"))).select("asked", *NODE)
+    files_of = nodes.where(F.col("kind").isin(*DEFINITIONS)).select("file", F.lower(tx.slashes(F.col("file"))).alias("low")).distinct()
+    hit = containing(files_of, "low", needles, "needle").select("asked", "file")
+    return nodes.where(F.col("kind").isin(*DEFINITIONS)).join(hit, "file").select("asked", *NODE)
 
 
 def imports(nodes: DataFrame, edges: DataFrame, symbols: DataFrame, limit: int | None = 100) -> DataFrame:
@@ -164,7 +167,7 @@ def imports(nodes: DataFrame, edges: DataFrame, symbols: DataFrame, limit: int |
     files = nodes.where("kind = 'file'").select(F.col("id").alias("source"), F.col("file").alias("path"), "label")
     by_symbol = seeds.join(nodes.select(F.col("id").alias("node_id"), F.col("file").alias("path")), "node_id").join(files, "path").select("symbol", "source").distinct()
     rest = symbols.join(by_symbol.select("symbol").distinct(), "symbol", "left_anti").withColumn("needle", F.lower(tx.slashes(F.trim("symbol")))).where("needle <> ''")
-    by_path = files.join(rest, F.contains(F.lower(tx.slashes(F.concat_ws(" ", "path", "label"))), F.col("needle"))).select("symbol", "source").distinct()
+    by_path = containing(files.withColumn("low", F.lower(tx.slashes(F.concat_ws(" ", "path", "label")))), "low", rest, "needle").select("symbol", "source").distinct()
     hit = edges.where(F.col("relation").isin("imports", "imports_from")).join(by_symbol.unionByName(by_path), "source").select("symbol", *EDGE).distinct()
     return limited(flat_edges(hit, nodes, "symbol"), limit)
 
@@ -259,7 +262,7 @@ def module_summary(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> Data
     """(asked, n_symbols, n_imports, dependents): what is in the files, what they import, and the other files that call into them, sorted."""
     inside = nodes_in_file(nodes, files)
     needles = files.withColumn("needle", F.lower(tx.slashes(F.col("asked")))).where("trim(needle) <> ''")
-    own = nodes.where("kind = 'file'").join(needles, F.contains(F.lower(tx.slashes(F.col("file"))), F.col("needle"))).select("asked", F.col("id").alias("source"))
+    own = containing(nodes.where("kind = 'file'").withColumn("low", F.lower(tx.slashes(F.col("file")))), "low", needles, "needle").select("asked", F.col("id").alias("source"))
     taken = edges.where(F.col("relation").isin("imports", "imports_from")).join(own, "source").groupBy("asked").agg(F.count("*").alias("n_imports"))
     place = nodes.select(F.col("id").alias("source"), F.col("file").alias("from"))
     users = edges.where("relation = 'calls'").join(inside.select("asked", F.col("id").alias("target"), F.col("file").alias("own")), "target").join(place, "source").where("from <> own")
@@ -273,7 +276,7 @@ def module_view(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> DataFra
     """(asked, id, label, layer, role): a module's symbols at layer 0, what its files import at -1, callers from other files at 1."""
     inside = nodes_in_file(nodes, files)
     needles = files.withColumn("needle", F.lower(tx.slashes(F.col("asked")))).where("trim(needle) <> ''")
-    own = nodes.where("kind = 'file'").join(needles, F.contains(F.lower(tx.slashes(F.col("file"))), F.col("needle"))).select("asked", F.col("id").alias("source"))
+    own = containing(nodes.where("kind = 'file'").withColumn("low", F.lower(tx.slashes(F.col("file")))), "low", needles, "needle").select("asked", F.col("id").alias("source"))
     row = lambda df, layer, role: df.select("asked", "id", F.lit(layer).alias("layer"), F.lit(role).alias("role")).distinct()
     seeds = row(inside, 0, "seed")
     taken = row(edges.where(F.col("relation").isin("imports", "imports_from")).join(own, "source").withColumnRenamed("target", "id"), -1, "import")

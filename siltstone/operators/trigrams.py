@@ -1,0 +1,32 @@
+"""Substring look-ups by join: texts and needles meet in the needles' rarest trigrams, then the needle itself decides."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+SIZE = 3
+
+
+def grams(text: Column, size: int = SIZE) -> Column:
+    """The different runs of size characters of a text; none of one with fewer."""
+    n = F.char_length(text)
+    each = F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.substring(text, i, size))
+    return F.when(n >= size, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
+
+
+def containing(texts: DataFrame, text: str, needles: DataFrame, needle: str) -> DataFrame:
+    """The rows of texts.join(needles, contains(text, needle)), without its nested loop over all pairs.
+
+    Of each needle the gram that the fewest texts have is looked up; of the texts' grams only those that needles have, which meet them by a join, are
+    counted and kept. A needle shorter than a gram is one itself. Empty needles are in every text and give no rows here, nulls match nothing.
+    """
+    own = F.col(needle)
+    asked = needles.select(own.alias("__needle")).where("__needle <> ''").distinct()
+    asked = asked.select("__needle", F.explode(F.when(F.char_length("__needle") < SIZE, F.array("__needle")).otherwise(grams(F.col("__needle")))).alias("__gram"))
+    every = F.concat(*[grams(F.col(text), n) for n in range(1, SIZE + 1)])
+    held = texts.withColumn("__gram", F.explode(every)).join(asked.select("__gram").distinct(), "__gram", "left_semi")
+    counts = held.groupBy("__gram").agg(F.count("*").alias("__n"))
+    rarest = asked.join(counts, "__gram").groupBy("__needle").agg(F.min_by("__gram", F.struct("__n", "__gram")).alias("__gram"))
+    met = held.join(rarest, "__gram").where(F.contains(F.col(text), F.col("__needle"))).drop("__gram")
+    return met.join(needles.withColumn("__needle", own), "__needle").drop("__needle")

@@ -37,6 +37,26 @@ def read_files(spark: SparkSession, root: str, extensions: list[str], ignored: l
     return kept.select("path", tx.basename(F.col("path")).alias("file_name"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"), F.sha2("content", 256).alias("sha256"))
 
 
+def contents(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, content) of files by name, decoded as in read_files; paths as read_files gives them."""
+    if not paths:
+        return spark.createDataFrame([], "path string, content string")
+    found = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(paths)
+    return found.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+
+
+def paths_below(spark: SparkSession, root: str) -> DataFrame:
+    """(path) of all files below root; none is opened."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+
+
+def write_feedback(records: DataFrame, path: str) -> None:
+    """Appends records(at, trying_to_do, tried, stuck, sources) as JSON lines; fields that are missing are null, and a record without a time gets the present one."""
+    has = lambda c, kind: F.col(c) if c in records.columns else F.lit(None).cast(kind)
+    at = F.coalesce(has("at", "string"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"))
+    json_lines(records.select(at.alias("at"), *[has(c, "string").alias(c) for c in ("trying_to_do", "tried", "stuck")], has("sources", "array<string>").alias("sources"))).write.mode("append").text(path)
+
+
 def read_feedback(spark: SparkSession, path: str) -> DataFrame:
     """Feedback records from JSON lines; lines that aren't such records are left out."""
     schema = "at string, trying_to_do string, tried string, stuck string, sources array<string>"

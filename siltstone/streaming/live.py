@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from siltstone.operators import postings
 from siltstone.operators.lineage import checkpointed
@@ -30,23 +30,50 @@ def debounce(events: DataFrame, quiet: str = "2 seconds", late: str = "10 second
     return burst.select("path", "action", F.col("last").alias("at"), "n_events")
 
 
-def _wait(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, quiet_ms: int) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        action, n = state.get
-        state.remove()
+class Burst(StatefulProcessor):
+    """The last action of a path and how many events it stands for, held until quiet_ms have passed without another; each event sets the timer anew."""
+
+    def __init__(self, quiet_ms: int):
+        self.quiet_ms = quiet_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.burst = handle.getValueState("burst", "action string, at timestamp, n_events bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        action, at, n = self.burst.get() if self.burst.exists() else (None, None, 0)
+        for frame in rows:
+            if len(frame):
+                last = frame.loc[frame["at"].idxmax()]
+                if at is None or last["at"] >= pd.Timestamp(at):
+                    action, at = last["action"], last["at"].to_pydatetime()
+                n += len(frame)
+        self.burst.update((action, at, n))
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.quiet_ms)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        action, _, n = self.burst.get()
+        self.burst.clear()
         yield pd.DataFrame({"path": [key[0]], "action": [action], "n_events": [n]})
-        return
-    action, n = state.get if state.exists else (None, 0)
-    for f in frames:
-        if len(f):
-            action, n = f.sort_values("at")["action"].iloc[-1], n + len(f)
-    state.update((action, n))
-    state.setTimeoutDuration(quiet_ms)
+
+    def close(self) -> None:
+        pass
 
 
 def debounce_by_clock(events: DataFrame, quiet_ms: int = 2_000) -> DataFrame:
-    """(path, action, n_events) by processing time: an event waits for quiet_ms without another for its path; a new one starts the wait again."""
-    return events.groupBy("path").applyInPandasWithState(lambda k, f, s: _wait(k, f, s, quiet_ms), "path string, action string, n_events bigint", "action string, n_events bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    """(path, action, n_events) by processing time: an event waits for quiet_ms without another for its path; a new one starts the wait again.
+
+    What waits is kept in the stream's state with its timer, so a restart in between loses nothing. Only a path's last action is held. The session's state store is to be RocksDB, see with_timers.
+    """
+    return events.groupBy("path").transformWithStateInPandas(Burst(quiet_ms), "path string, action string, n_events bigint", "append", "processingTime")
+
+
+def with_timers(spark: SparkSession) -> None:
+    """Gives the session the state store that timers need."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def apply_changes(stored: DataFrame, changes: DataFrame, chunker: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -56,20 +83,24 @@ def apply_changes(stored: DataFrame, changes: DataFrame, chunker: Callable[[Data
     return stored.join(last.select(F.col("path").alias("file_path")), "file_path", "left_anti").unionByName(fresh.select(*stored.columns))
 
 
+def commit_batch(batch: DataFrame, number: int, log: Log, chunker: Callable[[DataFrame], DataFrame], stream: str = "files", compact_at: int = MANY) -> None:
+    """Commits one batch of (path, at, action, content) to the log's chunks and postings: the changed files' own chunks and the keys of what goes."""
+    last = checkpointed(batch.groupBy("path").agg(F.max_by(F.struct("action", "content"), "at").alias("c")).select("path", "c.*"))
+    if last.isEmpty():
+        return
+    fresh = checkpointed(chunker(last.where("action = 'update' and content is not null").select("path", "content")))
+    paths, state = last.select(F.col("path").alias("file_path")), log.state()
+    gone = checkpointed(log.table("chunks", state).join(paths, "file_path", "left_semi").select("id", "content")) if state and "chunks" in state.tables else None
+    log.commit({"chunks": Change(fresh, paths, "file_path"), **postings.changes(fresh, gone)}, stream=stream, batch=number)
+    if len(log.state().tables["chunks"]) >= compact_at:
+        log.compact("chunks")
+
+
 def keep_live(events: DataFrame, log: Log, chunker: Callable[[DataFrame], DataFrame], checkpoint: str, stream: str = "files", compact_at: int = MANY):
-    """Starts a query that commits each batch of changes to the log's chunks and postings: the changed files' own chunks and the keys of what goes.
+    """Starts a query that commits each batch of changes to the log.
 
     What a batch writes grows with its files, not with the table; readers keep the commit they opened. A batch that runs again is known by its number and
     passed over. From compact_at segments on the chunks are merged into one.
     """
-
-    def one(batch: DataFrame, number: int) -> None:
-        last = checkpointed(batch.groupBy("path").agg(F.max_by(F.struct("action", "content"), "at").alias("c")).select("path", "c.*"))
-        fresh = checkpointed(chunker(last.where("action = 'update' and content is not null").select("path", "content")))
-        paths, state = last.select(F.col("path").alias("file_path")), log.state()
-        gone = checkpointed(log.table("chunks", state).join(paths, "file_path", "left_semi").select("id", "content")) if state and "chunks" in state.tables else None
-        log.commit({"chunks": Change(fresh, paths, "file_path"), **postings.changes(fresh, gone)}, stream=stream, batch=number)
-        if len(log.state().tables["chunks"]) >= compact_at:
-            log.compact("chunks")
-
-    return events.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    each = lambda batch, number: commit_batch(batch, number, log, chunker, stream, compact_at)
+    return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

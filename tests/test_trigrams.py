@@ -1,0 +1,27 @@
+import random
+
+from siltstone.operators import graph
+from siltstone.operators.trigrams import containing
+
+
+def test_like_a_nested_loop(spark):
+    rnd = random.Random(3)
+    word = lambda n: "".join(rnd.choice("abcé_") for _ in range(n))
+    texts = [(i, word(rnd.randrange(0, 30))) for i in range(300)] + [(400, None), (401, ""), (402, "ab" * 500)]
+    needles = [(i, word(rnd.randrange(1, 6))) for i in range(60)] + [(90, None), (91, ""), (92, "zzz"), (93, "ab"), (94, "ab"), (95, texts[5][1])]
+    a, b = spark.createDataFrame(texts, "id int, t string"), spark.createDataFrame(needles, "n int, needle string")
+    got = containing(a, "t", b, "needle")
+    want = sorted((i, n) for i, t in texts for n, x in needles if t is not None and x and x in t)
+    assert sorted((r.id, r.n) for r in got.collect()) == want
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    assert containing(a, "t", b.limit(0), "needle").count() == containing(a.limit(0), "t", b, "needle").count() == 0
+
+
+def test_look_ups_have_no_nested_loop(spark):
+    node = "id string, label string, kind string, subkind string, file string, start_line int, end_line int, lang_key string"
+    nodes = spark.createDataFrame([("f", "a.py", "file", "module", "/r/a.py", 1, 9, "python"), ("x", "Alpha.run", "function", "def", "/r/a.py", 2, 3, "python")], node)
+    edges = spark.createDataFrame([("f", "x", "imports", "extracted", "m", None, "/r/a.py", 1)], "source string, target string, relation string, confidence string, module string, base_kind string, from_file string, from_line int")
+    files = spark.createDataFrame([("A.PY",)], "asked string")
+    for df, n in ((graph.find_symbols(nodes, graph.asked(spark, "lph")), 1), (graph.nodes_in_file(nodes, files), 1), (graph.imports(nodes, edges, graph.asked(spark, "a.p")), 1)):
+        assert df.count() == n
+        assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
