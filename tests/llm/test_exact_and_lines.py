@@ -55,3 +55,14 @@ def test_line_dedup_salted_equals_broadcast(spark, monkeypatch):
     one = sorted(map(tuple, line_dedup(docs).collect()))
     monkeypatch.setattr(m, "BROADCAST_RULES", 0)
     assert sorted(map(tuple, line_dedup(docs).collect())) == one
+
+
+def test_line_dedup_with_clashing_columns_and_a_long_text(spark):
+    long = "\n".join(f"line {i}" for i in range(200_000))
+    rows = [(i, f"Menu\nown {i}" if i else f"Menu\n{long}", "a", [f"k{i}"], "r", 7, "h", 3) for i in range(20)]
+    docs = spark.createDataFrame(rows, DOCS + ", __kept_lines array<string>, __rule_lines string, __rule_salt int, __rule_host string, __doc_salt int")
+    out = line_dedup(docs, ratio=0.2, min_pages=10)
+    assert out.columns == docs.columns + ["n_lines", "n_dropped"]
+    for r in out.collect():
+        assert r.text == (f"own {r.doc_id}" if r.doc_id else long) and r.n_dropped == 1
+        assert (r["__kept_lines"], r["__rule_lines"], r["__rule_salt"], r["__rule_host"], r["__doc_salt"]) == ([f"k{r.doc_id}"], "r", 7, "h", 3)
