@@ -17,7 +17,7 @@ from .common import discard, durable, parts
 #: Bytes that stand in no word become a space, A-Z become a-z; digits, letters and all bytes over 127 stay.
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 #: Features that a task turns into one Arrow batch at most, so that a run of long texts doesn't pile up.
-BATCH_FEATURES = 2_000_000
+BATCH_FEATURES = 200_000
 
 
 def words_of(text: str) -> list[bytes]:
