@@ -18,6 +18,8 @@ from .common import discard, durable, parts
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 #: Features that a task turns into one Arrow batch at most, so that a run of long texts doesn't pile up.
 BATCH_FEATURES = 200_000
+#: Texts that a task weighs at a time.
+TEXTS = 500
 
 
 def words_of(text: str) -> list[bytes]:
@@ -35,12 +37,12 @@ def feature_codes(words: list[bytes], orders: int = 2) -> np.ndarray:
 
 def _features(batches: Iterator[pa.RecordBatch], buckets: int, orders: int) -> Iterator[pa.RecordBatch]:
     """(digest, copies, text) to (digest, copies, n_words, n_features, bucket, times): the buckets that a text has, ascending, and how often."""
-    kinds = {"n_words": pa.int64(), "n_features": pa.int64(), "bucket": pa.list_(pa.int32()), "times": pa.list_(pa.int64())}
+    kinds = {"n_words": pa.int64(), "n_features": pa.int64(), "bucket": pa.list_(pa.int32()), "times": pa.list_(pa.int32())}
 
     def made(at: list[int], batch: pa.RecordBatch, own: list) -> pa.RecordBatch:
         offsets = pa.array(np.cumsum([0] + [len(b) for *_, b, _ in own]), pa.int32())
         flat = [np.concatenate([r[i] for r in own]) for i in (2, 3)]
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(x, k)) for x, k in zip(flat, (pa.int32(), pa.int64()))]
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x, k)) for x, k in zip(flat, (pa.int32(), pa.int32()))]
         kept = batch.select([0, 1]).take(pa.array(at, pa.int64()))
         return pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), *[pa.array([r[i] for r in own], pa.int64()) for i in (0, 1)], *lists], names=["digest", "copies", *kinds])
 
@@ -68,7 +70,7 @@ def distinct_features(docs: DataFrame, text_col: str = "text", buckets: int = 10
     """
     once = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).groupBy("text").agg(F.count("*").alias("copies"))
     keyed = once.select(digest_of(F.col("text")).alias("digest"), "copies", "text")
-    return keyed.mapInArrow(partial(_features, buckets=buckets, orders=orders), "digest binary, copies bigint, n_words bigint, n_features bigint, bucket array<int>, times array<bigint>")
+    return keyed.mapInArrow(partial(_features, buckets=buckets, orders=orders), "digest binary, copies bigint, n_words bigint, n_features bigint, bucket array<int>, times array<int>")
 
 
 def digest_of(text: Column) -> Column:
@@ -78,7 +80,7 @@ def digest_of(text: Column) -> Column:
 def bucket_counts(features: DataFrame) -> DataFrame:
     """(bucket, n) over all rows that the texts stand for; tasks add up before the exchange, and there is one row a bucket."""
     each = features.select("copies", F.explode(F.arrays_zip("bucket", "times")).alias("f"))
-    return each.groupBy(F.col("f.bucket").alias("bucket")).agg(F.sum(F.col("copies") * F.col("f.times")).alias("n"))
+    return each.groupBy(F.col("f.bucket").alias("bucket")).agg(F.sum(F.col("copies") * F.col("f.times").cast("long")).alias("n"))
 
 
 def bucket_gains(source: DataFrame, target: DataFrame, buckets: int = 10_000) -> np.ndarray:
@@ -101,9 +103,9 @@ def bucket_gains(source: DataFrame, target: DataFrame, buckets: int = 10_000) ->
 
 def _weights(batches: Iterator[pa.RecordBatch], gains: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(digest, copies, n_words, n_features, bucket, times) to (digest, copies, n_words, n_features, weight)."""
-    for batch in batches:
+    for batch in (whole.slice(at, TEXTS) for whole in batches for at in range(0, whole.num_rows, TEXTS)):
         bucket, times = batch.column(4), batch.column(5)
-        ends = np.append(0, np.cumsum(gains[bucket.flatten().to_numpy()] * times.flatten().to_numpy()))
+        ends = np.append(0, np.cumsum(gains[bucket.flatten().to_numpy()] * times.flatten().to_numpy().astype(np.int64)))
         lengths = bucket.value_lengths().to_numpy()
         edge = np.append(0, np.cumsum(lengths))
         sums = ends[edge[1:]] - ends[edge[:-1]]
