@@ -58,10 +58,9 @@ def resolve(raw: DataFrame, index: DataFrame, existing: DataFrame, relation: str
     Edges to itself (unless self_loops) and pairs that exist already are left out; of references for one pair the first stays.
     Candidates are counted in the index by name, so references need no window, and member calls of names that several have don't meet them.
     """
-    sized = index.join(index.groupBy("leaf").agg(F.count("*").alias("candidates")), "leaf")
+    sized = checkpointed(index.join(index.groupBy("leaf").agg(F.count("*").alias("candidates")), "leaf"))  # read twice
     if member:
-        names = index.groupBy("leaf").agg(F.count("*").alias("n"))
-        lone = raw.where(F.col(member)).join(names.where("n = 1").select("leaf"), F.lower(F.col(name)) == F.col("leaf"), "left_semi")
+        lone = raw.where(F.col(member)).join(sized.where("candidates = 1").select("leaf"), F.lower(F.col(name)) == F.col("leaf"), "left_semi")
         raw = raw.where(~F.col(member)).unionByName(lone)
     found = raw.join(sized, F.lower(F.col(name)) == F.col("leaf"))
     if not self_loops:
