@@ -225,8 +225,7 @@ def top_k(index: PivotIndex, queries: DataFrame, k: int = 10) -> DataFrame:
         grouped = with_floor.select("pivot", "tile", "id", "vector", floors.alias("floor")).groupBy("pivot", "tile").agg(F.collect_list(F.struct("id", "vector", "floor")).alias("q"))
         tiles = grouped.select(F.col("q.id").alias("ids"), F.flatten("q.vector").alias("queries"), F.col("q.floor").alias("floor"))
         pairs = tiles.mapInArrow(partial(_open, index=_directory(index), since=since, until=until), "ring int, slice int, query_ids array<bigint>, queries array<int>, floor array<double>")
-        met = pairs.join(index.blocks, ["ring", "slice"]).select("query_ids", "queries", "floor", "ids", "vectors")
-        hits = met.mapInArrow(partial(_hits, width=index.width, k=k), "query_id bigint, vec_id bigint, score bigint")
+        hits = _met(pairs, index.blocks).mapInArrow(partial(_hits, width=index.width, k=k), "query_id bigint, vec_id bigint, score bigint")
         hits = hits if best is None else best.select("query_id", "vec_id", "score").unionByName(hits)
         found = durable(_ranked(hits, k))
         if best is not None:
@@ -241,6 +240,11 @@ def _directory(index: PivotIndex) -> PivotIndex:
     return PivotIndex(index.width, index.pivots, index.of_pivot, index.low, index.high, index.square, index.slices, None)
 
 
+def _met(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Pairs with their blocks, always by a merge: Spark takes pairs for as small as the tiles they are made of, and would send them through the driver to all tasks."""
+    return pairs.hint("merge").join(blocks, ["ring", "slice"]).select("query_ids", "queries", "floor", "ids", "vectors")
+
+
 def _ranked(hits: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc())
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -78,3 +78,10 @@ def test_bounds_hold_and_close_annuli(spark, small_blocks):
     read = sum((upper[n] >= least[q]).sum() for n, q in enumerate(sorted(least)))
     assert read < 0.5 * upper.size, "clustered vectors leave most annuli unread"
     assert found(spark, rows) == plain(rows)
+
+
+def test_pairs_are_not_broadcast(spark):
+    pairs = spark.range(3).selectExpr("int(id) AS ring", "0 AS slice", "array(id) AS query_ids", "array(1) AS queries", "array(0D) AS floor")
+    blocks = spark.range(3).selectExpr("int(id) AS ring", "0 AS slice", "array(id) AS ids", "array(1) AS vectors")
+    plan = m._met(pairs, blocks)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
