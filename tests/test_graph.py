@@ -162,3 +162,27 @@ def test_communities_of_a_large_component(spark):
     rows = [edge(x, y, "calls") for x in names for y in names if x < y and x[0] == y[0]] + [edge("a000", "b000", "calls")]
     found = analytics.communities(nodes, spark.createDataFrame(rows, EDGE)).collect()
     assert len(rows) > 20_000 and sorted((r.community, r["size"]) for r in found) == [("a000", 150), ("b000", 150)]
+
+
+def test_pairs_of_references_are_not_exchanged(spark):
+    index = spark.createDataFrame([("f", f"n{i}") for i in range(2_500)] + [("g", "lone")], "leaf string, node_id string")
+    raw = spark.createDataFrame([("n0", "F", "b", 2), ("n0", "f", "a", 1), (None, "g", "c", 3), ("x", "none", "c", 3)], "origin string, name string, file string, line int")
+    existing = spark.createDataFrame([("n0", "n1"), ("n0", "lone")], "source string, target string")
+    found = graph.resolve(raw, index, existing, "calls", "name", "origin")
+    assert "keys=[source" not in found._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin")[0]
+    rows = {(r.source, r.target, r.confidence, r.from_file, r.from_line) for r in found.collect()}
+    assert rows == {("n0", f"n{i}", "ambiguous", "a", 1) for i in range(2, 2_500)}
+    loops = graph.resolve(raw, index, existing, "calls", "name", "origin", self_loops=True).where("source IS NULL").collect()
+    assert [(r.target, r.confidence, r.from_file) for r in loops] == [("lone", "resolved", "c")]
+    twice = index.unionByName(spark.createDataFrame([("g", "n7")], "leaf string, node_id string"))
+    again = [r.target for r in graph.resolve(raw.where("origin IS NOT NULL").unionByName(spark.createDataFrame([("n0", "g", "z", 9)], raw.schema)), twice, existing, "calls", "name", "origin").collect()]
+    assert len(again) == len(set(again)) == 2_498
+
+
+def test_inheritance_of_what_is_called_is_left_out(spark):
+    nodes = spark.createDataFrame([("a", "m.A", "class"), ("b", "m.B", "class")], "id string, label string, kind string").selectExpr("*", "'' AS subkind", "'' AS file", "0 AS start_line", "0 AS end_line", "'' AS lang_key")
+    none = spark.createDataFrame([], "source string, target string, relation string, confidence string, module string, base_kind string, from_file string, from_line int")
+    calls = spark.createDataFrame([("a", "B", False, "f", 1), ("a", "A", False, "f", 2)], "caller string, callee_name string, is_member boolean, file string, line int")
+    bases = spark.createDataFrame([("a", "b", "extends", "f", 3), ("a", "A", "extends", "f", 4), ("b", "A", "extends", "f", 5)], "child string, base_name string, base_kind string, file string, line int")
+    rows = sorted((r.source, r.target, r.relation, r.from_line) for r in graph.resolve_all(nodes, none, calls, bases).collect())
+    assert rows == [("a", "a", "inherits", 4), ("a", "b", "calls", 1), ("b", "a", "inherits", 5)]
