@@ -186,3 +186,17 @@ def test_inheritance_of_what_is_called_is_left_out(spark):
     bases = spark.createDataFrame([("a", "b", "extends", "f", 3), ("a", "A", "extends", "f", 4), ("b", "A", "extends", "f", 5)], "child string, base_name string, base_kind string, file string, line int")
     rows = sorted((r.source, r.target, r.relation, r.from_line) for r in graph.resolve_all(nodes, none, calls, bases).collect())
     assert rows == [("a", "a", "inherits", 4), ("a", "b", "calls", 1), ("b", "a", "inherits", 5)]
+
+
+def _two_alike(spark):
+    row = lambda i, label, line: (i, label, "function", "", "/f.py", line, line, "python")
+    nodes = spark.createDataFrame([row("a", "m.f", 1), row("b", "m.f", 1), row("c", "m.g", 5), row("d", "m.h", 7)], "id string, label string, kind string, subkind string, file string, start_line int, end_line int, lang_key string")
+    edges = spark.createDataFrame([(s, "c", "calls", "extracted", "", "", "/f.py", 2) for s in ("a", "b", "d")], ", ".join(f"{c} {'int' if c == 'from_line' else 'string'}" for c in graph.EDGE))
+    return nodes, edges
+
+
+def test_callers_that_look_the_same_are_one_row(spark):
+    nodes, edges = _two_alike(spark)
+    asked = graph.asked(spark, "g")
+    assert sorted(r.from_symbol for r in graph.callers(nodes, edges, asked, None).collect()) == ["m.f", "m.h"]
+    assert sorted(r.from_symbol for r in graph.callers(nodes, edges, asked, 2).collect()) == ["m.f", "m.h"]
