@@ -200,3 +200,13 @@ def test_callers_that_look_the_same_are_one_row(spark):
     asked = graph.asked(spark, "g")
     assert sorted(r.from_symbol for r in graph.callers(nodes, edges, asked, None).collect()) == ["m.f", "m.h"]
     assert sorted(r.from_symbol for r in graph.callers(nodes, edges, asked, 2).collect()) == ["m.f", "m.h"]
+
+
+@pytest.mark.parametrize("bound", [10_000, 0])
+def test_nodes_are_not_broadcast(spark, monkeypatch, bound):
+    monkeypatch.setattr(graph, "ASKED_SYMBOLS", bound)
+    nodes, edges = _two_alike(spark)
+    found = graph.find_symbols(nodes, graph.asked(spark, "G", "m.f", ".", " "))
+    assert sorted(map(tuple, found.collect())) == [(".", x) for x in "abcd"] + [("G", "c"), ("m.f", "a"), ("m.f", "b")]
+    plan = graph.flat_edges(edges, nodes)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "Broadcast" not in plan
