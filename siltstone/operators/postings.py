@@ -17,7 +17,7 @@ from siltstone.functions import text as tx
 from siltstone.sources.store import Change, Log, State
 
 from .lineage import checkpointed
-from .ranking import ASKED_ROWS, postings, top
+from .ranking import ASKED_ROWS, postings, ranked, top
 
 #: Postings of a block, and folders that terms are dealt to.
 BLOCK, BUCKETS = 128, 64
@@ -148,12 +148,14 @@ class PostingIndex:
             led = self._scored(met(blocks.where("lead")), share)
             floor = top(led, top_n).where(F.col("rank") == top_n).select("query_id", F.col("score").alias("floor"))
             sums = most.groupBy("query_id").agg(F.sum("most").alias("all_of")).join(floor, "query_id", "left")
-            limits = checkpointed(most.join(sums, "query_id").select("query_id", "term", (F.coalesce("floor", F.lit(float("-inf"))) - F.col("all_of") + F.col("most") - SLACK).alias("least")))
-            weights = weights.join(limits, ["query_id", "term"])
-            kept = blocks.join(hint(weights), "term").where(bound >= F.col("least"))
+            limits = most.join(sums, "query_id").select("query_id", "term", (F.coalesce("floor", F.lit(float("-inf"))) - F.col("all_of") + F.col("most") - SLACK).alias("least"))
+            # read once for all queries that need it; what that adds to the score of another is its own
+            least = checkpointed(weights.join(limits, ["query_id", "term"]).select("query_id", F.col("term").alias("asked"), "weight", "avgdl", "least"))
+            kept = blocks.join(hint(least), (F.col("term") == F.col("asked")) & (bound >= F.col("least")), "left_semi")
         else:
-            kept = met(blocks)
-        return top(self._scored(kept, share), top_n).where("score > 0").select("query_id", "id", "score", "rank")
+            kept = blocks
+        each = self._live(kept.select("__seq", "term", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p")).select("__seq", "term", F.col("p.ids").alias("id"), F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl")))
+        return ranked(each, weights, top_n, k1=K1, b=B)
 
     def _scored(self, met: DataFrame, share) -> DataFrame:
         each = met.select("query_id", "__seq", "weight", "avgdl", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p"))

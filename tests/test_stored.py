@@ -182,3 +182,13 @@ def test_vector_index_prunes_and_stays_exact(spark, tmp_path):
     assert sorted(r.id for r in index.flat().collect()) == sorted(i for i, _ in data)
     empty = vectors.store(Log(spark, str(tmp_path / "none")), frame.limit(0))
     assert empty.search(asked).count() == 0
+
+
+def test_postings_meet_queries_by_chunk_and_pairs_are_never_rows(spark, tmp_path):
+    log = Log(spark, str(tmp_path))
+    chunks = chunks_of(spark, TEXTS)
+    log.commit(postings.changes(chunks))
+    asked = spark.createDataFrame([(q, f"common rare word{q} text") for q in range(9)], "query_id bigint, text string")
+    found = postings.PostingIndex(log).search(asked, 5)
+    assert "keys=[query_id" not in found._jdf.queryExecution().executedPlan().toString()
+    assert rows(found) == rows(ranking.bm25(chunks, asked, 5))
