@@ -16,8 +16,8 @@ from .common import discard, durable, parts
 
 #: Words of a passage at least, and words of the run that a minimiser is chosen by.
 LENGTH, GRAM = 50, 20
-#: Different suffixes of one run that a task compares; the passages of a run with more are grouped by their words over all tasks.
-BLOCK = 2_000
+#: Different suffixes of one run that a task compares, from any table's and up to any table's: between the two, as many as a task's share of all. The passages of a run with more are grouped by their words over all tasks.
+BLOCK, MOST = 2_000, 50_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Words looked at together.
@@ -244,7 +244,7 @@ def _passages(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iter
         yield pa.RecordBatch.from_arrays([c[0], c[1], pa.array(shift, pa.int32()), pa.array(passage, pa.binary()), *c[2:]], names=["gram", "context", "shift", "passage", "a", "b", "id"])
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, within: bool = False) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, block: int | None = None, within: bool = False) -> DataFrame:
     """One row for each maximal stretch of words of a document that is covered by passages of length words standing in another document too: id, start_word, end_word (exclusive), first_id.
 
     first_id is the least id that has one of those passages; a stretch with first_id equal to its id is the copy to keep, or repeats what stands
@@ -256,7 +256,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     that stands in one document only drops out. Of the others the suffix and what stands before it are taken, word for word;
     equal ones are one row before any exchange, so a passage on a third of all documents is one row a task. The suffixes are
     sorted, neighbours compared by their common words, and matches extended to the left; see matches. A run with more than
-    block different suffixes isn't gathered in one task: its passages are grouped by a 128-bit digest of their words.
+    block different suffixes (without: a task's share of all suffixes, between BLOCK and MOST) isn't gathered in one task: its passages
+    are grouped by a 128-bit digest of their words, up to length - gram + 1 rows a suffix. By the share, runs that hold the same part of
+    a larger table are treated the same, so these rows grow as the table does.
 
     Words are parted by ASCII white space and compared byte by byte. Null texts count as empty; null ids are left out, and
     rows with one id are one document. Texts of any length are read whole, pieces of a batch at a time. An empty table gives no rows.
@@ -276,6 +278,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     place = F.xxhash64("row_no", "at") if within else F.col("id")
     different = durable(suffixes.groupBy("gram", "context", "left", "right").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.min("id").alias("id")))
     runs = different.groupBy("gram").agg(F.count("*").alias("n"))
+    block = block or max(BLOCK, min(MOST, different.count() // n))
     large = durable(runs.where(F.col("n") > block).select(F.col("gram").alias("large_gram")))
     hit = "gram bigint, context bigint, low int, high int, first bigint"
     compare = partial(_compared, length=length, gram=gram)

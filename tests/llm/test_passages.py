@@ -208,3 +208,23 @@ def test_matches_like_all_pairs():
                     hits.append((shift, least))
         assert (low, high) == ((min(hits)[0], max(hits)[0]) if hits else (-1, -1))
         assert not hits or first == min(f for _, f in hits)
+
+
+def test_runs_are_large_by_their_share_of_the_table(spark, monkeypatch):
+    """Without block, a run within a task's share of the suffixes is compared there, not blown up into its passages."""
+    rnd = random.Random(17)
+    word = lambda: f"w{rnd.randrange(9000)}"
+    common = [[word() for _ in range(14)] for _ in range(10)]
+    rows = [(i, " ".join([*(word() for _ in range(12)), *common[i % 10], *(word() for _ in range(12))]), 1, "p") for i in range(60)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 2)
+    large, real = [], suffix_dedup.durable
+
+    def kept(df):
+        out = real(df)
+        large.extend([out.count()] if df.columns == ["large_gram"] else [])
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "durable", kept)
+    got = suffix_dedup.repeated_passages(docs, length=12, gram=5)
+    assert sorted(map(tuple, got.collect())) == brute_repeats(rows, 12) and large == [0]
