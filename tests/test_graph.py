@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from siltstone.operators import analytics, chunking, graph
@@ -210,3 +212,14 @@ def test_nodes_are_not_broadcast(spark, monkeypatch, bound):
     assert sorted(map(tuple, found.collect())) == [(".", x) for x in "abcd"] + [("G", "c"), ("m.f", "a"), ("m.f", "b")]
     plan = graph.flat_edges(edges, nodes)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SortMergeJoin") == 2 and "Broadcast" not in plan
+
+
+def test_walks_by_levels_credit_edges():
+    """The path 0 - 1 - 2 and the square 3 - 4 - 5 - 6, as numbers."""
+    begin, ends = np.array([0, 1, 3, 4, 6, 8, 10, 12]), np.array([1, 0, 2, 1, 4, 6, 3, 5, 4, 6, 3, 5], np.int32)
+    sources = pa.RecordBatch.from_pydict({"n": list(range(7))})
+    total = {}
+    for batch in analytics._brandes(iter([sources]), begin, ends):
+        for r in batch.to_pylist():
+            total[r["a"], r["b"]] = total.get((r["a"], r["b"]), 0.0) + r["c"]
+    assert total == {(0, 1): 4.0, (1, 2): 4.0, (3, 4): 4.0, (4, 5): 4.0, (5, 6): 4.0, (3, 6): 4.0}
