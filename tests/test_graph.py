@@ -166,6 +166,36 @@ def test_communities_of_a_large_component(spark):
     assert len(rows) > 20_000 and sorted((r.community, r["size"]) for r in found) == [("a000", 150), ("b000", 150)]
 
 
+def test_communities_of_a_component_beyond_a_task(spark, monkeypatch):
+    """Merges by joins find the cliques of a ring; of a random graph, links and degrees stay those between the groups and modularity is near that of merges one by one."""
+    rnd = random.Random(5)
+    ring = [(f"c{k}_{j}", f"c{k}_{i}") for k in range(6) for i in range(6) for j in range(i)] + [(f"c{k}_0", f"c{(k + 1) % 6}_0") for k in range(6)]
+    names = sorted({x for p in ring for x in p})
+    nodes = spark.createDataFrame([node(n, n, "function", "/x.py") for n in names], NODE)
+    monkeypatch.setattr(analytics, "LOCAL_PAIRS", 40)
+    found = analytics.communities(nodes, spark.createDataFrame([edge(x, y, "calls") for x, y in ring], EDGE)).collect()
+    assert {(r.community, r["size"], r.members) for r in found} == {(f"c{k}_0", 6, ",".join(f"c{k}_{i}" for i in range(6))) for k in range(6)}
+
+    wild = sorted({tuple(sorted(rnd.sample([f"r{i:03}" for i in range(80)], 2))) for _ in range(200)})
+    monkeypatch.setattr(analytics, "LOCAL_PAIRS", 60)
+    links = spark.createDataFrame([("w", len(wild), *p, *(sum(x in q for q in wild) for x in p), 1) for p in wild], "component string, m long, a string, b string, da long, db long, w long")
+    left, members = analytics._agglomerated(links)
+    at = {x: x for p in wild for x in p} | {r.id: r.group for r in members.collect()}
+    rows = left.collect()
+    assert len(rows) <= 60
+    for r in rows:
+        assert r.w == sum({at[a], at[b]} == {r.a, r.b} for a, b in wild) and (r.da, r.db) == tuple(sum((at[a] == x) + (at[b] == x) for a, b in wild) for x in (r.a, r.b))
+
+    def modularity(groups):
+        degree = {}
+        for x in (x for p in wild for x in p):
+            degree[groups[x]] = degree.get(groups[x], 0) + 1
+        return sum(groups[a] == groups[b] for a, b in wild) / len(wild) - sum(d * d for d in degree.values()) / (2 * len(wild)) ** 2
+
+    then = analytics.modularity_groups([(r.a, r.b) for r in rows], [r.w for r in rows], {r.a: r.da for r in rows} | {r.b: r.db for r in rows}, len(wild))
+    assert modularity({x: then.get(g, g) for x, g in at.items()}) > 0.8 * modularity(analytics.modularity_groups(wild)) > 0.2
+
+
 def test_pairs_of_references_are_not_exchanged(spark):
     index = spark.createDataFrame([("f", f"n{i}") for i in range(2_500)] + [("g", "lone")], "leaf string, node_id string")
     raw = spark.createDataFrame([("n0", "F", "b", 2), ("n0", "f", "a", 1), (None, "g", "c", 3), ("x", "none", "c", 3)], "origin string, name string, file string, line int")
