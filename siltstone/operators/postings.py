@@ -105,10 +105,21 @@ class PostingIndex:
         _, gone = self.log.segments("blocks", self.state)
         return exploded if gone is None else Log.without(exploded, gone, "id")
 
-    def flat(self) -> DataFrame:
-        """(id, dl, term, tf), as ranking.postings gives them."""
-        each = self.blocks().select("__seq", "term", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p"))
-        return self._live(each.select("__seq", "term", F.col("p.ids").alias("id"), F.col("p.tfs").cast("long").alias("tf"), F.col("p.dls").alias("dl"))).select("id", "dl", "term", "tf")
+    def flat(self, df: bool = False) -> DataFrame:
+        """(id, dl, term, tf), as ranking.postings gives them; with df also the number of the term's postings.
+
+        A term with one block, as most have, has the block's number of postings; only those with several or with retired ones, few, are looked up.
+        """
+        blocks, more = self.blocks(), []
+        if df:
+            found = blocks.groupBy("term").agg(F.count("*").alias("blocks"), F.sum("n").alias("n"))
+            retired = self.log.table("retired", self.state).groupBy("term").agg(F.sum("n").alias("lost"))
+            changed = found.join(retired, "term", "left").where("blocks > 1 OR lost IS NOT NULL")
+            several = checkpointed(changed.select("term", (F.col("n") - F.coalesce("lost", F.lit(0))).alias("df")))
+            hint = F.broadcast if several.limit(ASKED_ROWS + 1).count() <= ASKED_ROWS else lambda t: t  # counted
+            blocks, more = blocks.join(hint(several), "term", "left").withColumn("df", F.coalesce("df", F.col("n").cast("long"))), ["df"]
+        each = blocks.select("__seq", "term", *more, F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p"))
+        return self._live(each.select("__seq", "term", *more, F.col("p.ids").alias("id"), F.col("p.tfs").cast("long").alias("tf"), F.col("p.dls").alias("dl"))).select("id", "dl", "term", "tf", *more)
 
     def _counts(self, blocks: DataFrame) -> DataFrame:
         """(term, df) of the terms of blocks."""

@@ -192,3 +192,39 @@ def test_postings_meet_queries_by_chunk_and_pairs_are_never_rows(spark, tmp_path
     found = postings.PostingIndex(log).search(asked, 5)
     assert "keys=[query_id" not in found._jdf.queryExecution().executedPlan().toString()
     assert rows(found) == rows(ranking.bm25(chunks, asked, 5))
+
+
+def test_sql_search_exchanges_the_best_of_parts_not_pairs(spark, tmp_path, monkeypatch):
+    """Pairs of texts and chunks, and whole postings, went through three exchanges."""
+    monkeypatch.setattr(sqlapi, "PART", 100)
+    monkeypatch.setattr(postings, "BLOCK", 16)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")  # the stored postings are over it, as large tables are
+    try:
+        log = Log(spark, str(tmp_path))
+        sourced = lambda texts: chunks_of(spark, texts).withColumn("source", F.lit("a"))
+        chunks = sourced(TEXTS | {901: "rare word1 gone " * 20, 902: "rare word1 same body " * 20, 903: " rare word1 same body " * 20})
+        log.commit({"chunks": Change(chunks, key="id"), **postings.changes(chunks)})
+        gone, fresh = chunks.where("id IN ('c7', 'c901')"), sourced({7: "rare new word5"})
+        log.commit({"chunks": Change(fresh, gone.select("id"), "id"), **postings.changes(fresh, gone)})
+        engine = Engine(spark, log.table("chunks"), postings=postings.PostingIndex(log))
+        counts = {r.term: r.df for r in ranking.term_counts(engine.chunks.select("id", tx.tokens(F.col("content")).alias("terms"))).collect() if r.term}
+        assert {(r.term, r.df) for r in engine.postings.flat(df=True).select("term", "df").collect()} == set(counts.items())
+        sqlapi.register(engine, "few")
+        asked = spark.createDataFrame([(n, f"common rare word{n}") for n in range(8)], "n int, q string")
+        asked.write.parquet(str(tmp_path / "asked"))
+        spark.read.parquet(str(tmp_path / "asked")).createOrReplaceTempView("few_asked")
+        found = spark.sql("SELECT n, s.id, s.score, s.rank FROM few_asked, LATERAL few_search(q) AS s WHERE s.rank <= 5")
+        want = ranking.retrieve(engine.chunks, asked.selectExpr("n AS query_id", "q AS text"), 5, "sparse").select("query_id", "id", "score", "rank")
+        assert rows(found) == rows(want)
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert not [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line and ("(id#" in line and ", q#" in line or "(part#" in line or "(term#" in line)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_chunk_is_counted_without_an_exchange(spark):
+    chunks = chunks_of(spark, TEXTS | {900: None, 901: "", 902: "Common common cOmmon"})
+    post = ranking.postings(chunks)
+    assert "Exchange" not in post._jdf.queryExecution().executedPlan().toString()
+    each = chunks.select("id", tx.tokens(F.col("content")).alias("t")).select("id", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    assert rows(post) == rows(each.groupBy("id", "dl", "term").agg(F.count("*").alias("tf")))
