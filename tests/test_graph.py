@@ -1,10 +1,12 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
 from siltstone.operators import analytics, chunking, graph
+from siltstone.plans import catalog
 
 NODE = "id string, label string, kind string, subkind string, file string, start_line int, end_line int, lang_key string"
 EDGE = "source string, target string, relation string, confidence string, module string, base_kind string, from_file string, from_line int"
@@ -253,3 +255,23 @@ def test_walks_by_levels_credit_edges():
         for r in batch.to_pylist():
             total[r["a"], r["b"]] = total.get((r["a"], r["b"]), 0.0) + r["c"]
     assert total == {(0, 1): 4.0, (1, 2): 4.0, (3, 4): 4.0, (4, 5): 4.0, (5, 6): 4.0, (3, 6): 4.0}
+
+
+def test_large_components_merge_in_blocks_and_nothing_goes_through_the_driver(spark, monkeypatch):
+    """Groups halve in a round, few rounds are left, and joins of nodes and pairs are no broadcasts however small Spark takes them to be."""
+    names = [f"{g}{i:02}" for g in "abcd" for i in range(24)]
+    pairs = [(x, y) for x in names for y in names if x < y and x[0] == y[0]] + [("a00", "b00"), ("b00", "c00"), ("c00", "d00")]
+    nodes = spark.createDataFrame([node(n, n, "function", "/x.py") for n in names], NODE)
+    edges = spark.createDataFrame([edge(x, y, "calls") for x, y in pairs], EDGE)
+    monkeypatch.setattr(analytics, "LOCAL_PAIRS", 20)
+    turns = []
+    merges = analytics._merges
+    monkeypatch.setattr(analytics, "_merges", lambda links, turn: turns.append(turn) or merges(links, turn))
+    found = analytics.communities(nodes, edges)
+    assert sorted((r.community, r["size"]) for r in found.collect()) == [(f"{g}00", 24) for g in "abcd"] and len(turns) < 30
+    made = catalog.inputs(spark, "/root/testdata/sf0.001", catalog.EDGES, catalog._CALLS)
+    for df in (analytics.symbol_pairs(nodes, edges), found, *made):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    rows = [("w", 3, "x", "y", 2, 2, 1), ("w", 3, "x", "z", 2, 2, 1), ("w", 3, "y", "z", 2, 2, 1)]
+    halved = analytics._halved(pd.DataFrame(rows, columns=["component", "m", "a", "b", "da", "db", "w"]))
+    assert sorted(map(tuple, halved.values.tolist())) == [("x", "x", 6), ("y", "x", 6), ("z", "x", 6)]
