@@ -275,3 +275,21 @@ def test_large_components_merge_in_blocks_and_nothing_goes_through_the_driver(sp
     rows = [("w", 3, "x", "y", 2, 2, 1), ("w", 3, "x", "z", 2, 2, 1), ("w", 3, "y", "z", 2, 2, 1)]
     halved = analytics._halved(pd.DataFrame(rows, columns=["component", "m", "a", "b", "da", "db", "w"]))
     assert sorted(map(tuple, halved.values.tolist())) == [("x", "x", 6), ("y", "x", 6), ("z", "x", 6)]
+
+
+@pytest.mark.parametrize("twice", [False, True])
+def test_counts_after_a_new_resolution_make_no_pairs(spark, monkeypatch, twice):
+    """Self calls, taken pairs, member calls, unknown origins, stale and repeated nodes: the counts are those of the edges."""
+    row = lambda i, label, kind="function": (i, label, kind, kind, "/f.py", 1, 2, "python")
+    nodes = spark.createDataFrame([row("a", "m.F", "class"), row("b", "n.f"), row("c", "n.g"), row("d", "n.h"), row("e", "n.h"), row("x", "x.f", "file")] + [row("c", "n.f")] * twice, NODE)
+    edges = spark.createDataFrame([edge("a", "b", "calls", "extracted"), edge("d", "c", "calls", "resolved"), edge("c", "d", "calls", "ambiguous"), edge("a", "zz", "contains", None)], EDGE)
+    calls = spark.createDataFrame([("a", "F", False, "f", 1), ("b", "f", True, "f", 2), ("b", "G", True, "f", 3), ("c", "h", False, "f", 4), ("d", "h", False, "f", 5), (None, "f", False, "f", 6), ("d", "g", False, "f", 7), ("c", "none", False, "f", 8)], "caller string, callee_name string, is_member boolean, file string, line int")
+    bases = spark.createDataFrame([("a", "f", "extends", "f", 1), ("a", "F", "extends", "f", 2), ("d", "h", "extends", "f", 3), (None, "f", "extends", "f", 4), ("e", "f", "extends", "f", 5)], "child string, base_name string, base_kind string, file string, line int")
+    for asked in (["F", "g"], ["h"], ["none"], ["f", "g", "h"]):
+        names = spark.createDataFrame([(x,) for x in asked], "leaf string")
+        again = graph.reresolve(nodes, graph.resolve_all(nodes, edges, calls, bases), calls, bases, names)
+        expected = {(r.relation, r.confidence): r["count"] for r in again.groupBy("relation", "confidence").count().collect()}
+        with monkeypatch.context() as m:
+            if not twice:
+                m.setattr(graph, "resolve", None)
+            assert {(r.relation, r.confidence): r.n for r in graph.reresolved_counts(nodes, edges, calls, bases, names).collect()} == expected
