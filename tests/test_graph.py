@@ -293,3 +293,21 @@ def test_counts_after_a_new_resolution_make_no_pairs(spark, monkeypatch, twice):
             if not twice:
                 m.setattr(graph, "resolve", None)
             assert {(r.relation, r.confidence): r.n for r in graph.reresolved_counts(nodes, edges, calls, bases, names).collect()} == expected
+
+
+def test_bridges_by_blocks_equal_those_in_tasks(spark, monkeypatch):
+    """Credits as blocks of numbers, edges expanded a few at a time, and joins give the rows of the walks in tasks."""
+    rnd = random.Random(9)
+    nodes = spark.createDataFrame([node(f"n{i:02}", f"n{i:02}", "function", "/x.py") for i in range(60)], NODE)
+    edges = spark.createDataFrame([edge(*(f"n{i:02}" for i in p), "calls") for p in sorted({tuple(rnd.sample(range(60), 2)) for _ in range(110)})], EDGE)
+    got = lambda n: [tuple(r) for r in analytics.bridges(nodes, edges, n).orderBy("rank").collect()]
+    whole = {n: got(n) for n in (3, 500)}
+    monkeypatch.setattr(analytics, "LOCAL_EDGES", 0)
+    monkeypatch.setattr(analytics, "STEP", 7)
+    monkeypatch.setattr(analytics, "CREDITS", 20)
+    called = []
+    joined = analytics._joined_credit
+    monkeypatch.setattr(analytics, "_joined_credit", lambda *args: called.append(1) or joined(*args))
+    assert {n: got(n) for n in (3, 500)} == whole and not called
+    monkeypatch.setattr(analytics, "BLOCK_EDGES", 0)
+    assert got(3) == whole[3] and called
